@@ -58,15 +58,20 @@ def join_host(domain: Column) -> Column:
     return F.lower(host_of_netloc(domain))
 
 
-def bad_netloc(url: Column) -> Column:
-    """True when the URL parser would reject the netloc.
+# Netloc of an http(s) URL, or of a text that gets ``https://`` put in front.
+_NETLOC_HEAD = r"^(?:https?://)?"
+_HAS_BRACKET_RE = _NETLOC_HEAD + r"[^/?#]*[\[\]]"
+_BRACKET_OK_RE = (_NETLOC_HEAD + r"(?:[^/?#]*@)?\[(?:[0-9A-Fa-f:.]+(?:%[^\]/?#]*)?|v[0-9A-Fa-f]+\.[^\]/?#]+)\]"
+                  r"(?::[^/?#]*)?(?:[/?#]|\z)")
 
-    Unbalanced brackets, or a bracketed host that is not an IPv6 / IPvFuture
-    literal (content checked by shape, not by full address validation).
+
+def bad_netloc(stripped: Column) -> Column:
+    """True when the URL parser would reject the netloc of the request.
+
+    ``stripped`` is the stripped request text; its netloc is what follows a
+    leading ``http(s)://`` (or the text itself, since ``https://`` gets
+    prefixed).  Rejected: a bracket without its pair, brackets outside the
+    host, or a bracketed host that is not shaped like an IPv6 / IPvFuture
+    literal (shape check, not full address validation).
     """
-    n = netloc_of(url)
-    has_open, has_close = n.contains("["), n.contains("]")
-    hostport = F.element_at(F.split(n, "@"), -1)
-    bracket_ok = hostport.rlike(
-        r"^\[(?:[0-9A-Fa-f:.]+(?:%[^\]]*)?|v[0-9A-Fa-f]+\.[^\]]+)\](:.*)?$")
-    return (has_open != has_close) | (has_open & has_close & ~bracket_ok)
+    return stripped.rlike(_HAS_BRACKET_RE) & ~stripped.rlike(_BRACKET_OK_RE)

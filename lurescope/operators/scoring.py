@@ -39,10 +39,10 @@ def validate(requests: DataFrame, url_col: str = "url") -> DataFrame:
     ``rejected`` to split; both are filters of one plan.
     """
     v = py_strip(F.col(url_col))
-    norm = F.when(v.startswith("http://") | v.startswith("https://"), v).otherwise(F.concat(F.lit("https://"), v))
+    norm = F.concat(F.when(v.rlike("^https?://"), F.lit("")).otherwise(F.lit("https://")), v)
     reason = (F.when(F.col(url_col).isNull() | (F.length(v) == 0), F.lit("empty"))
                .when(F.length(v) > FV.MAX_URL_LENGTH, F.lit("too_long"))
-               .when(bad_netloc(norm), F.lit("bad_netloc")))
+               .when(bad_netloc(v), F.lit("bad_netloc")))
     return (requests.withColumn("reject_reason", reason)
                     .withColumn(url_col, F.when(F.col("reject_reason").isNull(), norm)))
 

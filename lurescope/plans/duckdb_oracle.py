@@ -92,13 +92,14 @@ def py_strip(s: str) -> str:
     return f"regexp_replace({s}, {q('^' + PY_SPACE_CLASS + '+|' + PY_SPACE_CLASS + '+$')}, '', 'g')"
 
 
-BRACKET_OK = r"^\[(?:[0-9A-Fa-f:.]+(?:%[^\]]*)?|v[0-9A-Fa-f]+\.[^\]]+)\](:.*)?$"
+HAS_BRACKET = r"^(?:https?://)?[^/?#]*[\[\]]"
+BRACKET_OK = (r"^(?:https?://)?(?:[^/?#]*@)?\[(?:[0-9A-Fa-f:.]+(?:%[^\]/?#]*)?|v[0-9A-Fa-f]+\.[^\]/?#]+)\]"
+              r"(?::[^/?#]*)?(?:[/?#]|\z)")
 
 
-def bad_netloc(u: str) -> str:
-    n = netloc(u)
-    return (f"((contains({n}, '[') <> contains({n}, ']')) OR (contains({n}, '[') AND contains({n}, ']') "
-            f"AND NOT regexp_matches(string_split({n}, '@')[-1], {q(BRACKET_OK)})))")
+def bad_netloc(v: str) -> str:
+    """On the stripped request text (its netloc follows an optional http(s)://)."""
+    return f"(regexp_matches({v}, {q(HAS_BRACKET)}) AND NOT regexp_matches({v}, {q(BRACKET_OK)}))"
 
 
 def alternation(words) -> str:
@@ -162,7 +163,7 @@ CTE["valid_requests"] = f"""valid_requests AS (
          CASE WHEN starts_with(v, 'http://') OR starts_with(v, 'https://') THEN v ELSE 'https://' || v END AS url
   FROM (SELECT *, {py_strip('url')} AS v FROM scan_requests) s
   WHERE url IS NOT NULL AND length(v) > 0 AND length(v) <= {FV.MAX_URL_LENGTH}
-    AND NOT {bad_netloc("(CASE WHEN starts_with(v, 'http://') OR starts_with(v, 'https://') THEN v ELSE 'https://' || v END)")})"""
+    AND NOT {bad_netloc("v")})"""
 CTE["req_domains"] = f"""req_domains AS (
   SELECT DISTINCT {domain_key('url')} AS domain FROM valid_requests)"""
 CTE["tok"] = f"""tok AS (
@@ -400,7 +401,7 @@ def oracle_sql() -> dict[str, str]:
       SELECT page_id, variant, CASE WHEN reason IS NULL THEN norm END AS url, reason AS reject_reason
       FROM (SELECT page_id, variant, {norm} AS norm,
                    CASE WHEN raw IS NULL OR length(v) = 0 THEN 'empty' WHEN length(v) > {FV.MAX_URL_LENGTH} THEN 'too_long'
-                        WHEN {bad_netloc(norm)} THEN 'bad_netloc' END AS reason
+                        WHEN {bad_netloc('v')} THEN 'bad_netloc' END AS reason
             FROM (SELECT page_id, variant, raw, {strip} AS v FROM ({variants}) a) b) c"""
     o["url_lexical"] = with_ctes(f"SELECT request_id, {lexical_select('url')} FROM valid_requests")
     o["url_entropy"] = with_ctes(f"""SELECT host, {py_round(entropy('host'), 4)} AS entropy
