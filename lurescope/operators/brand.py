@@ -2,11 +2,11 @@
 
 Two forms with identical results:
 
-* ``brand_features`` (batch): tokens are exploded and joined to the fixed
-  keyword dimension -- containment as a join against the broadcast 85-row
-  table, typosquats as a hash equi join on token length against keywords
-  banded to ``len +- 2`` then an edit-distance filter -- and only the hits
-  are shuffled to the per-domain rollup.  Run it on *distinct* domains.
+* ``brand_features`` (batch): typosquats are a hash equi join of exploded
+  tokens against the keyword dimension banded to ``len +- 2`` (broadcast,
+  fixed 425 rows) then an edit-distance filter; containment hits are a
+  row-local filter over the fixed keyword array.  Only hit rows are
+  shuffled to the per-domain rollup.  Run it on *distinct* domains.
 * ``brand_features_rowlocal`` (streaming / no shuffle): the same rules as
   higher-order functions over the token array and a keyword array literal.
 """
@@ -61,12 +61,17 @@ def tokenize(domains: DataFrame, domain_col: str = "domain") -> DataFrame:
 
 def keyword_hits(domains: DataFrame, domain_col: str = "domain") -> DataFrame:
     """``(domain, brand, keyword)`` for every keyword contained in the
-    domain's tokens joined without separators."""
-    kw = F.broadcast(dims.brand_keywords(domains.sparkSession).select("brand", "keyword"))
-    coll = domains.select(F.col(domain_col).alias("domain"),
-                          F.array_join(brand_tokens(F.col(domain_col)), "").alias("_collapsed"))
-    return (coll.join(kw, F.col("_collapsed").contains(F.col("keyword")))
-                .select("domain", "brand", "keyword"))
+    domain's tokens joined without separators.
+
+    A semi join against the fixed 85-keyword dictionary, evaluated row-local:
+    the dictionary is an array literal, ``filter`` keeps the contained
+    keywords and ``inline`` emits one row per hit.  Map-only -- no nested
+    loop (which re-evaluated the probe expression per pair) and no shuffle.
+    """
+    d = domains.select(F.col(domain_col).alias("domain"),
+                       F.array_join(brand_tokens(F.col(domain_col)), "").alias("_collapsed"))
+    hits = F.filter(_keyword_array(), lambda k: F.col("_collapsed").contains(k["keyword"]))
+    return d.select("domain", F.inline(hits))
 
 
 def typosquat_hits(domains: DataFrame, domain_col: str = "domain") -> DataFrame:

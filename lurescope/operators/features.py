@@ -4,8 +4,9 @@ Plan shape: lexical features are row-local on the requests; everything that
 depends only on the scan domain (brand, TLD, IDN, DNS, WHOIS, TLS) is
 computed once per *distinct* domain and joined back in one domain-keyed join.
 The distinct step aggregates map-side, so a hot domain costs one row per
-partition; the join-back is where a hot domain lands, and AQE's skew-join
-split handles it (the domain side has one row per key).
+partition, and the distinct set is checkpointed once because five branches
+read it; the join-back is where a hot domain lands, and AQE's skew-join split
+handles it (the domain side has one row per key).
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import py_round
 from ..functions.url import domain_key
+from ..session import materialize
 from . import brand as brand_op
 from . import enrich, idn, lexical, tld
 
@@ -61,8 +63,8 @@ def feature_vector(requests: DataFrame, dns_records=None, whois_records=None, tl
     """Input columns + ``domain`` + the 38 features (+ detail columns if asked)."""
     base = requests.withColumn("domain", domain_key(F.col(url_col)))
     lex = lexical.with_lexical_features(base, url_col)
-    dom = domain_features(base.select("domain").distinct(), dns_records, whois_records,
-                          tls_observations, as_of, brand_form)
+    domains = materialize(base.select("domain").distinct())
+    dom = domain_features(domains, dns_records, whois_records, tls_observations, as_of, brand_form)
     j = lex.join(dom, "domain", "left")
     j = (j.withColumn("visual_similarity_score", F.lit(None).cast(T.DoubleType()))
           .withColumn("dom_credential_form_detected", F.lit(None).cast(T.BooleanType()))

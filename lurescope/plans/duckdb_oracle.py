@@ -447,6 +447,7 @@ def oracle_sql() -> dict[str, str]:
       brand_impersonation_score, CAST(created_at AS DATE) AS created_date FROM scans""")
     o["stream_scan"] = o["scan_results"]
     o["stream_feed"] = o["threat_feed"]
+    o["stream_scan_rowlocal"] = o["scan_results"]
     o["stream_daily_stats"] = with_ctes("""
       SELECT CAST(date_trunc('day', created_at) AS DATE) AS day,
              count(*) FILTER (WHERE score >= 40) AS threats,

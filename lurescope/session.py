@@ -79,3 +79,16 @@ def _count():
 
 
 _counter = _count()
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the shared folder.
+
+    Used where one derived table feeds several branches that Catalyst cannot
+    share (each branch pushes its own inferred filters below the aggregate,
+    so exchange reuse never matches): the distinct-domain set is computed
+    once and every branch reads it.  Survives executor loss (files, not
+    executor memory).
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import read_table
+from .tables import read_table, spread_small_input
 
 # Fixed fixture values: 12 lure templates, ``{n}`` becomes the page id.
 LURES = [
@@ -54,7 +54,7 @@ def lures(spark: SparkSession) -> DataFrame:
 def scan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(request_id, ts, client_id, url)``: one request per event, on page
     ``event_id % n_pages``, rewritten to a lure host for 12 of 24 page ids."""
-    events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    events = spread_small_input(read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id"))
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     n_pages = pages.select(F.count(F.lit(1))).scalar()
     req = (events.withColumn("_page_key", F.col("event_id") % n_pages)

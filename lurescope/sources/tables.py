@@ -64,6 +64,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(table_path(sf_dir, name))
 
 
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Round-robin a source that has fewer partitions than the cluster has cores.
+
+    A big table already has one task per file split, so this is a no-op at
+    scale; a file with a single row group would otherwise run every narrow
+    operator after the scan in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    return df.repartition(cores) if n < cores else df
+
+
 def read_scan_requests(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A collected request table ``(request_id, ts, client_id, url)``."""
     return spark.read.schema(SCAN_REQUEST_SCHEMA).format(fmt).load(path)
