@@ -39,8 +39,9 @@ def request_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark, sf_dir):
-    req = fx.scan_requests(spark, sf_dir)
-    h = fx.hosts(req)
+    """Fixture record tables; the small host table is checkpointed once and
+    the three record tables derive from it (not from the requests again)."""
+    h = materialize(fx.hosts(fx.scan_requests(spark, sf_dir)))
     return fx.dns_records(h), fx.whois_records(h), fx.tls_observations(h)
 
 

@@ -35,6 +35,18 @@ CONFUSABLE_SCHEMA = T.StructType([
 ])
 
 
+def literal_table(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
+    """A small fixed table as a JVM-side literal (``inline`` of struct literals).
+
+    Plans as a local table scan: no Python worker is needed on executors to
+    decode it, unlike ``createDataFrame`` on a Python list.
+    """
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)])
+               for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs))).select(
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def brand_keyword_rows() -> list[tuple[str, str, int, int]]:
     rows, i = [], 0
     for brand, kws in FV.BRAND_KEYWORDS.items():
@@ -46,12 +58,12 @@ def brand_keyword_rows() -> list[tuple[str, str, int, int]]:
 
 def brand_keywords(spark: SparkSession) -> DataFrame:
     """``(brand, keyword, kw_len, ord)``; ``ord`` is dictionary order."""
-    return spark.createDataFrame(brand_keyword_rows(), BRAND_KEYWORD_SCHEMA)
+    return literal_table(spark, brand_keyword_rows(), BRAND_KEYWORD_SCHEMA)
 
 
 def tld_risk(spark: SparkSession) -> DataFrame:
     rows = [(s, float(r), s.count(".") + 1) for s, r in FV.TLD_RISK.items()]
-    return spark.createDataFrame(rows, TLD_RISK_SCHEMA)
+    return literal_table(spark, rows, TLD_RISK_SCHEMA)
 
 
 def confusable_rows() -> list[tuple[str, str, str, str]]:
@@ -60,7 +72,7 @@ def confusable_rows() -> list[tuple[str, str, str, str]]:
 
 
 def confusables(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(confusable_rows(), CONFUSABLE_SCHEMA)
+    return literal_table(spark, confusable_rows(), CONFUSABLE_SCHEMA)
 
 
 def action_words_array():

@@ -48,14 +48,17 @@ def fixture_zero_day(request_id: Column) -> Column:
 
 
 def lures(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LURES, "i int, scheme string, lure string")
+    from .dimensions import literal_table
+    schema = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("scheme", T.StringType()),
+                           T.StructField("lure", T.StringType())])
+    return literal_table(spark, LURES, schema)
 
 
 def scan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(request_id, ts, client_id, url)``: one request per event, on page
     ``event_id % n_pages``, rewritten to a lure host for 12 of 24 page ids."""
     events = spread_small_input(read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id"))
-    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    pages = spread_small_input(read_table(spark, sf_dir, "pages").select("page_id", "url"))
     n_pages = pages.select(F.count(F.lit(1))).scalar()
     req = (events.withColumn("_page_key", F.col("event_id") % n_pages)
                  .join(pages, F.col("page_id") == F.col("_page_key"))
