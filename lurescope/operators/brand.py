@@ -93,7 +93,7 @@ def typosquat_hits(domains: DataFrame, domain_col: str = "domain") -> DataFrame:
 def brand_features(domains: DataFrame, domain_col: str = "domain") -> DataFrame:
     """Per-domain brand columns (``BRAND_COLUMNS`` + ``BRAND_DETAIL_COLUMNS``).
 
-    ``domains`` should hold distinct domains; every input row is kept.
+    ``domains`` should hold distinct domains; every input row and column is kept.
     """
     d = domains.select(F.col(domain_col).alias("domain"))
     kw = keyword_hits(d).select("domain", "brand", "keyword",
@@ -109,13 +109,14 @@ def brand_features(domains: DataFrame, domain_col: str = "domain") -> DataFrame:
         F.array_sort(F.collect_set(F.when(F.col("is_kw"), F.col("keyword")))).alias("keyword_hits"),
         F.min(F.struct("distance", "brand")).getField("brand").alias("closest_brand"),
     ))
-    base = d.withColumn("brand_has_action_word",
-                        has_action_word(brand_tokens(F.col("domain"))).cast("int"))
+    base = domains.withColumnRenamed(domain_col, "domain").withColumn(
+        "brand_has_action_word", has_action_word(brand_tokens(F.col("domain"))).cast("int"))
     j = base.join(rollup, "domain", "left")
     n_kw = F.coalesce("_n_kw", F.lit(0))
     n_typo = F.coalesce("_n_typo", F.lit(0))
+    extra = [c for c in base.columns if c not in ("domain", "brand_has_action_word")]
     return j.select(
-        "domain",
+        "domain", *extra,
         _score(n_kw, F.coalesce("_typo_sum", F.lit(0.0)), n_kw + n_typo,
                F.col("brand_has_action_word") == 1).alias("brand_impersonation_score"),
         F.coalesce(F.size("matched_brands"), F.lit(0)).cast("int").alias("brand_matched_count"),
@@ -131,8 +132,7 @@ def brand_features(domains: DataFrame, domain_col: str = "domain") -> DataFrame:
 # ----------------------------------------------------------- row-local form
 
 def _keyword_array() -> Column:
-    return F.array(*[F.struct(F.lit(b).alias("brand"), F.lit(k).alias("keyword"))
-                     for b, k, _, _ in dims.brand_keyword_rows()])
+    return dims.array_literal([{"brand": b, "keyword": k} for b, k, _, _ in dims.brand_keyword_rows()])
 
 
 def brand_columns_rowlocal(domain: Column) -> dict[str, Column]:

@@ -3,10 +3,10 @@
 Plan shape: lexical features are row-local on the requests; everything that
 depends only on the scan domain (brand, TLD, IDN, DNS, WHOIS, TLS) is
 computed once per *distinct* domain and joined back in one domain-keyed join.
-The distinct step aggregates map-side, so a hot domain costs one row per
-partition, and the distinct set is checkpointed once because five branches
-read it; the join-back is where a hot domain lands, and AQE's skew-join split
-handles it (the domain side has one row per key).
+The per-domain count aggregates map-side, so a hot domain costs one row per
+partition, and the domain set is checkpointed once because five branches
+read it.  The join-back is where a hot domain lands: hot domains are split
+over salts (``join_back_salted``), with AQE's skew-join split as a second line.
 """
 
 from __future__ import annotations
@@ -46,26 +46,61 @@ def aggregate_lexical_risk(brand_score: Column, tld_risk: Column, idn_risk: Colu
 
 def domain_features(domains: DataFrame, dns_records=None, whois_records=None, tls_observations=None,
                     as_of=None, brand_form: str = "join") -> DataFrame:
-    """All domain-level features for a DataFrame of distinct ``domain`` values."""
-    d = domains.select("domain")
+    """All domain-level features for a DataFrame of distinct ``domain`` values
+    (other input columns are carried along)."""
     if brand_form == "join":
-        b = brand_op.brand_features(d)
+        b = brand_op.brand_features(domains)
     else:
-        b = brand_op.brand_features_rowlocal(d)
+        b = brand_op.brand_features_rowlocal(domains)
     t = tld.with_tld_risk(b)
     i = idn.with_idn(t)
     return enrich.with_enrichment(i, dns_records, whois_records, tls_observations, as_of)
 
 
+HOT_DOMAIN_ROWS = 2_000_000
+MAX_HOT_DOMAINS = 100_000
+SALT_BUCKETS = 64
+
+
+def join_back_salted(requests: DataFrame, per_domain: DataFrame, counts: DataFrame, counts_col: str = "_n",
+                     hot_domain_rows: int = HOT_DOMAIN_ROWS, max_hot_domains: int = MAX_HOT_DOMAINS,
+                     salt_buckets: int = SALT_BUCKETS) -> DataFrame:
+    """Left-join per-domain rows back to requests, splitting hot domains.
+
+    A domain is hot when it has at least ``max(hot_domain_rows, total /
+    max_hot_domains)`` requests, so at most ``max_hot_domains`` domains are
+    hot whatever the data: that list is broadcast (proven bound) to tag the
+    requests.  Hot domains' rows are replicated over ``salt_buckets`` salts
+    and their requests spread by a hash of the whole row (deterministic, so a
+    retried task salts identically); every other domain keeps salt 0.  One
+    domain holding a third of all requests then lands in ``salt_buckets``
+    tasks instead of one.  ``counts`` is the small (checkpointed) per-domain
+    request count table ``(domain, counts_col)``; ``per_domain`` carries the
+    same count column.
+    """
+    total = counts.agg(F.sum(counts_col)).first()[0] or 0
+    threshold = max(hot_domain_rows, total // max_hot_domains + 1)
+    is_hot = F.col(counts_col) >= F.lit(threshold)
+    hot = counts.filter(is_hot).select("domain", F.lit(True).alias("_hot"))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in requests.columns]), F.lit(salt_buckets)).cast("int")
+    req = (requests.join(F.broadcast(hot), "domain", "left")
+                   .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0)))
+                   .drop("_hot"))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(salt_buckets - 1))).otherwise(F.array(F.lit(0)))
+    dom = per_domain.select("*", F.explode(salts).alias("_salt")).drop(counts_col)
+    return req.join(dom, ["domain", "_salt"], "left").drop("_salt")
+
+
 def feature_vector(requests: DataFrame, dns_records=None, whois_records=None, tls_observations=None,
                    as_of=None, url_col: str = "url", brand_form: str = "join",
-                   keep_details: bool = False) -> DataFrame:
+                   keep_details: bool = False, hot_domain_rows: int = HOT_DOMAIN_ROWS,
+                   salt_buckets: int = SALT_BUCKETS) -> DataFrame:
     """Input columns + ``domain`` + the 38 features (+ detail columns if asked)."""
     base = requests.withColumn("domain", domain_key(F.col(url_col)))
     lex = lexical.with_lexical_features(base, url_col)
-    domains = materialize(base.select("domain").distinct())
-    dom = domain_features(domains, dns_records, whois_records, tls_observations, as_of, brand_form)
-    j = lex.join(dom, "domain", "left")
+    counts = materialize(base.groupBy("domain").agg(F.count(F.lit(1)).alias("_n")), "domain_counts")
+    dom = domain_features(counts, dns_records, whois_records, tls_observations, as_of, brand_form)
+    j = join_back_salted(lex, dom, counts, "_n", hot_domain_rows, salt_buckets=salt_buckets)
     j = (j.withColumn("visual_similarity_score", F.lit(None).cast(T.DoubleType()))
           .withColumn("dom_credential_form_detected", F.lit(None).cast(T.BooleanType()))
           .withColumn("aggregate_lexical_risk_score",

@@ -41,6 +41,27 @@ def feed_page(feed: DataFrame, page: int = 1, limit: int = FV.FEED_DEFAULT_LIMIT
     return ordered.limit(limit)
 
 
+def feed_page_after(feed: DataFrame, after_flagged_at=None, after_id: str | None = None,
+                    limit: int = FV.FEED_DEFAULT_LIMIT, category: str | None = None) -> DataFrame:
+    """Keyset page: the ``limit`` newest rows strictly after the cursor
+    ``(flagged_at, id)`` of the previous page's last row.
+
+    Same order as ``feed_page``, but the cost is a top-``limit`` at any
+    depth (``flagged_at`` bounds also prune date partitions of the table).
+    """
+    if not isinstance(limit, int) or limit < 0 or limit > FV.FEED_MAX_LIMIT:
+        raise ValueError(f"limit must be an integer in 0..{FV.FEED_MAX_LIMIT}")
+    df = feed
+    if category:
+        df = df.filter(F.col("category") == F.lit(category))
+    if after_flagged_at is not None:
+        ts = F.lit(after_flagged_at).cast("timestamp")
+        df = df.filter((F.col("flagged_at") < ts) |
+                       ((F.col("flagged_at") == ts) & (F.col("id") > F.lit(after_id or ""))))
+    return (df.select("id", "domain", "score", "verdict", "category", "flagged_at", "scan_id")
+              .orderBy(F.col("flagged_at").desc(), F.col("id").asc()).limit(limit))
+
+
 def daily_stats(feed: DataFrame, scans: DataFrame, as_of=None) -> DataFrame:
     """One row -- threats since UTC midnight of ``as_of``, average
     confidence x100 (1 decimal, 0 when no scans), zero-day scans, cert alerts 0.

@@ -35,13 +35,14 @@ def valid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct scan domains, checkpointed (several branches read them)."""
-    return materialize(valid_requests(spark, sf_dir).select(domain_key(F.col("url")).alias("domain")).distinct())
+    return materialize(valid_requests(spark, sf_dir).select(domain_key(F.col("url")).alias("domain")).distinct(),
+                       "request_domains")
 
 
 def _records(spark, sf_dir):
     """Fixture record tables; the small host table is checkpointed once and
     the three record tables derive from it (not from the requests again)."""
-    h = materialize(fx.hosts(fx.scan_requests(spark, sf_dir)))
+    h = materialize(fx.hosts(fx.scan_requests(spark, sf_dir)), "fixture_hosts")
     return fx.dns_records(h), fx.whois_records(h), fx.tls_observations(h)
 
 

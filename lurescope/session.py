@@ -81,14 +81,18 @@ def _count():
 _counter = _count()
 
 
-def materialize(df):
-    """Cut lineage with a reliable checkpoint in the shared folder.
+def materialize(df, name: str = "stage"):
+    """Cut lineage by writing ``df`` as a Parquet table in the shared folder
+    (``spark.checkpoint.dir``) and reading it back.
 
     Used where one derived table feeds several branches that Catalyst cannot
     share (each branch pushes its own inferred filters below the aggregate,
-    so exchange reuse never matches): the distinct-domain set is computed
-    once and every branch reads it.  Survives executor loss (files, not
-    executor memory).
+    so exchange reuse never matches): the table is computed once and every
+    branch reads the files.  One pass (an eager ``checkpoint()`` computes its
+    input twice), survives executor loss, and the planner sees the real file
+    size when it picks join strategies.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

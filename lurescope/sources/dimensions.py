@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,16 +35,37 @@ CONFUSABLE_SCHEMA = T.StructType([
 ])
 
 
+def sql_literal(v) -> str:
+    """A Spark SQL literal for a fixed value (strings escaped for the parser)."""
+    if v is None:
+        return "NULL"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, float):
+        return repr(v) + "D"
+    return str(v)
+
+
 def literal_table(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
-    """A small fixed table as a JVM-side literal (``inline`` of struct literals).
+    """A small fixed table as a SQL ``VALUES`` relation.
 
-    Plans as a local table scan: no Python worker is needed on executors to
-    decode it, unlike ``createDataFrame`` on a Python list.
+    Parsed once on the JVM side into a local relation: no Python worker is
+    needed on executors to decode it (unlike ``createDataFrame`` on a Python
+    list) and no per-value round trips from the driver.
     """
-    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)])
-               for r in rows]
-    return spark.range(1).select(F.inline(F.array(*structs))).select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    names = [f.name for f in schema.fields]
+    body = ", ".join("(" + ", ".join(sql_literal(v) for v in r) + ")" for r in rows)
+    cols = ", ".join(f"CAST({n} AS {f.dataType.simpleString()}) AS {n}" for n, f in zip(names, schema.fields))
+    return spark.sql(f"SELECT {cols} FROM VALUES {body} AS t({', '.join(names)})")
+
+
+def array_literal(values) -> Column:
+    """``array(...)`` of fixed scalars or ``dict`` rows (as named structs), parsed once."""
+    def one(v):
+        if isinstance(v, dict):
+            return "named_struct(" + ", ".join(f"'{k}', {sql_literal(x)}" for k, x in v.items()) + ")"
+        return sql_literal(v)
+    return F.expr("array(" + ", ".join(one(v) for v in values) + ")")
 
 
 def brand_keyword_rows() -> list[tuple[str, str, int, int]]:
@@ -75,8 +96,8 @@ def confusables(spark: SparkSession) -> DataFrame:
     return literal_table(spark, confusable_rows(), CONFUSABLE_SCHEMA)
 
 
-def action_words_array():
-    return F.array(*[F.lit(w) for w in FV.ACTION_WORDS])
+def action_words_array() -> Column:
+    return array_literal(FV.ACTION_WORDS)
 
 
 def brand_keyword_bands(spark: SparkSession, max_dist: int = FV.MAX_TYPOSQUAT_DISTANCE) -> DataFrame:

@@ -26,3 +26,15 @@ def test_batch_and_rowlocal_forms_agree(spark):
     a = catalog.q_feature_vector(spark, SF_SMALL)
     b = catalog.q_feature_vector_rowlocal(spark, SF_SMALL)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_hot_domain_salting_keeps_results(spark):
+    """With a tiny hot threshold the fixture's repeated lure domains are salted;
+    the result must be identical to the unsalted join."""
+    from lurescope.operators import features
+    dns, who, tls_obs = catalog._records(spark, SF_SMALL)
+    req = catalog.valid_requests(spark, SF_SMALL)
+    a = features.feature_vector(req, dns, who, tls_obs, fx.AGES_AS_OF)
+    b = features.feature_vector(req, dns, who, tls_obs, fx.AGES_AS_OF, hot_domain_rows=5, salt_buckets=7)
+    assert a.count() == b.count() == req.count()
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

@@ -102,3 +102,10 @@ def test_sink_roundtrip_idempotent(spark):
             scans.withColumn("f", F.from_json("features_json", scan_job.features_json_schema(spark)))
                  .select("id", "f.aggregate_lexical_risk_score").collect()}
     assert got == want
+
+
+def test_keyset_pages_equal_offset_pages(spark):
+    feed = scoring.threat_feed(_scans(spark))
+    first = serving.feed_page(feed, page=1, limit=2).collect()
+    nxt = serving.feed_page_after(feed, first[-1].flagged_at, first[-1].id, limit=2).collect()
+    assert nxt == serving.feed_page(feed, page=2, limit=2).collect()
