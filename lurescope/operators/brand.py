@@ -59,26 +59,61 @@ def tokenize(domains: DataFrame, domain_col: str = "domain") -> DataFrame:
         F.posexplode(brand_tokens(F.col(domain_col))).alias("pos", "token"))
 
 
-def keyword_hits(domains: DataFrame, domain_col: str = "domain") -> DataFrame:
+# Dictionaries up to this size are inlined as an array literal (row-local
+# containment); larger ones use the substring equi join.
+INLINE_DICTIONARY_MAX = 2000
+
+
+def keyword_hits(domains: DataFrame, domain_col: str = "domain", keywords: DataFrame | None = None) -> DataFrame:
     """``(domain, brand, keyword)`` for every keyword contained in the
     domain's tokens joined without separators.
 
-    A semi join against the fixed 85-keyword dictionary, evaluated row-local:
-    the dictionary is an array literal, ``filter`` keeps the contained
-    keywords and ``inline`` emits one row per hit.  Map-only -- no nested
-    loop (which re-evaluated the probe expression per pair) and no shuffle.
+    The fixed 85-keyword dictionary (or a custom one of at most
+    ``INLINE_DICTIONARY_MAX`` rows -- size checked first) is evaluated
+    row-local: an array literal, ``filter`` keeps the contained keywords and
+    ``inline`` emits one row per hit.  Map-only: no nested loop (which
+    re-evaluated the probe expression per pair) and no shuffle.  A larger
+    custom dictionary goes through ``keyword_hits_join``.
     """
+    if keywords is None:
+        kw_array = _keyword_array()
+    else:
+        small = keywords.select("brand", "keyword").limit(INLINE_DICTIONARY_MAX + 1).collect()
+        if len(small) > INLINE_DICTIONARY_MAX:
+            return keyword_hits_join(domains, keywords, domain_col)
+        kw_array = dims.array_literal([{"brand": r.brand, "keyword": r.keyword} for r in small])
     d = domains.select(F.col(domain_col).alias("domain"),
                        F.array_join(brand_tokens(F.col(domain_col)), "").alias("_collapsed"))
-    hits = F.filter(_keyword_array(), lambda k: F.col("_collapsed").contains(k["keyword"]))
+    hits = F.filter(kw_array, lambda k: F.col("_collapsed").contains(k["keyword"]))
     return d.select("domain", F.inline(hits))
 
 
-def typosquat_hits(domains: DataFrame, domain_col: str = "domain") -> DataFrame:
+def keyword_hits_join(domains: DataFrame, keywords: DataFrame, domain_col: str = "domain") -> DataFrame:
+    """J2 for large dictionaries: every substring of the collapsed text whose
+    length is a keyword length, equi-joined to the keywords (hash join, the
+    planner picks broadcast or shuffle from the dictionary size), then one
+    row per (domain, keyword).  Cost grows with text length x distinct
+    keyword lengths, not with the dictionary size."""
+    lens = [r[0] for r in keywords.select("kw_len").distinct().collect()]  # at most max keyword length values
+    d = domains.select(F.col(domain_col).alias("domain"),
+                       F.array_join(brand_tokens(F.col(domain_col)), "").alias("_c"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("_c"), F.lit(1)))
+    subs = (d.select("domain", "_c", F.explode(starts).alias("_p"))
+             .select("domain", F.explode(F.array(*[F.substring(F.col("_c"), F.col("_p"), F.lit(n)) for n in lens]
+                                                 if lens else [F.lit(None).cast("string")])).alias("_s"))
+             .filter(F.col("_s") != ""))
+    kw = keywords.select("brand", "keyword", "kw_len")
+    hits = subs.join(kw, (F.col("_s") == F.col("keyword")) & (F.length("_s") == F.col("kw_len")))
+    return hits.select("domain", "brand", "keyword").distinct()
+
+
+def typosquat_hits(domains: DataFrame, domain_col: str = "domain", keywords: DataFrame | None = None) -> DataFrame:
     """``(domain, pos, token, brand, keyword, distance, weight)`` for tokens of
     length >= 3 within edit distance 1..2 of a keyword (length band +-2)."""
-    bands = F.broadcast(dims.brand_keyword_bands(domains.sparkSession)
-                        .select("brand", "keyword", "band_len"))
+    if keywords is None:
+        bands = F.broadcast(dims.brand_keyword_bands(domains.sparkSession).select("brand", "keyword", "band_len"))
+    else:
+        bands = dims.keyword_bands(keywords).select("brand", "keyword", "band_len")
     tok = (tokenize(domains, domain_col)
            .withColumn("_tlen", F.length("token"))
            .filter(F.col("_tlen") >= FV.MIN_TYPOSQUAT_TOKEN_LENGTH))
@@ -90,16 +125,16 @@ def typosquat_hits(domains: DataFrame, domain_col: str = "domain") -> DataFrame:
                        typosquat_weight(F.col("distance")).alias("weight"))
 
 
-def brand_features(domains: DataFrame, domain_col: str = "domain") -> DataFrame:
+def brand_features(domains: DataFrame, domain_col: str = "domain", keywords: DataFrame | None = None) -> DataFrame:
     """Per-domain brand columns (``BRAND_COLUMNS`` + ``BRAND_DETAIL_COLUMNS``).
 
     ``domains`` should hold distinct domains; every input row and column is kept.
     """
     d = domains.select(F.col(domain_col).alias("domain"))
-    kw = keyword_hits(d).select("domain", "brand", "keyword",
+    kw = keyword_hits(d, keywords=keywords).select("domain", "brand", "keyword",
                                 F.lit(0).alias("distance"), F.lit(0.0).alias("weight"),
                                 F.lit(True).alias("is_kw"))
-    ty = typosquat_hits(d).select("domain", "brand", "keyword", "distance", "weight",
+    ty = typosquat_hits(d, keywords=keywords).select("domain", "brand", "keyword", "distance", "weight",
                                   F.lit(False).alias("is_kw"))
     rollup = (kw.unionByName(ty).groupBy("domain").agg(
         F.count_if("is_kw").cast("int").alias("_n_kw"),

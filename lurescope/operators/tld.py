@@ -6,6 +6,8 @@ two-label candidate wins over the last label (longest suffix first).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,21 +25,31 @@ def tld_host(domain: Column) -> Column:
     return F.lower(h)
 
 
-def with_tld_risk(df: DataFrame, domain_col: str = "domain") -> DataFrame:
-    """Adds ``tld`` STRING, ``tld_risk_score`` DOUBLE, ``tld_known`` INT."""
-    spark = df.sparkSession
-    suffixes = dims.tld_risk(spark)
-    two = F.broadcast(suffixes.filter("n_labels = 2")
-                      .select(F.col("suffix").alias("_s2"), F.col("risk").alias("_r2")))
-    one = F.broadcast(suffixes.filter("n_labels = 1")
-                      .select(F.col("suffix").alias("_s1"), F.col("risk").alias("_r1")))
-    h = tld_host(F.col(domain_col))
-    out = (df.withColumn("_h", h)
-             .withColumn("_c2", F.substring_index("_h", ".", -2))
-             .withColumn("_c1", F.substring_index("_h", ".", -1))
-             .join(two, F.col("_c2") == F.col("_s2"), "left")
-             .join(one, F.col("_c1") == F.col("_s1"), "left"))
-    return (out.withColumn("tld", F.coalesce("_s2", "_c1"))
-               .withColumn("tld_risk_score", F.coalesce("_r2", "_r1", F.lit(UNKNOWN_TLD_RISK)))
-               .withColumn("tld_known", (F.col("_s2").isNotNull() | F.col("_s1").isNotNull()).cast("int"))
-               .drop("_h", "_c2", "_c1", "_s2", "_r2", "_s1", "_r1"))
+def with_tld_risk(df: DataFrame, domain_col: str = "domain", suffixes: DataFrame | None = None) -> DataFrame:
+    """Adds ``tld`` STRING, ``tld_risk_score`` DOUBLE, ``tld_known`` INT.
+
+    One left equi join per suffix length (longest first wins): the fixed
+    table has one- and two-label suffixes, a custom ``suffixes`` table
+    ``(suffix, risk, n_labels)`` may have more (its label counts are read
+    first -- a handful of values).
+    """
+    if suffixes is None:
+        suffixes = F.broadcast(dims.tld_risk(df.sparkSession))
+        label_counts = [2, 1]
+    else:
+        label_counts = sorted({r[0] for r in suffixes.select("n_labels").distinct().collect()} | {1},
+                              reverse=True)
+    out = df.withColumn("_h", tld_host(F.col(domain_col)))
+    found, risks = [], []
+    for n in label_counts:
+        side = suffixes.filter(F.col("n_labels") == n).select(
+            F.col("suffix").alias(f"_s{n}"), F.col("risk").alias(f"_r{n}"))
+        out = (out.withColumn(f"_c{n}", F.substring_index("_h", ".", -n))
+                  .join(side, F.col(f"_c{n}") == F.col(f"_s{n}"), "left"))
+        found.append(F.col(f"_s{n}"))
+        risks.append(F.col(f"_r{n}"))
+    tmp = ["_h"] + [f"_{x}{n}" for n in label_counts for x in ("c", "s", "r")]
+    return (out.withColumn("tld", F.coalesce(*found, F.col("_c1")))
+               .withColumn("tld_risk_score", F.coalesce(*risks, F.lit(UNKNOWN_TLD_RISK)))
+               .withColumn("tld_known", reduce(lambda a, b: a | b, [f.isNotNull() for f in found]).cast("int"))
+               .drop(*tmp))

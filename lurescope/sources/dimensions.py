@@ -100,15 +100,41 @@ def action_words_array() -> Column:
     return array_literal(FV.ACTION_WORDS)
 
 
+def keyword_bands(keywords: DataFrame, max_dist: int = FV.MAX_TYPOSQUAT_DISTANCE) -> DataFrame:
+    """Keywords repeated for every token length within ``max_dist`` of theirs,
+    so the typosquat join is an equi join on length instead of a nested loop."""
+    offsets = F.sequence(F.lit(-max_dist), F.lit(max_dist))
+    return (keywords.select("*", F.explode(offsets).alias("_off"))
+                    .withColumn("band_len", F.col("kw_len") + F.col("_off"))
+                    .drop("_off")
+                    .filter(F.col("band_len") >= F.lit(FV.MIN_TYPOSQUAT_TOKEN_LENGTH)))
+
+
 def brand_keyword_bands(spark: SparkSession, max_dist: int = FV.MAX_TYPOSQUAT_DISTANCE) -> DataFrame:
-    """Keywords repeated for every token length within ``max_dist`` of theirs.
+    """The fixed dictionary banded: 85 keywords x 5 lengths (409 rows after the
+    minimum token length)."""
+    return keyword_bands(brand_keywords(spark), max_dist)
+
 
-    Lets the typosquat join run as an equi join on length (hash join) instead
-    of a nested loop: 85 keywords x 5 lengths = 425 rows.
+# ------------------------------------------------- S2 / S3: dictionary files
+
+def read_brand_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON file ``{"Brand": ["kw", ...], ...}`` -> ``(brand, keyword, kw_len, ord)``.
+
+    Read as one text value, parsed with ``from_json`` and exploded twice;
+    ``ord`` keeps file order (brand position, then keyword position).
     """
-    kw = brand_keywords(spark)
-    offsets = F.sequence(F.lit(-max_dist), F.lit(max_dist))
-    return (kw.select("*", F.explode(offsets).alias("_off"))
-              .withColumn("band_len", F.col("kw_len") + F.col("_off"))
-              .drop("_off")
-              .filter(F.col("band_len") >= F.lit(FV.MIN_TYPOSQUAT_TOKEN_LENGTH)))
+    m = F.from_json(F.col("value"), "map<string,array<string>>")
+    brands = (spark.read.text(path, wholetext=True)
+              .select(F.posexplode(F.map_entries(m)).alias("_bpos", "_e"))
+              .select("_bpos", F.col("_e.key").alias("brand"), F.col("_e.value").alias("_kws")))
+    kws = brands.select("_bpos", "brand", F.posexplode("_kws").alias("_kpos", "keyword"))
+    return kws.select("brand", "keyword", F.length("keyword").cast("int").alias("kw_len"),
+                      (F.col("_bpos") * 100000 + F.col("_kpos")).cast("int").alias("ord"))
+
+
+def read_tld_table(spark: SparkSession, path: str) -> DataFrame:
+    """S3: a JSON file ``{"suffix": risk, ...}`` -> ``(suffix, risk, n_labels)``."""
+    m = F.from_json(F.col("value"), "map<string,double>")
+    e = spark.read.text(path, wholetext=True).select(F.explode(m).alias("suffix", "risk"))
+    return e.select("suffix", "risk", (F.size(F.split("suffix", r"\.")).cast("int")).alias("n_labels"))
