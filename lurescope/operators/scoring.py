@@ -95,6 +95,22 @@ def categorize(domain: Column, rules: list[tuple[str, str]] | None, default: str
     return out.otherwise(F.lit(default))
 
 
+def with_category_by_brand(df: DataFrame, brand_categories: DataFrame, default: str = "generic",
+                           brand_col: str = "closest_brand") -> DataFrame:
+    """P20, join form: ``category`` from a caller-supplied ``(brand, category)``
+    table via the row's closest brand; ``default`` when no brand or no entry.
+
+    A left equi join; the planner broadcasts the brand table when its size
+    allows (one row per brand of the dictionary).
+    """
+    cats = brand_categories.select(F.col("brand").alias("_cb"), F.col("category").alias("_cat"))
+    j = df.join(cats, F.col(brand_col) == F.col("_cb"), "left")
+    out = j.withColumn("_category", F.coalesce(F.col("_cat"), F.lit(default))).drop("_cb", "_cat")
+    if "category" in df.columns:
+        out = out.drop("category")
+    return out.withColumnRenamed("_category", "category")
+
+
 def with_zero_day(df: DataFrame, blacklist: DataFrame | None = None, flag: Column | None = None) -> DataFrame:
     """``is_zero_day`` = domain not in a known blacklist (left join on domain),
     or a caller-supplied flag expression; false when neither is given."""

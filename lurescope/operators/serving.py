@@ -56,6 +56,8 @@ def feed_page_after(feed: DataFrame, after_flagged_at=None, after_id: str | None
         df = df.filter(F.col("category") == F.lit(category))
     if after_flagged_at is not None:
         ts = F.lit(after_flagged_at).cast("timestamp")
+        if "flagged_date" in df.columns:
+            df = df.filter(F.col("flagged_date") <= F.to_date(ts))
         df = df.filter((F.col("flagged_at") < ts) |
                        ((F.col("flagged_at") == ts) & (F.col("id") > F.lit(after_id or ""))))
     return (df.select("id", "domain", "score", "verdict", "category", "flagged_at", "scan_id")
@@ -70,6 +72,12 @@ def daily_stats(feed: DataFrame, scans: DataFrame, as_of=None) -> DataFrame:
     partition pre-aggregates, one task merges a row per partition.
     """
     day = F.date_trunc("DAY", _as_of(as_of))
+    # Tables written by the sinks carry their UTC date as a partition column:
+    # bounding it lets the scan skip every earlier day's files.
+    if "flagged_date" in feed.columns:
+        feed = feed.filter(F.col("flagged_date") >= F.to_date(day))
+    if "created_date" in scans.columns:
+        scans = scans.filter(F.col("created_date") >= F.to_date(day))
     f = feed.select(F.lit(True).alias("_feed"), F.col("flagged_at").alias("_ts"),
                     F.lit(None).cast("double").alias("_conf"), F.lit(False).alias("_zd"))
     s = scans.select(F.lit(False).alias("_feed"), F.col("created_at").alias("_ts"),

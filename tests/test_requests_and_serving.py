@@ -109,3 +109,24 @@ def test_keyset_pages_equal_offset_pages(spark):
     first = serving.feed_page(feed, page=1, limit=2).collect()
     nxt = serving.feed_page_after(feed, first[-1].flagged_at, first[-1].id, limit=2).collect()
     assert nxt == serving.feed_page(feed, page=2, limit=2).collect()
+
+
+def test_category_by_brand(spark):
+    scans = _scans(spark)
+    cats = spark.createDataFrame([("SBI", "banking"), ("UPI", "upi")], "brand string, category string")
+    r = {x.url: x.category for x in scoring.with_category_by_brand(scans, cats).collect()}
+    assert r["https://secure-sbi-login.xyz"] == "banking"
+    assert r["https://google.com"] == "generic"
+
+
+def test_daily_stats_prunes_partitions(spark):
+    scans = _scans(spark)
+    sp, fp = scratch_path(spark, "stats_scans"), scratch_path(spark, "stats_feed")
+    scan_job.write_scan_results(scans, sp)
+    scan_job.write_threat_feed(scoring.threat_feed(scans), fp)
+    s, f = scan_job.read_scan_results(spark, sp), scan_job.read_threat_feed(spark, fp)
+    as_of = dt.datetime(2024, 1, 30, 18)
+    stats = serving.daily_stats(f, s, as_of)
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(created_date" in plan or "created_date" in plan
+    assert stats.first() == serving.daily_stats(scoring.threat_feed(scans), scans, as_of).first()
