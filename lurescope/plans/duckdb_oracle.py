@@ -169,7 +169,7 @@ CTE["req_domains"] = f"""req_domains AS (
 CTE["tok"] = f"""tok AS (
   SELECT domain, {brand_tokens('domain')} AS tokens FROM req_domains)"""
 CTE["tok_x"] = """tok_x AS (
-  SELECT domain, generate_subscripts(tokens, 1) - 1 AS pos, unnest(tokens) AS token FROM tok)"""
+  SELECT domain, CAST(generate_subscripts(tokens, 1) - 1 AS INTEGER) AS pos, unnest(tokens) AS token FROM tok)"""
 CTE["kw_hits"] = """kw_hits AS (
   SELECT t.domain, k.brand, k.keyword FROM tok t JOIN kw k ON contains(array_to_string(t.tokens, ''), k.keyword))"""
 CTE["typo_hits"] = f"""typo_hits AS (
@@ -412,7 +412,7 @@ def oracle_sql() -> dict[str, str]:
     o["idn_homograph"] = with_ctes(f"SELECT domain, {idn_select()} FROM ({lookalike}) d")
     o["idn_confusables"] = with_ctes(f"""
       SELECT domain, pos, ch, 'U+' || upper(printf('%04x', unicode(ch))) AS codepoint, looks_like
-      FROM (SELECT domain, generate_subscripts(chars, 1) AS pos, unnest(chars) AS ch
+      FROM (SELECT domain, CAST(generate_subscripts(chars, 1) AS INTEGER) AS pos, unnest(chars) AS ch
             FROM (SELECT domain, string_split(lower({py_strip('domain')}), '') AS chars FROM ({lookalike}) d
                   WHERE regexp_matches(domain, '[^\\x00-\\x7F]')) x) y
       JOIN ({values([(c, l) for c, l in FV.CONFUSABLES.items()])}) AS cf(c, looks_like) ON cf.c = y.ch""")
@@ -438,7 +438,7 @@ def oracle_sql() -> dict[str, str]:
       SELECT (SELECT count(*) FROM feed WHERE flagged_at >= {day}) AS threats_today,
              {py_round(f"coalesce((SELECT avg(confidence) FROM scans WHERE created_at >= {day}), 0.0::DOUBLE) * 100.0::DOUBLE", 1)} AS avg_confidence,
              (SELECT count(*) FROM scans WHERE is_zero_day AND created_at >= {day}) AS zero_day_count,
-             0 AS cert_alerts_count""")
+             CAST(0 AS BIGINT) AS cert_alerts_count""")
     o["scan_by_id"] = with_ctes(f"""SELECT {', '.join(SCAN_SCALAR_COLS)} FROM scans
       WHERE id IN (SELECT scan_id FROM feed ORDER BY flagged_at DESC, id ASC LIMIT 50)""")
     o["incident_report"] = with_ctes(f"""SELECT {q(FV.INCIDENT_ID_PREFIX)} || upper(substr(id, 1, 4)) AS incident_id,

@@ -44,6 +44,21 @@ def rows_of(cols, rows):
     return sorted(tuple(norm(r[i]) for i in order) for r in rows)
 
 
+_SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                  "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP"}
+
+
+def type_diffs(df, con, sql):
+    """Columns whose Spark type differs from the oracle's DuckDB type."""
+    d = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    out = {}
+    for f in df.schema.fields:
+        want = _SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+        if d.get(f.name) != want:
+            out[f.name] = (f.dataType.simpleString(), d.get(f.name))
+    return out
+
+
 def compare(spark, name, fn, sql, sf_dir, con):
     t0 = time.time()
     df = fn(spark, sf_dir)
@@ -61,7 +76,9 @@ def compare(spark, name, fn, sql, sf_dir, con):
     if a != b:
         sa, sb = set(a), set(b)
         diff = {"spark_only": sorted(sa - sb)[:3], "oracle_only": sorted(sb - sa)[:3]}
+    types = type_diffs(df, con, sql)
     return {"name": name, "rows": len(sp_rows), "oracle_rows": len(dk_rows), "cols_ok": ok_cols,
+            "type_diffs": types,
             "ok": ok_cols and a == b, "sec": round(t1 - t0, 2), "diff": diff,
             "cols": None if ok_cols else (sorted(sp_cols), sorted(dk_cols))}
 

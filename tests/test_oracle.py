@@ -21,6 +21,7 @@ def test_query_matches_oracle(spark, con, name):
         assert r["rows"] > 0
     else:
         assert r["ok"], r
+        assert r["type_diffs"] == {}, r["type_diffs"]
 
 
 def test_entry_smoke(spark):
