@@ -35,29 +35,38 @@ def _as_of(as_of) -> Column:
 
 # ------------------------------------------------------------------------ DNS
 
-def dns_rollup(dns_records: DataFrame) -> DataFrame:
-    """``(domain, dns_resolves, dns_a_record_count, dns_has_aaaa, dns_has_mx,
-    dns_resolved_ips)`` per lower-cased domain.
+def dns_rollup(dns_records: DataFrame, with_ips: bool = True) -> DataFrame:
+    """``(domain, dns_resolves, dns_a_record_count, dns_has_aaaa, dns_has_mx
+    [, dns_resolved_ips])`` per lower-cased domain.
 
     Answers are sets (an RRset has no duplicates), so repeated observations
-    of one record count once; the IP list is A then AAAA, each sorted (a
-    table keeps no server order).  A set per domain is bounded by what one
-    DNS answer can carry, whatever the number of observation rows.
+    of one record count once.  Two levels, both skew-safe: distinct
+    ``(domain, rtype, rdata)`` (the exchange is spread by ``rdata``, so a hot
+    domain is not one task), then plain counts per domain (partial
+    aggregation, one row per domain per partition).  The IP list -- A then
+    AAAA, each sorted, since a table keeps no server order -- is a detail
+    column, collected only when ``with_ips``.
     """
     rt = F.upper(F.col("rtype"))
-    agg = (dns_records.withColumn("domain", F.lower("domain"))
-           .groupBy("domain").agg(
-               F.collect_set(F.when(rt == "A", F.col("rdata"))).alias("_a"),
-               F.collect_set(F.when(rt == "AAAA", F.col("rdata"))).alias("_aaaa"),
-               F.max(rt == "MX").alias("_mx")))
-    return agg.select(
+    recs = (dns_records.select(F.lower("domain").alias("domain"), rt.alias("rtype"), "rdata")
+                       .filter(F.col("rtype").isin("A", "AAAA", "MX")).distinct())
+    aggs = [F.count_if(F.col("rtype") == "A").cast("int").alias("dns_a_record_count"),
+            F.count_if(F.col("rtype") == "AAAA").alias("_n_aaaa"),
+            F.count_if(F.col("rtype") == "MX").alias("_n_mx")]
+    if with_ips:
+        aggs += [F.collect_list(F.when(F.col("rtype") == "A", F.col("rdata"))).alias("_a"),
+                 F.collect_list(F.when(F.col("rtype") == "AAAA", F.col("rdata"))).alias("_aaaa")]
+    agg = recs.groupBy("domain").agg(*aggs)
+    cols = [
         "domain",
-        ((F.size("_a") + F.size("_aaaa")) > 0).alias("dns_resolves"),
-        F.size("_a").cast("int").alias("dns_a_record_count"),
-        (F.size("_aaaa") > 0).alias("dns_has_aaaa"),
-        F.coalesce(F.col("_mx"), F.lit(False)).alias("dns_has_mx"),
-        F.concat(F.array_sort("_a"), F.array_sort("_aaaa")).alias("dns_resolved_ips"),
-    )
+        ((F.col("dns_a_record_count") + F.col("_n_aaaa")) > 0).alias("dns_resolves"),
+        "dns_a_record_count",
+        (F.col("_n_aaaa") > 0).alias("dns_has_aaaa"),
+        (F.col("_n_mx") > 0).alias("dns_has_mx"),
+    ]
+    if with_ips:
+        cols.append(F.concat(F.array_sort("_a"), F.array_sort("_aaaa")).alias("dns_resolved_ips"))
+    return agg.select(*cols)
 
 
 # ---------------------------------------------------------------------- WHOIS
@@ -114,9 +123,12 @@ def whois_derive(whois_records: DataFrame, as_of=None) -> DataFrame:
 # ------------------------------------------------------------------------ TLS
 
 def _attr_map(c: Column, dtype: T.DataType) -> Column:
+    """Certificate name attributes as a map; ``k=v,k=v`` text is parsed (empty
+    text is the empty map, a repeated key keeps its last value like a dict)."""
     if isinstance(dtype, T.MapType):
         return c
-    return F.str_to_map(c, F.lit(","), F.lit("="))
+    return F.when(c == "", F.create_map().cast("map<string,string>")).otherwise(
+        F.str_to_map(c, F.lit(","), F.lit("=")))
 
 
 def parse_cert_date(s: Column) -> Column:
@@ -157,7 +169,8 @@ def tls_derive(tls_observations: DataFrame, as_of=None) -> DataFrame:
 # ---------------------------------------------------------------- J6 / J7
 
 def with_enrichment(domains: DataFrame, dns_records: DataFrame | None, whois_records: DataFrame | None,
-                    tls_observations: DataFrame | None, as_of=None, domain_col: str = "domain") -> DataFrame:
+                    tls_observations: DataFrame | None, as_of=None, domain_col: str = "domain",
+                    with_ips: bool = False) -> DataFrame:
     """J6 + J7: left-join the three rollups on the lookup host and fill defaults.
 
     Run on distinct domains.  The record rollups are hash-partitioned on
@@ -175,7 +188,7 @@ def with_enrichment(domains: DataFrame, dns_records: DataFrame | None, whois_rec
     if tls_observations is None:
         tls_observations = spark.createDataFrame(
             [], "domain string, observed_at timestamp, status string, issuer string, subject string, not_after string")
-    dns = dns_rollup(dns_records).withColumnRenamed("domain", "_jh")
+    dns = dns_rollup(dns_records, with_ips).withColumnRenamed("domain", "_jh")
     who = whois_derive(whois_records, as_of).withColumnRenamed("domain", "_jh")
     tls = tls_derive(tls_observations, as_of).withColumnRenamed("domain", "_jh")
     j = d.join(dns, "_jh", "left").join(who, "_jh", "left").join(tls, "_jh", "left")
@@ -185,7 +198,8 @@ def with_enrichment(domains: DataFrame, dns_records: DataFrame | None, whois_rec
         F.coalesce("dns_a_record_count", F.lit(0)).alias("dns_a_record_count"),
         F.coalesce("dns_has_aaaa", F.lit(False)).cast("int").alias("dns_has_aaaa"),
         F.coalesce("dns_has_mx", F.lit(False)).cast("int").alias("dns_has_mx"),
-        F.coalesce("dns_resolved_ips", F.array().cast("array<string>")).alias("dns_resolved_ips"),
+        *([F.coalesce("dns_resolved_ips", F.array().cast("array<string>")).alias("dns_resolved_ips")]
+          if with_ips else []),
         F.col("whois_domain_age_days"),
         F.coalesce("whois_recently_registered", F.lit(False)).cast("int").alias("whois_recently_registered"),
         F.coalesce("whois_privacy_protected", F.lit(False)).cast("int").alias("whois_privacy_protected"),

@@ -34,7 +34,7 @@ FEATURE_COLUMNS = [
 ]
 assert len(FEATURE_COLUMNS) == 38
 
-DETAIL_COLUMNS = ["matched_brands", "keyword_hits", "closest_brand", "dns_resolved_ips",
+DETAIL_COLUMNS = ["matched_brands", "keyword_hits", "closest_brand",
                   "whois_registrar", "ssl_issuer", "ssl_expired"]
 
 
@@ -45,7 +45,7 @@ def aggregate_lexical_risk(brand_score: Column, tld_risk: Column, idn_risk: Colu
 
 
 def domain_features(domains: DataFrame, dns_records=None, whois_records=None, tls_observations=None,
-                    as_of=None, brand_form: str = "join") -> DataFrame:
+                    as_of=None, brand_form: str = "join", with_ips: bool = False) -> DataFrame:
     """All domain-level features for a DataFrame of distinct ``domain`` values
     (other input columns are carried along)."""
     if brand_form == "join":
@@ -54,7 +54,7 @@ def domain_features(domains: DataFrame, dns_records=None, whois_records=None, tl
         b = brand_op.brand_features_rowlocal(domains)
     t = tld.with_tld_risk(b)
     i = idn.with_idn(t)
-    return enrich.with_enrichment(i, dns_records, whois_records, tls_observations, as_of)
+    return enrich.with_enrichment(i, dns_records, whois_records, tls_observations, as_of, with_ips=with_ips)
 
 
 HOT_DOMAIN_ROWS = 2_000_000
@@ -94,12 +94,13 @@ def join_back_salted(requests: DataFrame, per_domain: DataFrame, counts: DataFra
 def feature_vector(requests: DataFrame, dns_records=None, whois_records=None, tls_observations=None,
                    as_of=None, url_col: str = "url", brand_form: str = "join",
                    keep_details: bool = False, hot_domain_rows: int = HOT_DOMAIN_ROWS,
-                   salt_buckets: int = SALT_BUCKETS) -> DataFrame:
-    """Input columns + ``domain`` + the 38 features (+ detail columns if asked)."""
+                   salt_buckets: int = SALT_BUCKETS, with_ips: bool = False) -> DataFrame:
+    """Input columns + ``domain`` + the 38 features (+ detail columns if asked;
+    ``with_ips`` adds the resolved IP list)."""
     base = requests.withColumn("domain", domain_key(F.col(url_col)))
     lex = lexical.with_lexical_features(base, url_col)
     counts = materialize(base.groupBy("domain").agg(F.count(F.lit(1)).alias("_n")), "domain_counts")
-    dom = domain_features(counts, dns_records, whois_records, tls_observations, as_of, brand_form)
+    dom = domain_features(counts, dns_records, whois_records, tls_observations, as_of, brand_form, with_ips)
     j = join_back_salted(lex, dom, counts, "_n", hot_domain_rows, salt_buckets=salt_buckets)
     j = (j.withColumn("visual_similarity_score", F.lit(None).cast(T.DoubleType()))
           .withColumn("dom_credential_form_detected", F.lit(None).cast(T.BooleanType()))
@@ -109,6 +110,8 @@ def feature_vector(requests: DataFrame, dns_records=None, whois_records=None, tl
     keep = [c for c in requests.columns if c != "domain"] + ["domain", *FEATURE_COLUMNS]
     if keep_details:
         keep += DETAIL_COLUMNS
+    if with_ips:
+        keep.append("dns_resolved_ips")
     return j.select(*keep)
 
 

@@ -168,3 +168,14 @@ def test_domain_key_falls_back_to_url(spark):
     df = spark.createDataFrame([("example.com/?u=http://x",), ("sbi.com",)], "url string")
     r = [x.d for x in df.select(domain_key(F.col("url")).alias("d")).collect()]
     assert r == ["example.com/?u=http://x", "sbi.com"]
+
+
+def test_tls_empty_and_repeated_attributes(spark):
+    now = dt.datetime(2024, 1, 31)
+    tls = spark.createDataFrame([
+        ("empty.com", now, "UNTRUSTED", "", "", None),
+        ("dup.com", now, "UNTRUSTED", "commonName=a,commonName=b", "commonName=b", None),
+    ], "domain string, observed_at timestamp, status string, issuer string, subject string, not_after string")
+    r = {x.domain: x for x in enrich.tls_derive(tls, now).collect()}
+    assert r["empty.com"].ssl_self_signed is False      # empty issuer is falsy
+    assert r["dup.com"].ssl_self_signed is True and r["dup.com"].ssl_issuer == "b"
