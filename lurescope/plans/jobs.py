@@ -1,8 +1,8 @@
 """spark-submit entry points: the batch scan job and the streaming scan job.
 
-    spark-submit -m lurescope.plans.jobs batch  --requests R --dns D --whois W --tls T \
+    spark-submit --py-files lurescope.zip run_job.py batch --requests R --dns D --whois W --tls T \
         --scans OUT/scan_results --feed OUT/threat_feed --quarantine OUT/quarantine [--as-of ISO]
-    spark-submit -m lurescope.plans.jobs stream --requests R ... --checkpoint CK [--once]
+    spark-submit --py-files lurescope.zip run_job.py stream --requests R ... --checkpoint CK [--once]
 
 Inputs are Parquet tables with the schemas in ``sources.tables``; outputs are
 the date-partitioned sinks of ``scan_job``.  Re-running a batch over the
