@@ -40,6 +40,14 @@ def has_action_word(tokens: Column) -> Column:
     return F.arrays_overlap(tokens, dims.action_words_array())
 
 
+def action_word_domains(domains: DataFrame, domain_col: str = "domain") -> DataFrame:
+    """J5, relational form: the domains with at least one action-word token --
+    exploded tokens left-semi joined to the fixed 21-word table (broadcast)."""
+    words = F.broadcast(domains.sparkSession.range(1)
+                        .select(F.explode(dims.action_words_array()).alias("token")))
+    return tokenize(domains, domain_col).join(words, "token", "left_semi").select("domain").distinct()
+
+
 def typosquat_weight(dist: Column) -> Column:
     return F.lit(FV.KEYWORD_HIT_WEIGHT) * (F.lit(1.0) - dist / F.lit(float(FV.MAX_TYPOSQUAT_DISTANCE + 1)))
 

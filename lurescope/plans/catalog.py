@@ -136,6 +136,10 @@ def q_brand_tokens(spark, sf_dir):
                     F.array_contains(action_words_array(), F.col("token")).alias("is_action_word"))
 
 
+def q_brand_action_domains(spark, sf_dir):
+    return brand_op.action_word_domains(request_domains(spark, sf_dir))
+
+
 def q_brand_keyword_hits(spark, sf_dir):
     return brand_op.keyword_hits(request_domains(spark, sf_dir))
 
@@ -309,6 +313,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "idn_homograph": q_idn_homograph,
     "idn_confusables": q_idn_confusables,
     "brand_tokens": q_brand_tokens,
+    "brand_action_domains": q_brand_action_domains,
     "brand_keyword_hits": q_brand_keyword_hits,
     "brand_typosquat_hits": q_brand_typosquat_hits,
     "brand_score": q_brand_score,

@@ -417,6 +417,7 @@ def oracle_sql() -> dict[str, str]:
                   WHERE regexp_matches(domain, '[^\\x00-\\x7F]')) x) y
       JOIN ({values([(c, l) for c, l in FV.CONFUSABLES.items()])}) AS cf(c, looks_like) ON cf.c = y.ch""")
     o["brand_tokens"] = with_ctes(f"""SELECT domain, pos, token, list_contains({_action}, token) AS is_action_word FROM tok_x""")
+    o["brand_action_domains"] = with_ctes(f"SELECT DISTINCT domain FROM tok_x WHERE list_contains({_action}, token)")
     o["brand_keyword_hits"] = with_ctes("SELECT domain, brand, keyword FROM kw_hits")
     o["brand_typosquat_hits"] = with_ctes("SELECT domain, pos, token, brand, keyword, distance, weight FROM typo_hits")
     o["brand_score"] = with_ctes("SELECT * FROM brand")
