@@ -18,7 +18,8 @@ from ..operators import brand as brand_op
 from ..operators import enrich, features, idn, lexical, scoring, serving, tld
 from ..session import apply_job_conf, materialize, scratch_path
 from ..sources import fixtures as fx
-from ..sources.tables import read_table
+from ..sources.tables import (read_dns_records, read_table, read_tls_observations,
+                              read_whois_records)
 from ..streaming import scan_stream as st
 from . import scan_job
 
@@ -40,10 +41,21 @@ def request_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark, sf_dir):
-    """Fixture record tables; the small host table is checkpointed once and
-    the three record tables derive from it (not from the requests again)."""
-    h = materialize(fx.hosts(fx.scan_requests(spark, sf_dir)), "fixture_hosts")
-    return fx.dns_records(h), fx.whois_records(h), fx.tls_observations(h)
+    """The DNS / WHOIS / TLS record tables, as a deployment has them: Parquet
+    tables read through the S7-S9 readers.  The fixture derives them from the
+    given tables once per process and writes them to the shared folder."""
+    key = "records:" + sf_dir.rstrip("/")
+    if key not in _TABLES:
+        h = materialize(fx.hosts(fx.scan_requests(spark, sf_dir)), "fixture_hosts")
+        paths = (scratch_path(spark, "dns_records"), scratch_path(spark, "whois_records"),
+                 scratch_path(spark, "tls_observations"))
+        fx.dns_records(h).write.parquet(paths[0])
+        fx.whois_records(h).write.parquet(paths[1])
+        fx.tls_observations(h).write.parquet(paths[2])
+        _TABLES[key] = paths
+    dns_p, whois_p, tls_p = _TABLES[key]
+    return (read_dns_records(spark, dns_p), read_whois_records(spark, whois_p),
+            read_tls_observations(spark, tls_p))
 
 
 def fixture_scans(spark: SparkSession, sf_dir: str, rowlocal: bool = False) -> DataFrame:
