@@ -56,14 +56,18 @@ def shared_dir(spark: SparkSession) -> str:
     dir).  Only when nothing is configured -- local tests -- a scratch folder
     is created and registered as the checkpoint dir.
     """
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no SparkContext on the client (e.g. Spark Connect)
+        sc = None
+    d = sc.getCheckpointDir() if sc is not None else None
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
         if not d:
-            d = tempfile.mkdtemp(prefix="lurescope-ckpt-")
-        sc.setCheckpointDir(d)
-        d = sc.getCheckpointDir() or d
+            d = tempfile.mkdtemp(prefix="lurescope-ckpt-")  # local tests only: nothing configured
+        if sc is not None:
+            sc.setCheckpointDir(d)
+            d = sc.getCheckpointDir() or d
     return d
 
 

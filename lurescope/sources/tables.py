@@ -71,8 +71,11 @@ def spread_small_input(df: DataFrame) -> DataFrame:
     scale; a file with a single row group would otherwise run every narrow
     operator after the scan in one task.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # no RDD API (e.g. Spark Connect): leave the plan as it is
+        return df
     return df.repartition(cores) if n < cores else df
 
 
