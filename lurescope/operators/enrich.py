@@ -8,7 +8,6 @@ its row and gets the "lookup failed" defaults.
 
 from __future__ import annotations
 
-import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import py_strip, regex_alternation
-from ..functions.url import bad_netloc, domain_key
+from ..functions.url import bad_netloc
 from ..sources import fixed_values as FV
 from . import features as feat
 
@@ -51,7 +51,7 @@ def accepted(validated: DataFrame) -> DataFrame:
     return validated.filter(F.col("reject_reason").isNull()).drop("reject_reason")
 
 
-def rejected(validated: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+def rejected(validated: DataFrame) -> DataFrame:
     return validated.filter(F.col("reject_reason").isNotNull())
 
 

@@ -70,10 +70,12 @@ def write_threat_feed(feed: DataFrame, path: str) -> None:
 
 
 def read_scan_results(spark: SparkSession, path: str, parse_features: bool = False) -> DataFrame:
-    """The scan table; optionally parse ``features_json`` back into a struct."""
+    """The scan table; optionally parse ``features_json`` / ``shap_json`` back
+    into ``features`` (struct of the 38 columns) and ``shap`` (array of structs)."""
     df = spark.read.parquet(path)
     if parse_features:
-        df = df.withColumn("features", F.from_json("features_json", features_json_schema(spark)))
+        df = (df.withColumn("features", F.from_json("features_json", features_json_schema(spark)))
+                .withColumn("shap", F.from_json("shap_json", scoring.SHAP_SCHEMA)))
     return df
 
 
