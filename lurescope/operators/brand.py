@@ -24,7 +24,8 @@ BRAND_COLUMNS = [
     "brand_impersonation_score", "brand_matched_count", "brand_keyword_hit_count",
     "brand_typosquat_hit_count", "brand_has_action_word",
 ]
-BRAND_DETAIL_COLUMNS = ["matched_brands", "keyword_hits", "closest_brand"]
+BRAND_DETAIL_COLUMNS = ["matched_brands", "keyword_hits", "closest_brand", "typosquat_details"]
+TYPO_DETAIL_TYPE = "array<struct<token:string,brand:string,keyword:string,distance:int>>"
 
 
 def brand_tokens(domain: Column) -> Column:
@@ -119,9 +120,10 @@ def typosquat_hits(domains: DataFrame, domain_col: str = "domain", keywords: Dat
     """``(domain, pos, token, brand, keyword, distance, weight)`` for tokens of
     length >= 3 within edit distance 1..2 of a keyword (length band +-2)."""
     if keywords is None:
-        bands = F.broadcast(dims.brand_keyword_bands(domains.sparkSession).select("brand", "keyword", "band_len"))
+        bands = F.broadcast(dims.brand_keyword_bands(domains.sparkSession)
+                            .select("brand", "keyword", "ord", "band_len"))
     else:
-        bands = dims.keyword_bands(keywords).select("brand", "keyword", "band_len")
+        bands = dims.keyword_bands(keywords).select("brand", "keyword", "ord", "band_len")
     tok = (tokenize(domains, domain_col)
            .withColumn("_tlen", F.length("token"))
            .filter(F.col("_tlen") >= FV.MIN_TYPOSQUAT_TOKEN_LENGTH))
@@ -130,7 +132,7 @@ def typosquat_hits(domains: DataFrame, domain_col: str = "domain", keywords: Dat
                .filter(F.col("distance").between(1, FV.MAX_TYPOSQUAT_DISTANCE)))
     return hits.select("domain", "pos", "token", "brand", "keyword",
                        F.col("distance").cast("int").alias("distance"),
-                       typosquat_weight(F.col("distance")).alias("weight"))
+                       typosquat_weight(F.col("distance")).alias("weight"), "ord")
 
 
 def brand_features(domains: DataFrame, domain_col: str = "domain", keywords: DataFrame | None = None) -> DataFrame:
@@ -141,9 +143,10 @@ def brand_features(domains: DataFrame, domain_col: str = "domain", keywords: Dat
     d = domains.select(F.col(domain_col).alias("domain"))
     kw = keyword_hits(d, keywords=keywords).select("domain", "brand", "keyword",
                                 F.lit(0).alias("distance"), F.lit(0.0).alias("weight"),
-                                F.lit(True).alias("is_kw"))
+                                F.lit(True).alias("is_kw"), F.lit(None).cast("int").alias("pos"),
+                                F.lit(None).cast("string").alias("token"), F.lit(None).cast("int").alias("ord"))
     ty = typosquat_hits(d, keywords=keywords).select("domain", "brand", "keyword", "distance", "weight",
-                                  F.lit(False).alias("is_kw"))
+                                  F.lit(False).alias("is_kw"), "pos", "token", "ord")
     rollup = (kw.unionByName(ty).groupBy("domain").agg(
         F.count_if("is_kw").cast("int").alias("_n_kw"),
         F.count_if(~F.col("is_kw")).cast("int").alias("_n_typo"),
@@ -151,6 +154,9 @@ def brand_features(domains: DataFrame, domain_col: str = "domain", keywords: Dat
         F.array_sort(F.collect_set("brand")).alias("matched_brands"),
         F.array_sort(F.collect_set(F.when(F.col("is_kw"), F.col("keyword")))).alias("keyword_hits"),
         F.min(F.struct("distance", "brand")).getField("brand").alias("closest_brand"),
+        # bounded per domain by tokens x keywords; token order, then dictionary order
+        F.array_sort(F.collect_list(F.when(~F.col("is_kw"), F.struct(
+            "pos", "ord", "token", "brand", "keyword", "distance")))).alias("_typo"),
     ))
     base = domains.withColumnRenamed(domain_col, "domain").withColumn(
         "brand_has_action_word", has_action_word(brand_tokens(F.col("domain"))).cast("int"))
@@ -169,6 +175,10 @@ def brand_features(domains: DataFrame, domain_col: str = "domain", keywords: Dat
         F.coalesce("matched_brands", F.array().cast("array<string>")).alias("matched_brands"),
         F.coalesce("keyword_hits", F.array().cast("array<string>")).alias("keyword_hits"),
         "closest_brand",
+        F.coalesce(F.transform("_typo", lambda h: F.struct(h["token"].alias("token"), h["brand"].alias("brand"),
+                                                            h["keyword"].alias("keyword"),
+                                                            h["distance"].alias("distance"))),
+                   F.array().cast(TYPO_DETAIL_TYPE)).alias("typosquat_details"),
     )
 
 
@@ -190,7 +200,7 @@ def brand_columns_rowlocal(domain: Column) -> dict[str, Column]:
         near = F.filter(kws, lambda k: (F.abs(F.length(t) - F.length(k["keyword"]))
                                         <= FV.MAX_TYPOSQUAT_DISTANCE))
         scored = F.transform(near, lambda k: F.struct(
-            k["brand"].alias("brand"), k["keyword"].alias("keyword"),
+            t.alias("token"), k["brand"].alias("brand"), k["keyword"].alias("keyword"),
             F.levenshtein(t, k["keyword"], FV.MAX_TYPOSQUAT_DISTANCE).alias("distance")))
         return F.filter(scored, lambda h: h["distance"].between(1, FV.MAX_TYPOSQUAT_DISTANCE))
 
@@ -213,6 +223,9 @@ def brand_columns_rowlocal(domain: Column) -> dict[str, Column]:
         "matched_brands": F.array_sort(brands),
         "keyword_hits": F.array_sort(F.array_distinct(F.transform(kw_hits, lambda k: k["keyword"]))),
         "closest_brand": closest["brand"],
+        "typosquat_details": F.transform(typo, lambda h: F.struct(
+            h["token"].alias("token"), h["brand"].alias("brand"), h["keyword"].alias("keyword"),
+            h["distance"].cast("int").alias("distance"))),
     }
 
 

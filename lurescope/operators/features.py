@@ -34,7 +34,7 @@ FEATURE_COLUMNS = [
 ]
 assert len(FEATURE_COLUMNS) == 38
 
-DETAIL_COLUMNS = ["matched_brands", "keyword_hits", "closest_brand",
+DETAIL_COLUMNS = ["matched_brands", "keyword_hits", "closest_brand", "typosquat_details",
                   "whois_registrar", "ssl_issuer", "ssl_expired"]
 
 

@@ -39,7 +39,8 @@ def with_idn(df: DataFrame, domain_col: str = "domain") -> DataFrame:
 
 
 def confusable_details(df: DataFrame, domain_col: str = "domain") -> DataFrame:
-    """One row per look-alike occurrence: ``(domain, pos, ch, codepoint, looks_like, char_name)``.
+    """One row per look-alike occurrence: ``(domain, pos, ch, codepoint, looks_like, script)``
+    (``script`` is the Unicode character name, as the detector reports it).
 
     Characters are exploded and equi-joined to the fixed 24-row look-alike
     table (broadcast); only non-ASCII characters are exploded, which keeps
@@ -50,4 +51,4 @@ def confusable_details(df: DataFrame, domain_col: str = "domain") -> DataFrame:
                .filter(F.col("domain").rlike("[^\\x00-\\x7F]"))
                .select("domain", F.posexplode(F.split(idn_normal(F.col("domain")), "")).alias("pos", "ch")))
     return chars.join(conf, "ch").select("domain", (F.col("pos") + 1).alias("pos"), "ch",
-                                         "codepoint", "looks_like", "char_name")
+                                         "codepoint", "looks_like", F.col("char_name").alias("script"))

@@ -138,7 +138,7 @@ def q_idn_homograph(spark, sf_dir):
 
 
 def q_idn_confusables(spark, sf_dir):
-    return idn.confusable_details(_with_lookalikes(spark, sf_dir)).drop("char_name")
+    return idn.confusable_details(_with_lookalikes(spark, sf_dir)).drop("script")
 
 
 def q_brand_tokens(spark, sf_dir):
@@ -157,7 +157,7 @@ def q_brand_keyword_hits(spark, sf_dir):
 
 
 def q_brand_typosquat_hits(spark, sf_dir):
-    return brand_op.typosquat_hits(request_domains(spark, sf_dir))
+    return brand_op.typosquat_hits(request_domains(spark, sf_dir)).drop("ord")
 
 
 def _brand_view(df):

@@ -37,7 +37,7 @@ def golden_rows(spark):
     out = idn.with_idn(tld.with_tld_risk(lexical.with_lexical_features(df)))
     b = brand.brand_features(df.select("domain").distinct())
     rl = brand.brand_features_rowlocal(df.select("domain").distinct()) \
-              .select("domain", *[F.col(c).alias("rl_" + c) for c in brand.BRAND_COLUMNS])
+              .select("domain", *[F.col(c).alias("rl_" + c) for c in brand.BRAND_COLUMNS + ["typosquat_details"]])
     return {r.url: r for r in out.join(b, "domain", "left").join(rl, "domain", "left").collect()}
 
 
@@ -52,8 +52,9 @@ def test_golden(golden_rows, g):
     assert (r.tld, r.tld_risk_score, r.tld_known) == (tld_, risk, known)
     assert (r.idn_is_homograph, r.idn_confusable_count, r.idn_risk_score, r.idn_punycode_flag) == \
         (homo, n, idn_risk, puny)
-    for c in brand.BRAND_COLUMNS:
+    for c in brand.BRAND_COLUMNS + ["typosquat_details"]:
         assert r["rl_" + c] == r[c], c
+    assert len(r.typosquat_details) == r.brand_typosquat_hit_count
 
 
 def test_last_url_structure(golden_rows):
@@ -62,6 +63,12 @@ def test_last_url_structure(golden_rows):
     assert r.has_at_symbol == 1 and r.has_https == 1
 
 
+def test_typosquat_details_order(golden_rows):
+    r = golden_rows["sbi-hdfc-alert.info"]
+    assert [(h.token, h.keyword, h.distance) for h in r.typosquat_details] == \
+        [("sbi", "upi", 2), ("sbi", "sebi", 1), ("info", "epfo", 2)]
+
+
 def test_sbi_hdfc_alert_hits(spark):
     d = spark.createDataFrame([("sbi-hdfc-alert.info",)], "domain string")
     kw = {(r.keyword) for r in brand.keyword_hits(d).collect()}

@@ -80,7 +80,7 @@ def test_idn_expectations(spark):
     assert r[" Аа "].idn_confusable_count == 2          # upper-case look-alike lowered first
     det = idn.confusable_details(df).filter("domain = 'sbа.com'").first()
     assert (det.codepoint, det.ch, det.looks_like) == ("U+0430", "а", "a")
-    assert det.char_name == "CYRILLIC SMALL LETTER A"
+    assert det.script == "CYRILLIC SMALL LETTER A"
 
 
 def _records(spark):
