@@ -94,14 +94,15 @@ def join_back_salted(requests: DataFrame, per_domain: DataFrame, counts: DataFra
 def feature_vector(requests: DataFrame, dns_records=None, whois_records=None, tls_observations=None,
                    as_of=None, url_col: str = "url", brand_form: str = "join",
                    keep_details: bool = False, hot_domain_rows: int = HOT_DOMAIN_ROWS,
-                   salt_buckets: int = SALT_BUCKETS, with_ips: bool = False) -> DataFrame:
+                   salt_buckets: int = SALT_BUCKETS, with_ips: bool = False,
+                   max_hot_domains: int = MAX_HOT_DOMAINS) -> DataFrame:
     """Input columns + ``domain`` + the 38 features (+ detail columns if asked;
     ``with_ips`` adds the resolved IP list)."""
     base = requests.withColumn("domain", domain_key(F.col(url_col)))
     lex = lexical.with_lexical_features(base, url_col)
     counts = materialize(base.groupBy("domain").agg(F.count(F.lit(1)).alias("_n")), "domain_counts")
     dom = domain_features(counts, dns_records, whois_records, tls_observations, as_of, brand_form, with_ips)
-    j = join_back_salted(lex, dom, counts, "_n", hot_domain_rows, salt_buckets=salt_buckets)
+    j = join_back_salted(lex, dom, counts, "_n", hot_domain_rows, max_hot_domains, salt_buckets)
     j = (j.withColumn("visual_similarity_score", F.lit(None).cast(T.DoubleType()))
           .withColumn("dom_credential_form_detected", F.lit(None).cast(T.BooleanType()))
           .withColumn("aggregate_lexical_risk_score",

@@ -213,6 +213,17 @@ def q_feature_vector_rowlocal(spark, sf_dir):
     return _fv(spark, sf_dir, True)
 
 
+def q_feature_vector_salted(spark, sf_dir):
+    """The batch vector with hot-domain splitting active on this data: a domain
+    holding more than 2% of all requests is hot (the fixture's fixed lure
+    hosts each hold ~4%) and is spread over 16 salts at the join-back."""
+    dns, who, tls_obs = _records(spark, sf_dir)
+    req = valid_requests(spark, sf_dir)
+    f = features.feature_vector(req, dns, who, tls_obs, fx.AGES_AS_OF, hot_domain_rows=1,
+                                max_hot_domains=50, salt_buckets=16)
+    return f.select("request_id", "domain", *features.FEATURE_COLUMNS)
+
+
 def q_scan_results(spark, sf_dir):
     return _scan_view(fixture_scans(spark, sf_dir))
 
@@ -336,6 +347,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "domains_without_dns": q_domains_without_dns,
     "feature_vector": q_feature_vector,
     "feature_vector_rowlocal": q_feature_vector_rowlocal,
+    "feature_vector_salted": q_feature_vector_salted,
     "scan_results": q_scan_results,
     "threat_feed": q_threat_feed,
     "feed_page": q_feed_page,

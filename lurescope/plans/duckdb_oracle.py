@@ -429,6 +429,7 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT domain FROM req_domains WHERE lower({host_of('domain')}) NOT IN (SELECT lower(domain) FROM dns_records)")
     o["feature_vector"] = with_ctes(f"SELECT request_id, domain, {', '.join(FEATURE_COLS)} FROM features")
     o["feature_vector_rowlocal"] = o["feature_vector"]
+    o["feature_vector_salted"] = o["feature_vector"]
     o["scan_results"] = with_ctes(f"SELECT {', '.join(SCAN_SCALAR_COLS)} FROM scans")
     o["threat_feed"] = with_ctes("SELECT * FROM feed")
     o["feed_page"] = with_ctes("SELECT * FROM feed ORDER BY flagged_at DESC, id ASC LIMIT 50 OFFSET 50")
