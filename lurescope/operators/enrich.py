@@ -167,48 +167,78 @@ def tls_derive(tls_observations: DataFrame, as_of=None) -> DataFrame:
 
 # ---------------------------------------------------------------- J6 / J7
 
+def record_rollups(dns_records: DataFrame | None, whois_records: DataFrame | None,
+                   tls_observations: DataFrame | None, as_of=None, with_ips: bool = False) -> DataFrame | None:
+    """The three per-domain rollups in one table keyed by ``domain`` (the lookup
+    host), without defaults; ``None`` when no record table is given.
+
+    Each rollup comes out of an aggregate hash-partitioned on ``domain``, so
+    the full outer joins between them add no exchange.  A streaming job
+    computes this once (``session.materialize``) and joins every micro-batch
+    to it, instead of re-aggregating the record tables per trigger.
+    """
+    parts = []
+    if dns_records is not None:
+        parts.append(dns_rollup(dns_records, with_ips))
+    if whois_records is not None:
+        parts.append(whois_derive(whois_records, as_of))
+    if tls_observations is not None:
+        parts.append(tls_derive(tls_observations, as_of))
+    out = None
+    for p in parts:
+        out = p if out is None else out.join(p, "domain", "full_outer")
+    return out
+
+
+_ROLLUP_TYPES = {
+    "dns_resolves": "boolean", "dns_a_record_count": "int", "dns_has_aaaa": "boolean", "dns_has_mx": "boolean",
+    "dns_resolved_ips": "array<string>", "whois_found": "boolean", "whois_domain_age_days": "int",
+    "whois_registrar": "string", "whois_recently_registered": "boolean", "whois_privacy_protected": "boolean",
+    "ssl_valid": "boolean", "ssl_self_signed": "boolean", "ssl_issuer": "string",
+    "ssl_days_until_expiry": "int", "ssl_expired": "boolean",
+}
+
+
 def with_enrichment(domains: DataFrame, dns_records: DataFrame | None, whois_records: DataFrame | None,
                     tls_observations: DataFrame | None, as_of=None, domain_col: str = "domain",
-                    with_ips: bool = False) -> DataFrame:
-    """J6 + J7: left-join the three rollups on the lookup host and fill defaults.
-
-    Run on distinct domains.  The record rollups are hash-partitioned on
-    their domain, so the three joins share one partitioning of the probe
-    side; AQE turns a join into a broadcast only when the runtime size of a
-    rollup is under the broadcast threshold.
+                    with_ips: bool = False, rollups: DataFrame | None = None) -> DataFrame:
+    """J6 + J7: one left join of the domains to the combined record rollups on
+    the lookup host, then the "lookup failed" defaults.
+
+    Run on distinct domains (or a stream, as a stream-static join).  Pass a
+    precomputed ``rollups`` (``record_rollups``) to reuse it; otherwise it is
+    built from the record tables.  AQE turns the join into a broadcast only
+    when the runtime size of the rollups is under the broadcast threshold.
     """
-    spark = domains.sparkSession
+    if rollups is None:
+        rollups = record_rollups(dns_records, whois_records, tls_observations, as_of, with_ips)
     d = domains.withColumn("_jh", join_host(F.col(domain_col)))
-    if dns_records is None:
-        dns_records = spark.createDataFrame([], "domain string, rtype string, rdata string")
-    if whois_records is None:
-        whois_records = spark.createDataFrame(
-            [], "domain string, observed_at timestamp, creation_date timestamp, registrars string, org string")
-    if tls_observations is None:
-        tls_observations = spark.createDataFrame(
-            [], "domain string, observed_at timestamp, status string, issuer string, subject string, not_after string")
-    dns = dns_rollup(dns_records, with_ips).withColumnRenamed("domain", "_jh")
-    who = whois_derive(whois_records, as_of).withColumnRenamed("domain", "_jh")
-    tls = tls_derive(tls_observations, as_of).withColumnRenamed("domain", "_jh")
-    j = d.join(dns, "_jh", "left").join(who, "_jh", "left").join(tls, "_jh", "left")
+    if rollups is not None:
+        j = d.join(rollups.withColumnRenamed("domain", "_jh"), "_jh", "left")
+    else:
+        j = d
+
+    def col(name):
+        return F.col(name) if name in j.columns else F.lit(None).cast(_ROLLUP_TYPES[name])
+
     return j.select(
         *[c for c in domains.columns],
-        F.coalesce("dns_resolves", F.lit(False)).alias("dns_resolves"),
-        F.coalesce("dns_a_record_count", F.lit(0)).alias("dns_a_record_count"),
-        F.coalesce("dns_has_aaaa", F.lit(False)).cast("int").alias("dns_has_aaaa"),
-        F.coalesce("dns_has_mx", F.lit(False)).cast("int").alias("dns_has_mx"),
-        *([F.coalesce("dns_resolved_ips", F.array().cast("array<string>")).alias("dns_resolved_ips")]
+        F.coalesce(col("dns_resolves"), F.lit(False)).alias("dns_resolves"),
+        F.coalesce(col("dns_a_record_count"), F.lit(0)).alias("dns_a_record_count"),
+        F.coalesce(col("dns_has_aaaa"), F.lit(False)).cast("int").alias("dns_has_aaaa"),
+        F.coalesce(col("dns_has_mx"), F.lit(False)).cast("int").alias("dns_has_mx"),
+        *([F.coalesce(col("dns_resolved_ips"), F.array().cast("array<string>")).alias("dns_resolved_ips")]
           if with_ips else []),
-        F.col("whois_domain_age_days"),
-        F.coalesce("whois_recently_registered", F.lit(False)).cast("int").alias("whois_recently_registered"),
-        F.coalesce("whois_privacy_protected", F.lit(False)).cast("int").alias("whois_privacy_protected"),
-        F.coalesce("whois_found", F.lit(False)).cast("int").alias("whois_found"),
-        F.col("whois_registrar"),
-        F.coalesce("ssl_valid", F.lit(False)).alias("ssl_valid"),
-        F.coalesce("ssl_self_signed", F.lit(False)).cast("int").alias("ssl_self_signed"),
-        F.col("ssl_days_until_expiry"),
-        F.col("ssl_issuer"),
-        F.col("ssl_expired"),
+        col("whois_domain_age_days").alias("whois_domain_age_days"),
+        F.coalesce(col("whois_recently_registered"), F.lit(False)).cast("int").alias("whois_recently_registered"),
+        F.coalesce(col("whois_privacy_protected"), F.lit(False)).cast("int").alias("whois_privacy_protected"),
+        F.coalesce(col("whois_found"), F.lit(False)).cast("int").alias("whois_found"),
+        col("whois_registrar").alias("whois_registrar"),
+        F.coalesce(col("ssl_valid"), F.lit(False)).alias("ssl_valid"),
+        F.coalesce(col("ssl_self_signed"), F.lit(False)).cast("int").alias("ssl_self_signed"),
+        col("ssl_days_until_expiry").alias("ssl_days_until_expiry"),
+        col("ssl_issuer").alias("ssl_issuer"),
+        col("ssl_expired").alias("ssl_expired"),
     )
 
 

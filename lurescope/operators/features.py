@@ -45,7 +45,7 @@ def aggregate_lexical_risk(brand_score: Column, tld_risk: Column, idn_risk: Colu
 
 
 def domain_features(domains: DataFrame, dns_records=None, whois_records=None, tls_observations=None,
-                    as_of=None, brand_form: str = "join", with_ips: bool = False) -> DataFrame:
+                    as_of=None, brand_form: str = "join", with_ips: bool = False, rollups=None) -> DataFrame:
     """All domain-level features for a DataFrame of distinct ``domain`` values
     (other input columns are carried along)."""
     if brand_form == "join":
@@ -54,7 +54,8 @@ def domain_features(domains: DataFrame, dns_records=None, whois_records=None, tl
         b = brand_op.brand_features_rowlocal(domains)
     t = tld.with_tld_risk(b)
     i = idn.with_idn(t)
-    return enrich.with_enrichment(i, dns_records, whois_records, tls_observations, as_of, with_ips=with_ips)
+    return enrich.with_enrichment(i, dns_records, whois_records, tls_observations, as_of, with_ips=with_ips,
+                                  rollups=rollups)
 
 
 HOT_DOMAIN_ROWS = 2_000_000
@@ -95,13 +96,14 @@ def feature_vector(requests: DataFrame, dns_records=None, whois_records=None, tl
                    as_of=None, url_col: str = "url", brand_form: str = "join",
                    keep_details: bool = False, hot_domain_rows: int = HOT_DOMAIN_ROWS,
                    salt_buckets: int = SALT_BUCKETS, with_ips: bool = False,
-                   max_hot_domains: int = MAX_HOT_DOMAINS) -> DataFrame:
+                   max_hot_domains: int = MAX_HOT_DOMAINS, rollups=None) -> DataFrame:
     """Input columns + ``domain`` + the 38 features (+ detail columns if asked;
     ``with_ips`` adds the resolved IP list)."""
     base = requests.withColumn("domain", domain_key(F.col(url_col)))
     lex = lexical.with_lexical_features(base, url_col)
     counts = materialize(base.groupBy("domain").agg(F.count(F.lit(1)).alias("_n")), "domain_counts")
-    dom = domain_features(counts, dns_records, whois_records, tls_observations, as_of, brand_form, with_ips)
+    dom = domain_features(counts, dns_records, whois_records, tls_observations, as_of, brand_form, with_ips,
+                          rollups)
     j = join_back_salted(lex, dom, counts, "_n", hot_domain_rows, max_hot_domains, salt_buckets)
     j = (j.withColumn("visual_similarity_score", F.lit(None).cast(T.DoubleType()))
           .withColumn("dom_credential_form_detected", F.lit(None).cast(T.BooleanType()))
@@ -117,7 +119,7 @@ def feature_vector(requests: DataFrame, dns_records=None, whois_records=None, tl
 
 
 def feature_vector_rowlocal(requests: DataFrame, dns=None, whois=None, tls_obs=None, as_of=None,
-                            url_col: str = "url", keep_details: bool = False) -> DataFrame:
+                            url_col: str = "url", keep_details: bool = False, rollups=None) -> DataFrame:
     """Stream-friendly twin: no distinct / aggregation on the request side.
 
     Brand, TLD and IDN are row-local or joins to fixed broadcast tables; the
@@ -129,7 +131,7 @@ def feature_vector_rowlocal(requests: DataFrame, dns=None, whois=None, tls_obs=N
     b = brand_op.brand_features_rowlocal(lex)
     t = tld.with_tld_risk(b)
     i = idn.with_idn(t)
-    e = enrich.with_enrichment(i, dns, whois, tls_obs, as_of)
+    e = enrich.with_enrichment(i, dns, whois, tls_obs, as_of, rollups=rollups)
     e = (e.withColumn("visual_similarity_score", F.lit(None).cast(T.DoubleType()))
           .withColumn("dom_credential_form_detected", F.lit(None).cast(T.BooleanType()))
           .withColumn("aggregate_lexical_risk_score",

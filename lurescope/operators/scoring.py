@@ -133,7 +133,7 @@ def uuid_from(key: Column, namespace: str) -> Column:
 def scan_results(requests: DataFrame, dns=None, whois=None, tls_obs=None, as_of=None,
                  category_rules=None, zero_day: Column | None = None, blacklist: DataFrame | None = None,
                  scorer: Callable[[DataFrame], DataFrame] = rule_scorer, brand_form: str = "join",
-                 rowlocal: bool = False) -> DataFrame:
+                 rowlocal: bool = False, rollups: DataFrame | None = None) -> DataFrame:
     """Validated requests ``(request_id, ts, url, ...)`` -> ``scan_results`` rows.
 
     ``url`` must already be validated (see ``validate``).  ``score`` comes
@@ -141,10 +141,11 @@ def scan_results(requests: DataFrame, dns=None, whois=None, tls_obs=None, as_of=
     issuer, domain age and closest brand are filled from the features.
     """
     if rowlocal:
-        f = feat.feature_vector_rowlocal(requests, dns, whois, tls_obs, as_of, keep_details=True)
+        f = feat.feature_vector_rowlocal(requests, dns, whois, tls_obs, as_of, keep_details=True,
+                                         rollups=rollups)
     else:
         f = feat.feature_vector(requests, dns, whois, tls_obs, as_of, brand_form=brand_form,
-                                keep_details=True)
+                                keep_details=True, rollups=rollups)
     f = scorer(f)
     if blacklist is not None or zero_day is not None:
         f = with_zero_day(f, blacklist, zero_day)

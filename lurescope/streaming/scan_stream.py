@@ -42,14 +42,23 @@ def scan_job_stream(requests: DataFrame, scans_path: str, feed_path: str, checkp
 
     Each micro-batch is a static DataFrame, so it gets the batch plan: the
     features are computed once per distinct domain of the batch, not per
-    request.  Scans and feed are written to ``.../batch_id=<n>`` with
+    request.  The record rollups are computed once when the stream starts
+    and every micro-batch joins to that table.  Scans and feed are written to ``.../batch_id=<n>`` with
     overwrite, so a retried batch replaces its own output (exactly-once);
     the feed is derived from the scans just written.
     """
+    # The record tables are static inputs: roll them up once, not per trigger.
+    from ..operators.enrich import record_rollups
+    from ..session import materialize
+    rollups = record_rollups(dns, whois, tls_obs, as_of)
+    if rollups is not None:
+        rollups = materialize(rollups, "record_rollups")
+
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         ok = scoring.accepted(scoring.validate(batch))
         flag = zero_day_fn(F.col("request_id")) if zero_day_fn is not None else None
-        scans = scoring.scan_results(ok, dns, whois, tls_obs, as_of, category_rules, flag, scorer=scorer)
+        scans = scoring.scan_results(ok, None, None, None, as_of, category_rules, flag, scorer=scorer,
+                                     rollups=rollups)
         spath = f"{scans_path.rstrip('/')}/batch_id={batch_id}"
         scans.write.mode("overwrite").parquet(spath)
         written = batch.sparkSession.read.parquet(spath)
