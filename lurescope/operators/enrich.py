@@ -173,7 +173,8 @@ def record_rollups(dns_records: DataFrame | None, whois_records: DataFrame | Non
     host), without defaults; ``None`` when no record table is given.
 
     Each rollup comes out of an aggregate hash-partitioned on ``domain``, so
-    the full outer joins between them add no exchange.  A streaming job
+    the first full outer join adds no exchange; its coalesced key is
+    re-hashed once for the third (per-domain rows only).  A streaming job
     computes this once (``session.materialize``) and joins every micro-batch
     to it, instead of re-aggregating the record tables per trigger.
     """
