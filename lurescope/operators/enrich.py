@@ -203,21 +203,29 @@ _ROLLUP_TYPES = {
 def with_enrichment(domains: DataFrame, dns_records: DataFrame | None, whois_records: DataFrame | None,
                     tls_observations: DataFrame | None, as_of=None, domain_col: str = "domain",
                     with_ips: bool = False, rollups: DataFrame | None = None) -> DataFrame:
-    """J6 + J7: one left join of the domains to the combined record rollups on
-    the lookup host, then the "lookup failed" defaults.
-
-    Run on distinct domains (or a stream, as a stream-static join).  Pass a
-    precomputed ``rollups`` (``record_rollups``) to reuse it; otherwise it is
-    built from the record tables.  AQE turns the join into a broadcast only
-    when the runtime size of the rollups is under the broadcast threshold.
+    """J6 + J7: left-join the domains to the record rollups on the lookup
+    host, then the "lookup failed" defaults.
+
+    Run on distinct domains (or a stream, as a stream-static join).  With a
+    precomputed ``rollups`` table (``record_rollups``, what a stream uses) it
+    is one join; otherwise one left join per record table.  AQE turns a join
+    into a broadcast only when the runtime size of its right side is under
+    the broadcast threshold.
     """
-    if rollups is None:
-        rollups = record_rollups(dns_records, whois_records, tls_observations, as_of, with_ips)
     d = domains.withColumn("_jh", join_host(F.col(domain_col)))
     if rollups is not None:
         j = d.join(rollups.withColumnRenamed("domain", "_jh"), "_jh", "left")
     else:
+        # Batch: each rollup leaves its aggregate hash-partitioned on the host,
+        # so three left joins from the domain side re-hash nothing but the
+        # domains (a pre-joined table would re-hash its coalesced full-outer key).
         j = d
+        parts = [(dns_records, lambda r: dns_rollup(r, with_ips)),
+                 (whois_records, lambda r: whois_derive(r, as_of)),
+                 (tls_observations, lambda r: tls_derive(r, as_of))]
+        for records, rollup in parts:
+            if records is not None:
+                j = j.join(rollup(records).withColumnRenamed("domain", "_jh"), "_jh", "left")
 
     def col(name):
         return F.col(name) if name in j.columns else F.lit(None).cast(_ROLLUP_TYPES[name])
