@@ -29,7 +29,9 @@ SUB_BITS = 5
 FENCE = 3
 MIN_GROUP = 30
 #: Statistic -> slack: shares in 1/10,000, word length in 1/100 characters.
-STATISTICS = {"symbol_share": 100, "dup_line_share": 300, "repeat_share": 500, "word_length": 100}
+#: The slack is what ordinary documents show now and then (a quoted passage, a
+#: line printed twice), so a group without any spread doesn't reject those.
+STATISTICS = {"symbol_share": 100, "dup_line_share": 3500, "repeat_share": 3000, "word_length": 200}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
