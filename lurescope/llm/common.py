@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurescope.session import materialize
+from lurescope.session import scratch_path
 
 #: Fixed values of the word contracts (bytes 0x09-0x0D and 0x20 separate words).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -17,6 +17,26 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder (``spark.checkpoint.dir``), read back.
+
+    Cuts the lineage, survives lost executors, and shows the planner the real
+    size.  The shuffle files of the write are removed when it is done, so the
+    disk holds one step's shuffles at a time.
+    """
+    spark = df.sparkSession
+    path, was = scratch_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    return spark.read.parquet(path)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A given table, by a path that only Spark needs to be able to open."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
