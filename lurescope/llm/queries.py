@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lurescope.llm import minhash, mixing, quality_rules, sharding, suffix
+from lurescope.llm import minhash, mixing, quality_rules, sharding, suffix, winnowing
 from lurescope.llm.oracle import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op2_sharding": sharding.op2_sharding,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_winnowing": winnowing.op6_winnowing,
     "op7_suffix": suffix.op7_suffix,
     "op9_minhash": minhash.op9_minhash,
 }
