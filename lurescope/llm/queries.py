@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lurescope.llm import licenses, minhash, mixing, quality_rules, sharding, suffix, winnowing
+from lurescope.llm import licenses, minhash, mixing, quality_rules, sharding, suffix, warc, winnowing
 from lurescope.llm.oracle import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_suffix": suffix.op7_suffix,
     "op8_licenses": licenses.op8_licenses,
     "op9_minhash": minhash.op9_minhash,
+    "op10_warc": warc.op10_warc,
 }
 
 
