@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lurescope.llm import licenses, minhash, mixing, quality_rules, rule_ensemble, sharding, suffix, warc, winnowing
+from lurescope.llm import licenses, minhash, mixing, quality_rules, rule_ensemble, sharding, suffix, toxicity, warc, winnowing
 from lurescope.llm.oracle import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op2_sharding": sharding.op2_sharding,
+    "op3_crf_toxicity": toxicity.op3_crf_toxicity,
     "op4_rule_ensemble": rule_ensemble.op4_rule_ensemble,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_winnowing": winnowing.op6_winnowing,
