@@ -1,3 +1,165 @@
-"""DuckDB SQL for the training-data queries, written apart from the Spark code."""
+"""DuckDB SQL for the training-data queries, written apart from the Spark code.
 
-ORACLES: dict[str, str] = {}
+Shard positions, thresholds, windows, links and digests are worked out the plain
+way (global windows, full sorts, joins of all windows), without the operators'
+buckets, sketches of groups, fingerprints or tables.  Operators that SQL can't
+express (trained models, signature suppression, byte suffixes) are tested by
+brute force or held-out accuracy in tests/llm.
+"""
+
+from __future__ import annotations
+
+from lurescope.llm import quality_rules
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+MIXING = rf"""
+WITH d AS (
+  SELECT doc_id, source, len({WORDS}) AS size,
+         (('0x' || substr(md5('17|' || doc_id), 1, 13))::BIGINT + 1)::DOUBLE / 4503599627370496.0 AS u,
+         length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS symbols, length(coalesce(text, '')) AS chars
+  FROM documents),
+k AS (SELECT doc_id, source, size, greatest(1e-18, -ln(u) / greatest(0.05, 1 - 4 * symbols / greatest(1, chars))) AS key FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS wt FROM s),
+-- a source is capped if sharing the words left by the sources with a smaller ratio of cap to weight exceeds its cap
+c AS (SELECT a.source, a.source_size, a.wt,
+             3 * a.source_size * (SELECT sum(wt) FROM w b WHERE (3 * b.source_size / b.wt, b.source) >= (3 * a.source_size / a.wt, a.source))
+             <= a.wt * ((SELECT sum(source_size) FROM w) - coalesce((SELECT sum(3 * source_size) FROM w b
+                         WHERE (3 * b.source_size / b.wt, b.source) < (3 * a.source_size / a.wt, a.source)), 0)) AS capped FROM w a),
+t AS (SELECT source, source_size, CASE WHEN capped THEN (3 * source_size)::DOUBLE ELSE
+        (wt * ((SELECT sum(source_size) FROM c) - coalesce((SELECT sum(3 * source_size) FROM c WHERE capped), 0)))::DOUBLE
+        / (SELECT sum(wt) FROM c WHERE NOT capped) END AS target FROM c),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(target / source_size))::BIGINT ELSE 0 END AS epochs FROM t),
+p AS (SELECT doc_id, size, source_size, target, epochs, round(target - epochs * source_size)::BIGINT AS budget,
+             sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - size AS before
+      FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (epochs * size + greatest(0, least(size, budget - before)))::BIGINT AS taken, epochs::INTEGER AS epochs FROM p
+"""
+
+
+def _hilbert_steps(source: str, bits: int) -> tuple[str, str]:
+    """CTEs that turn columns x0, x1, x2 of ``source`` step by step; (CTE text, last name)."""
+    ctes, last, k = [], source, 0
+    for b in range(bits - 1, 0, -1):
+        q = 1 << b
+        for i in range(3):
+            t = f"(xor(x0, x{i}) & {q - 1})"
+            cols = [f"CASE WHEN x{i} & {q} <> 0 THEN xor(x0, {q - 1}) ELSE xor(x0, {t}) END AS x0"]
+            cols += [(f"CASE WHEN x{i} & {q} <> 0 THEN x{i} ELSE xor(x{i}, {t}) END AS x{i}" if j == i else f"x{j}") for j in (1, 2)]
+            ctes.append(f"h{k} AS (SELECT doc_id, size, crc, {', '.join(cols)} FROM {last})")
+            last, k = f"h{k}", k + 1
+    ctes.append(f"g1 AS (SELECT doc_id, size, crc, x0, xor(x1, x0) AS x1, xor(x2, xor(x1, x0)) AS x2 FROM {last})")
+    flip = "0"
+    for b in range(bits - 1, 0, -1):
+        flip = f"xor({flip}, CASE WHEN x2 & {1 << b} <> 0 THEN {(1 << b) - 1} ELSE 0 END)"
+    ctes.append(f"g2 AS (SELECT doc_id, size, crc, xor(x0, f) AS x0, xor(x1, f) AS x1, xor(x2, f) AS x2 FROM (SELECT *, {flip} AS f FROM g1))")
+    woven = " + ".join(f"((x{i} >> {b}) & 1) * {1 << (3 * b + 2 - i)}" for b in range(bits) for i in range(3))
+    ctes.append(f"curve AS (SELECT doc_id, size, crc, ({woven})::BIGINT AS curve FROM g2)")
+    return ",\n".join(ctes), "curve"
+
+
+_STEPS, _LAST = _hilbert_steps("start", 8)
+SHARDING = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+               lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+b AS (SELECT doc_id, source, lang, hex(encode(coalesce(text, ''))) AS h FROM documents),
+d AS (SELECT doc_id, source, lang, length(h) // 2 + 8 AS size,
+             xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+                 lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295)::BIGINT AS crc FROM b, crc),
+src AS (SELECT source, (rank() OVER (ORDER BY source NULLS LAST) - 1) * 256 // count(*) OVER () AS x0 FROM (SELECT DISTINCT source FROM d)),
+lng AS (SELECT lang, (rank() OVER (ORDER BY lang NULLS LAST) - 1) * 256 // count(*) OVER () AS x1 FROM (SELECT DISTINCT lang FROM d)),
+start AS (SELECT doc_id, size, crc, x0::BIGINT AS x0, x1::BIGINT AS x1, least(255, floor(log2(size + 1) * 8))::BIGINT AS x2
+          FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source JOIN lng ON d.lang IS NOT DISTINCT FROM lng.lang),
+{_STEPS},
+placed AS (SELECT *, row_number() OVER (ORDER BY curve, doc_id, crc) - 1 AS pos, count(*) OVER () AS n FROM {_LAST}),
+cut AS (SELECT *, pos * 24 // n AS shard FROM placed)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'rows' AS law, shard::INTEGER AS shard,
+       (pos - (shard * n + 23) // 24)::BIGINT AS slot, NULL::INTEGER AS grown_shard, curve FROM cut
+"""
+
+_STATS = list(quality_rules.STATISTICS)
+_SLACK = " ".join(f"WHEN '{k}' THEN {v}" for k, v in quality_rules.STATISTICS.items())
+QUALITY = rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT doc_id, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS gram FROM x
+      WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g WHERE gram IS NOT NULL),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS ln FROM d),
+b AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ln) - len(list_distinct(ln)))::BIGINT AS n_dup_lines,
+             coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(ln) AS n_lines
+      FROM d JOIN l USING (doc_id) LEFT JOIN cov USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 10000 * n_symbols // greatest(1, word_chars) AS symbol_share,
+             10000 * n_dup_lines // greatest(1, n_lines) AS dup_line_share, 10000 * n_repeat_words // greatest(1, n_words) AS repeat_share,
+             100 * word_chars // greatest(1, n_words) AS word_length FROM b),
+u AS (SELECT doc_id, lang, source, base_failed, unnest({_STATS}) AS stat, unnest([{', '.join(_STATS)}]) AS v FROM f),
+-- the sketch keeps the six leading binary digits of a value and fills the rest with ones
+q AS (SELECT *, (((v >> sh) + 1) << sh) - 1 AS bucket FROM (SELECT *, greatest(0, length(bin(v)) - 6) AS sh FROM u WHERE NOT base_failed)),
+quart AS (
+  SELECT 0 AS level, lang, source, stat, count(*) AS n, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM q GROUP BY lang, source, stat
+  UNION ALL SELECT 1, lang, NULL, stat, count(*), quantile_disc(bucket, 0.25), quantile_disc(bucket, 0.75) FROM q GROUP BY lang, stat
+  UNION ALL SELECT 2, NULL, NULL, stat, count(*), quantile_disc(bucket, 0.25), quantile_disc(bucket, 0.75) FROM q GROUP BY stat),
+fence AS (SELECT level, lang, source, stat, n, q3 + 3 * (q3 - q1) + CASE stat {_SLACK} END AS lim FROM quart),
+bad AS (SELECT DISTINCT u.doc_id FROM u
+        JOIN fence a ON a.level = 0 AND a.stat = u.stat AND a.lang IS NOT DISTINCT FROM u.lang AND a.source IS NOT DISTINCT FROM u.source
+        JOIN fence c ON c.level = 1 AND c.stat = u.stat AND c.lang IS NOT DISTINCT FROM u.lang JOIN fence z ON z.level = 2 AND z.stat = u.stat
+        WHERE u.v > CASE WHEN a.n >= 30 THEN a.lim WHEN c.n >= 30 THEN c.lim ELSE z.lim END)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept
+FROM f LEFT JOIN bad USING (doc_id)
+"""
+
+WINNOWING = rf"""
+WITH i AS (SELECT item_id, {ALNUM} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, m, array_to_string(w[s:s + m - 1], ' ') AS win
+       FROM (SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id, {ALNUM} AS w FROM documents),
+dw AS (SELECT doc_id, m, s, array_to_string(w[s:s + m - 1], ' ') AS win
+       FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM d, (SELECT DISTINCT m FROM iw) WHERE len(w) >= m)),
+hit AS (SELECT doc_id, s, dw.m, item_id FROM dw JOIN iw ON dw.m = iw.m AND dw.win = iw.win),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + m)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+        FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+MINHASH = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, hash(array_to_string(w[s:s + 4], ' ')) AS g
+       FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS s FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM both_ JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+edge AS (SELECT x AS a, y AS b FROM link UNION SELECT y, x FROM link),
+reach AS (SELECT a AS doc_id, a AS r FROM (SELECT DISTINCT a FROM edge) UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON reach.r = edge.a),
+comp AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id,
+       coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
+"""
+
+WARC = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+v AS (SELECT *, list_transform(range(8), lambda g: ('0x' || substr(h, 5 * g + 1, 5))::BIGINT) AS five FROM p),
+a AS (SELECT *, array_to_string(list_transform(range(32), lambda c:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((five[c // 4 + 1] >> (15 - 5 * (c % 4))) & 31) + 1, 1)), '') AS payload_digest,
+        min(page_id) OVER (PARTITION BY h) AS first_id FROM v)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM a
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_mixing": MIXING,
+    "op2_sharding": SHARDING,
+    "op5_quality_rules": QUALITY,
+    "op6_winnowing": WINNOWING,
+    "op9_minhash": MINHASH,
+    "op10_warc": WARC,
+}
