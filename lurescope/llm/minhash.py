@@ -124,7 +124,7 @@ def shared_keys(rows: DataFrame, key: str, extra: list[str]) -> DataFrame:
 
 
 def table_buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, rep) of the combined tables, for buckets of two classes or more.
+    """(bucket, i, j, rep) of the combined tables (i, j), for buckets of two classes or more.
 
     A table key can only repeat where both of its bands do, so bands that no
     other class has are dropped before the keys are combined.
@@ -135,8 +135,16 @@ def table_buckets(classes: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("band") < GROUPS, F.struct("band", "value"))).alias("a"),
         F.collect_list(F.when(F.col("band") >= GROUPS, F.struct("band", "value"))).alias("b"))  # at most 2 * GROUPS
     keys = pairs.select("rep", F.explode("a").alias("a"), "b").select("rep", "a", F.explode("b").alias("b")) \
-                .select("rep", F.xxhash64("a.band", "a.value", "b.band", "b.value").alias("bucket"))
-    return shared_keys(keys, "bucket", ["rep"])
+                .select("rep", F.col("a.band").cast("byte").alias("i"), F.col("b.band").cast("byte").alias("j"),
+                        F.xxhash64("a.band", "a.value", "b.band", "b.value").alias("bucket"))
+    return shared_keys(keys, "bucket", ["rep", "i", "j"])
+
+
+def first_common_table(i: Column, j: Column, bands1: Column, bands2: Column) -> Column:
+    """Whether (i, j) is the first table in which two classes collide, so that a pair counts once."""
+    same = F.zip_with(bands1, bands2, lambda p, q: p == q)
+    return (F.array_position(F.slice(same, 1, GROUPS), F.lit(True)) == i + 1) \
+        & (F.array_position(F.slice(same, GROUPS + 1, GROUPS), F.lit(True)) == j + 1 - GROUPS)
 
 
 def own_items(sets: DataFrame) -> DataFrame:
@@ -186,17 +194,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                .groupBy("rep").agg(F.min("lead").alias("lead"))
     links = C.materialize(verified(first.select(F.col("rep").alias("x"), F.col("lead.rep").alias("y")), sets), "minhash_links")
     groups = components(links)
-    # what the leaders left apart
+    # what the leaders left apart, once per pair
     of = groups.select(F.col("node").alias("rep"), "component")
     led = led.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     of_lead = groups.select(F.col("node").alias("lr"), F.col("component").alias("lc"))
     led = led.join(of_lead, F.col("lead.rep") == F.col("lr"), "left") \
-             .select("bucket", "rep", "n", "own", "component", F.coalesce("lc", F.col("lead.rep")).alias("lead_component"))
+             .withColumn("lead_component", F.coalesce("lc", F.col("lead.rep"))).drop("lr", "lc", "lead")
     led = C.materialize(led, "minhash_led")
     apart = led.filter("component <> lead_component")
-    other = led.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "own", "component")])
-    rest = apart.join(other, "bucket").filter(F.col("component") != F.col("component2")) \
-                .filter(reachable(F.col("n"), F.col("own"), F.col("n2"), F.col("own2"))) \
+    where = apart.select(F.col("bucket").alias("b")).distinct()
+    banded = classes.select(F.col("rep").alias("r"), "bands")
+    led = C.materialize(led.join(where, F.col("bucket") == F.col("b"), "left_semi")
+                        .join(banded, F.col("rep") == F.col("r")).drop("r"), "minhash_apart")
+    apart = led.filter("component <> lead_component")
+    other = led.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "own", "component", "bands")])
+    rest = apart.join(other, (apart["bucket"] == other["bucket"]) & (F.col("component") != F.col("component2"))
+                      & reachable(F.col("n"), F.col("own"), F.col("n2"), F.col("own2"))
+                      & first_common_table(F.col("i"), F.col("j"), F.col("bands"), F.col("bands2"))) \
                 .select(F.least("rep", "rep2").alias("x"), F.greatest("rep", "rep2").alias("y")).distinct()
     more = C.materialize(verified(C.materialize(rest, "minhash_rest"), sets), "minhash_links")
     final = components(links.union(more)).select("node", "component") if not more.isEmpty() else groups
