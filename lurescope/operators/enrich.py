@@ -253,6 +253,6 @@ def with_enrichment(domains: DataFrame, dns_records: DataFrame | None, whois_rec
 
 def domains_without_records(domains: DataFrame, records: DataFrame, domain_col: str = "domain") -> DataFrame:
     """Domains whose lookup host has no row in ``records`` (left anti join)."""
-    keys = records.select(F.lower("domain").alias("_jh"))
+    keys = records.select(F.lower("domain").alias("_jh")).distinct()  # combined map-side: a hot domain is one row a task
     return (domains.withColumn("_jh", join_host(F.col(domain_col)))
                    .join(keys, "_jh", "left_anti").drop("_jh"))

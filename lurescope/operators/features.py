@@ -34,6 +34,14 @@ FEATURE_COLUMNS = [
 ]
 assert len(FEATURE_COLUMNS) == 38
 
+_BOOLEANS = {"dns_resolves", "ssl_valid", "dom_credential_form_detected"}
+_DOUBLES = {"entropy", "brand_impersonation_score", "tld_risk_score", "idn_risk_score", "visual_similarity_score",
+            "aggregate_lexical_risk_score"}
+#: The 38 columns as the stored JSON has them.
+FEATURE_SCHEMA = T.StructType([
+    T.StructField(c, T.BooleanType() if c in _BOOLEANS else T.DoubleType() if c in _DOUBLES
+                  else T.StringType() if c == "tld" else T.IntegerType()) for c in FEATURE_COLUMNS])
+
 DETAIL_COLUMNS = ["matched_brands", "keyword_hits", "closest_brand", "typosquat_details",
                   "whois_registrar", "ssl_issuer", "ssl_expired"]
 

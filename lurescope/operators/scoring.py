@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import py_strip, regex_alternation
-from ..functions.url import bad_netloc
+from ..functions.url import bad_netloc, domain_key
 from ..sources import fixed_values as FV
 from . import features as feat
 
@@ -63,25 +63,31 @@ def rule_score(domain: Column) -> Column:
              .otherwise(F.lit(FV.RULE_SCORE_MISS)))
 
 
-def verdict(score: Column) -> Column:
-    """PHISHING >= 70, SUSPICIOUS >= 40, else SAFE."""
-    return (F.when(score >= FV.HIGH_RISK_THRESHOLD, F.lit("PHISHING"))
-             .when(score >= FV.MEDIUM_RISK_THRESHOLD, F.lit("SUSPICIOUS"))
+def verdict(score: Column, high: int = FV.HIGH_RISK_THRESHOLD, medium: int = FV.MEDIUM_RISK_THRESHOLD) -> Column:
+    """PHISHING >= high (70), SUSPICIOUS >= medium (40), else SAFE."""
+    return (F.when(score >= high, F.lit("PHISHING"))
+             .when(score >= medium, F.lit("SUSPICIOUS"))
              .otherwise(F.lit("SAFE")))
 
 
-def rule_scorer(df: DataFrame) -> DataFrame:
+def rule_scorer(df: DataFrame, high: int = FV.HIGH_RISK_THRESHOLD, medium: int = FV.MEDIUM_RISK_THRESHOLD) -> DataFrame:
     """U2 default scorer: adds ``score`` INT, ``verdict``, ``confidence``.
 
     Any ``DataFrame -> DataFrame`` adding the same three columns can replace
-    it (a Spark ML model's ``transform``, a pandas UDF, ...).
+    it (a Spark ML model's ``transform``, a pandas UDF, ...).  A scorer may
+    also add any of ``SCORER_OUTPUTS``; the scan rows keep what it adds.
     """
     s = rule_score(F.col("domain"))
     return (df.withColumn("score", s.cast("int"))
-              .withColumn("verdict", verdict(F.col("score")))
+              .withColumn("verdict", verdict(F.col("score"), high, medium))
               .withColumn("confidence", F.col("score") / F.lit(100.0)))
 
 
+#: Optional scorer columns that replace the defaults of a scan row (``shap``: SHAP_SCHEMA).
+SCORER_OUTPUTS = ["category", "is_zero_day", "domain_age_days", "registrar", "ssl_issuer", "visual_similarity",
+                  "closest_brand", "shap"]
+
+
 # ----------------------------------------------------------- P20, J8
 
 def categorize(domain: Column, rules: list[tuple[str, str]] | None, default: str = "generic") -> Column:
@@ -115,7 +121,7 @@ def with_zero_day(df: DataFrame, blacklist: DataFrame | None = None, flag: Colum
     """``is_zero_day`` = domain not in a known blacklist (left join on domain),
     or a caller-supplied flag expression; false when neither is given."""
     if blacklist is not None:
-        bl = blacklist.select(F.col("domain").alias("_bl")).distinct()
+        bl = blacklist.select(F.col("domain").alias("_bl")).distinct()  # one row per domain: the join adds none
         return (df.join(bl, F.col("domain") == F.col("_bl"), "left")
                   .withColumn("is_zero_day", F.col("_bl").isNull()).drop("_bl"))
     return df.withColumn("is_zero_day", flag if flag is not None else F.lit(False))
@@ -146,25 +152,30 @@ def scan_results(requests: DataFrame, dns=None, whois=None, tls_obs=None, as_of=
     else:
         f = feat.feature_vector(requests, dns, whois, tls_obs, as_of, brand_form=brand_form,
                                 keep_details=True, rollups=rollups)
+    plain = set(f.columns)
     f = scorer(f)
-    if blacklist is not None or zero_day is not None:
+    # closest_brand and ssl_issuer are also feature details: a scorer replaces them in place
+    scored = {c for c in SCORER_OUTPUTS if c in f.columns and c not in plain}
+    if "is_zero_day" not in scored:
         f = with_zero_day(f, blacklist, zero_day)
-    else:
-        f = f.withColumn("is_zero_day", F.lit(False))
+
+    def pick(name: str, default: Column) -> Column:
+        return F.col(name) if name in scored else default
+
     return f.select(
         uuid_from(F.col("request_id"), "scan").alias("id"),
         "domain", "url",
         F.col("score").cast("int").alias("score"),
         "verdict",
         F.col("confidence").cast("double").alias("confidence"),
-        categorize(F.col("domain"), category_rules).alias("category"),
+        pick("category", categorize(F.col("domain"), category_rules)).alias("category"),
         F.col("is_zero_day").cast("boolean").alias("is_zero_day"),
-        F.to_json(feat.features_struct()).alias("features_json"),
-        F.lit("[]").alias("shap_json"),
-        F.col("whois_domain_age_days").alias("domain_age_days"),
-        F.col("whois_registrar").alias("registrar"),
+        F.to_json(feat.features_struct(), {"ignoreNullFields": "false"}).alias("features_json"),
+        (F.coalesce(F.to_json("shap"), F.lit("[]")) if "shap" in scored else F.lit("[]")).alias("shap_json"),
+        pick("domain_age_days", F.col("whois_domain_age_days")).cast("int").alias("domain_age_days"),
+        pick("registrar", F.col("whois_registrar")).alias("registrar"),
         "ssl_issuer",
-        F.col("visual_similarity_score").alias("visual_similarity"),
+        pick("visual_similarity", F.col("visual_similarity_score")).cast("double").alias("visual_similarity"),
         "closest_brand",
         F.lit(None).cast("string").alias("incident_id"),
         F.lit(False).alias("report_generated"),
@@ -173,10 +184,23 @@ def scan_results(requests: DataFrame, dns=None, whois=None, tls_obs=None, as_of=
     )
 
 
-def threat_feed(scans: DataFrame) -> DataFrame:
-    """K2: one feed row per scan with ``score >= 40``, derived from ``scan_results``
+def threat_feed(scans: DataFrame, medium: int = FV.MEDIUM_RISK_THRESHOLD) -> DataFrame:
+    """K2: one feed row per scan with ``score >= medium`` (40), derived from ``scan_results``
     (one source of truth, so the two tables cannot disagree)."""
-    return (scans.filter(F.col("score") >= FV.MEDIUM_RISK_THRESHOLD)
+    return (scans.filter(F.col("score") >= medium)
                  .select(uuid_from(F.col("id"), "feed").alias("id"), "domain", "score", "verdict",
                          "category", F.col("created_at").alias("flagged_at"),
                          F.col("id").alias("scan_id")))
+
+
+def feed_of_requests(requests: DataFrame, category_rules=None, scorer: Callable[[DataFrame], DataFrame] = rule_scorer,
+                     medium: int = FV.MEDIUM_RISK_THRESHOLD) -> DataFrame:
+    """The threat feed of validated requests, for scorers that need only ``domain`` and ``url``.
+
+    Row-local: no feature is computed, nothing is joined or shuffled.  The rows
+    are those of ``threat_feed(scan_results(...))`` with the same scorer.
+    """
+    f = scorer(requests.withColumn("domain", domain_key(F.col("url"))))
+    category = F.col("category") if "category" in f.columns else categorize(F.col("domain"), category_rules)
+    return threat_feed(f.select(uuid_from(F.col("request_id"), "scan").alias("id"), "domain", F.col("score").cast("int").alias("score"),
+                                "verdict", category.alias("category"), F.col("ts").cast("timestamp").alias("created_at")), medium)

@@ -89,8 +89,7 @@ def scan_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     if key not in _TABLES:
         scans = fixture_scans(spark, sf_dir)
         sp, fp = scratch_path(spark, "scan_results"), scratch_path(spark, "threat_feed")
-        scan_job.write_scan_results(scans, sp)
-        scan_job.write_threat_feed(scan_job.read_scan_results(spark, sp).transform(scoring.threat_feed), fp)
+        scan_job.write_run(spark, scans, sp, fp, "fixture")
         _TABLES[key] = (sp, fp)
     sp, fp = _TABLES[key]
     return scan_job.read_scan_results(spark, sp), scan_job.read_threat_feed(spark, fp)
@@ -229,7 +228,8 @@ def q_scan_results(spark, sf_dir):
 
 
 def q_threat_feed(spark, sf_dir):
-    return _feed_view(scoring.threat_feed(fixture_scans(spark, sf_dir)))
+    """The feed straight from the requests (the rule score needs no feature)."""
+    return _feed_view(scoring.feed_of_requests(valid_requests(spark, sf_dir), fx.FIXTURE_CATEGORY_RULES))
 
 
 def q_feed_page(spark, sf_dir):
@@ -292,11 +292,24 @@ def _stream_tables(spark, sf_dir) -> tuple[str, str]:
 
 
 def q_stream_scan(spark, sf_dir):
-    return _scan_view(spark.read.parquet(_stream_tables(spark, sf_dir)[0]))
+    return _scan_view(scan_job.read_scan_results(spark, _stream_tables(spark, sf_dir)[0]))
 
 
 def q_stream_feed(spark, sf_dir):
-    return _feed_view(spark.read.parquet(_stream_tables(spark, sf_dir)[1]))
+    return _feed_view(scan_job.read_threat_feed(spark, _stream_tables(spark, sf_dir)[1]))
+
+
+def q_stream_quarantine(spark, sf_dir):
+    """P1 in the stream: every hundredth request is blank; accepted + rejected = input."""
+    path = scratch_path(spark, "requests_blank")
+    req = fx.scan_requests(spark, sf_dir)
+    blank = F.when(F.col("request_id") % 100 == 0, F.lit(" \t ")).otherwise(F.col("url"))
+    req.withColumn("url", blank).repartition(4).write.parquet(path)
+    out = {k: scratch_path(spark, f"quarantine_{k}") for k in ("scans", "feed", "rejects", "ckpt")}
+    st.scan_job_stream(st.request_stream(spark, path, max_files_per_trigger=2), out["scans"], out["feed"], out["ckpt"],
+                       as_of=fx.AGES_AS_OF, quarantine_path=out["rejects"])
+    ok = scan_job.read_scan_results(spark, out["scans"]).select(F.lit("accepted").alias("outcome"))
+    return ok.union(spark.read.parquet(out["rejects"]).select("reject_reason")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_stream_scan_rowlocal(spark, sf_dir):
@@ -312,20 +325,95 @@ def q_stream_scan_rowlocal(spark, sf_dir):
 
 
 def q_stream_daily_stats(spark, sf_dir):
-    """T-3: a watermarked daily window over the scan table read as a stream."""
+    """T-3 over the scan table read as a stream: several micro-batches, days out of order, every day present."""
     src = _stream_tables(spark, sf_dir)[0]
-    scans = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    scans = spark.readStream.schema(scan_job.SCAN_RESULTS_SCHEMA).option("maxFilesPerTrigger", 3).parquet(src)
     out, ck = scratch_path(spark, "stream_stats"), scratch_path(spark, "stream_stats_ckpt")
-    st.run_available_now(st.daily_stats_stream(scans), out, ck)
-    return spark.read.parquet(out)
+    st.partials_stream(scans, st.daily_partial, out, ck)
+    return st.daily_stats(spark, out)
 
 
 def q_stream_dedup_domain(spark, sf_dir):
+    """T-4: the first valid request of each domain and hour."""
     src = _landed_requests(spark, sf_dir)
-    stream = st.request_stream(spark, src)
+    stream = st.request_stream(spark, src, max_files_per_trigger=2)
     out, ck = scratch_path(spark, "stream_dedup"), scratch_path(spark, "stream_dedup_ckpt")
-    st.run_available_now(st.dedup_domain_stream(stream).select("request_id", "domain", "ts"), out, ck)
-    return spark.read.parquet(out).withColumn("ts", F.col("ts").cast(_NTZ))
+    st.partials_stream(stream, st.first_scan_partial, out, ck)
+    return st.first_scans(spark, out).select("domain", F.col("hour").cast(_NTZ).alias("hour"), "request_id",
+                                             F.col("ts").cast(_NTZ).alias("ts"))
+
+
+# ------------------------------------------------------------ sinks and lookups
+
+def q_sink_two_runs(spark, sf_dir):
+    """K1: two runs over the same days keep all rows; repeating one adds none."""
+    scans = materialize(fixture_scans(spark, sf_dir).withColumn("_half", F.crc32("id") % 2), "two_runs")
+    sp, fp = scratch_path(spark, "two_runs_scans"), scratch_path(spark, "two_runs_feed")
+    for run, half in (("a", 0), ("b", 1), ("a", 0)):
+        scan_job.write_run(spark, scans.filter(F.col("_half") == half).drop("_half"), sp, fp, run)
+    return _scan_view(scan_job.read_scan_results(spark, sp))
+
+
+def q_sink_rescore(spark, sf_dir):
+    """K2, K3: a run repeated with lower scores takes its feed rows back, whole days included."""
+    scans = materialize(fixture_scans(spark, sf_dir), "rescore")
+    sp, fp = scratch_path(spark, "rescore_scans"), scratch_path(spark, "rescore_feed")
+    scan_job.write_run(spark, scans, sp, fp, "a")
+    late = F.to_date("created_at") >= F.lit("2024-01-15").cast("date")
+    scan_job.write_run(spark, scans.withColumn("score", F.when(late, F.lit(10)).otherwise(F.col("score"))), sp, fp, "a")
+    return _feed_view(scan_job.read_threat_feed(spark, fp))
+
+
+def q_scan_results_custom_scorer(spark, sf_dir):
+    """What a scorer adds reaches the scan rows."""
+    def scorer(df):
+        shap = F.array(F.struct(F.lit("url_length").alias("feature"), F.lit("URL length").alias("label"),
+                                F.col("url_length").cast("double").alias("value"), F.lit(0.5).alias("shap_value"),
+                                F.lit("up").alias("direction")))
+        return (scoring.rule_scorer(df, high=90, medium=50).withColumn("category", F.lit("model"))
+                .withColumn("is_zero_day", F.col("url_length") > 45).withColumn("visual_similarity", F.lit(0.25))
+                .withColumn("registrar", F.lit("scored")).withColumn("shap", shap))
+    dns, who, tls_obs = _records(spark, sf_dir)
+    s = scoring.scan_results(valid_requests(spark, sf_dir), dns, who, tls_obs, fx.AGES_AS_OF, scorer=scorer)
+    shap = F.from_json("shap_json", scoring.SHAP_SCHEMA)[0]
+    return s.select("id", "domain", "score", "verdict", "category", "is_zero_day", "visual_similarity", "registrar",
+                    shap["feature"].alias("shap_feature"), shap["value"].alias("shap_value"),
+                    F.size(F.json_object_keys("features_json")).alias("n_features"))
+
+
+def q_zero_day_blacklist(spark, sf_dir):
+    """Domains that no third request named are zero-day."""
+    req = valid_requests(spark, sf_dir).withColumn("domain", domain_key(F.col("url"))).select("request_id", "domain")
+    known = req.filter("request_id % 97 = 0").select("domain")
+    return scoring.with_zero_day(req, known)
+
+
+def q_category_by_brand(spark, sf_dir):
+    """P20, join form: the brand table is derived from the scans."""
+    scans = materialize(fixture_scans(spark, sf_dir), "brand_scans")
+    cats = scans.filter("closest_brand is not null").groupBy("closest_brand").agg(F.count(F.lit(1)).alias("n")) \
+                .filter("n % 2 = 0").select(F.col("closest_brand").alias("brand"),
+                                            F.concat(F.lit("brand-"), F.lower("closest_brand")).alias("category"))
+    return scoring.with_category_by_brand(scans, cats).select("id", "closest_brand", "category")
+
+
+def q_feed_page_after(spark, sf_dir):
+    """L2 by key: the page after the first page's last row."""
+    _, feed = scan_tables(spark, sf_dir)
+    last = serving.feed_page(feed, page=1, limit=50).collect()[-1]
+    return _feed_view(serving.feed_page_after(feed, last.flagged_at, last.id, limit=50))
+
+
+def q_scan_by_one_id(spark, sf_dir):
+    """P14 by equality, with the id that the newest feed row names."""
+    scans, feed = scan_tables(spark, sf_dir)
+    return _scan_view(serving.scan_by_id(scans, serving.feed_page(feed, page=1, limit=1).first().scan_id))
+
+
+def q_scans_by_domain(spark, sf_dir):
+    """K5: one domain's scans (row groups are narrow in domain)."""
+    scans, _ = scan_tables(spark, sf_dir)
+    return _scan_view(scans.filter(F.col("domain") == "amazon.in"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -361,6 +449,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_scan_rowlocal": q_stream_scan_rowlocal,
     "stream_daily_stats": q_stream_daily_stats,
     "stream_dedup_domain": q_stream_dedup_domain,
+    "stream_quarantine": q_stream_quarantine,
+    "sink_two_runs": q_sink_two_runs,
+    "sink_rescore": q_sink_rescore,
+    "scan_results_custom_scorer": q_scan_results_custom_scorer,
+    "zero_day_blacklist": q_zero_day_blacklist,
+    "category_by_brand": q_category_by_brand,
+    "feed_page_after": q_feed_page_after,
+    "scan_by_one_id": q_scan_by_one_id,
+    "scans_by_domain": q_scans_by_domain,
 }
 
 

@@ -450,11 +450,35 @@ def oracle_sql() -> dict[str, str]:
     o["stream_scan"] = o["scan_results"]
     o["stream_feed"] = o["threat_feed"]
     o["stream_scan_rowlocal"] = o["scan_results"]
+    by_domain = f"(SELECT request_id, ts, {domain_key('url')} AS domain FROM valid_requests)"
     o["stream_daily_stats"] = with_ctes("""
       SELECT CAST(date_trunc('day', created_at) AS DATE) AS day,
              count(*) FILTER (WHERE score >= 40) AS threats,
-             CAST(printf('%.1f', avg(confidence) * 100.0::DOUBLE) AS DOUBLE) AS avg_confidence,
+             CAST(printf('%.1f', CAST(sum(CAST(confidence AS DECIMAL(30, 15))) AS DOUBLE) / count(*) * 100.0::DOUBLE) AS DOUBLE) AS avg_confidence,
              count(*) FILTER (WHERE is_zero_day) AS zero_day_count
-      FROM scans GROUP BY 1
-      HAVING CAST(date_trunc('day', max(created_at)) AS DATE) + 1 <= CAST((SELECT max(created_at) - INTERVAL 1 HOUR FROM scans) AS DATE)""")
+      FROM scans GROUP BY 1""")
+    o["stream_dedup_domain"] = with_ctes("""
+      SELECT domain, hour, request_id, ts FROM (
+        SELECT domain, date_trunc('hour', ts) AS hour, request_id, ts,
+               row_number() OVER (PARTITION BY domain, date_trunc('hour', ts) ORDER BY ts, request_id) AS k FROM req_by_domain) x
+      WHERE k = 1""".replace("req_by_domain", by_domain))
+    o["stream_quarantine"] = """SELECT CASE WHEN event_id % 100 = 0 THEN 'empty' ELSE 'accepted' END AS outcome, count(*) AS n
+      FROM events GROUP BY 1"""
+    o["sink_two_runs"] = o["scan_results"]
+    o["sink_rescore"] = with_ctes("SELECT * FROM feed WHERE flagged_at < TIMESTAMP '2024-01-15 00:00:00'")
+    o["scan_results_custom_scorer"] = with_ctes("""
+      SELECT s.id, s.domain, s.score, CASE WHEN s.score >= 90 THEN 'PHISHING' WHEN s.score >= 50 THEN 'SUSPICIOUS' ELSE 'SAFE' END AS verdict,
+             'model' AS category, length(s.url) > 45 AS is_zero_day, 0.25::DOUBLE AS visual_similarity, 'scored' AS registrar,
+             'url_length' AS shap_feature, length(s.url)::DOUBLE AS shap_value, 38 AS n_features FROM scans s""")
+    o["zero_day_blacklist"] = with_ctes("""
+      SELECT request_id, domain, domain NOT IN (SELECT domain FROM req_by_domain k WHERE request_id % 97 = 0) AS is_zero_day
+      FROM req_by_domain r""".replace("req_by_domain", by_domain))
+    o["category_by_brand"] = with_ctes("""
+      SELECT id, s.closest_brand, coalesce(c.category, 'generic') AS category FROM scans s
+      LEFT JOIN (SELECT closest_brand, 'brand-' || lower(closest_brand) AS category FROM scans WHERE closest_brand IS NOT NULL
+                 GROUP BY closest_brand HAVING count(*) % 2 = 0) c ON s.closest_brand = c.closest_brand""")
+    o["feed_page_after"] = o["feed_page"]
+    o["scan_by_one_id"] = with_ctes(f"""SELECT {', '.join(SCAN_SCALAR_COLS)} FROM scans
+      WHERE id = (SELECT scan_id FROM feed ORDER BY flagged_at DESC, id ASC LIMIT 1)""")
+    o["scans_by_domain"] = with_ctes(f"SELECT {', '.join(SCAN_SCALAR_COLS)} FROM scans WHERE domain = 'amazon.in'")
     return o

@@ -1,37 +1,31 @@
 """spark-submit entry points: the batch scan job and the streaming scan job.
 
     spark-submit --py-files lurescope.zip run_job.py batch --requests R --dns D --whois W --tls T \
-        --scans OUT/scan_results --feed OUT/threat_feed --quarantine OUT/quarantine [--as-of ISO]
-    spark-submit --py-files lurescope.zip run_job.py stream --requests R ... --checkpoint CK [--once]
+        --scans OUT/scan_results --feed OUT/threat_feed --quarantine OUT/quarantine --work-dir SHARED [--as-of ISO]
+    spark-submit --py-files lurescope.zip run_job.py stream --requests R ... --checkpoint CK --work-dir SHARED [--once]
 
 Inputs are Parquet tables with the schemas in ``sources.tables``; outputs are
-the date-partitioned sinks of ``scan_job``.  Re-running a batch over the
-same days replaces those days (dynamic partition overwrite).
+the ``run_id=/created_date=`` sinks of ``scan_job``.  Every run appends; only a
+run that is given the id of an earlier one (``--run-id``) replaces that one.
 """
 
 from __future__ import annotations
 
 import argparse
 import datetime as dt
+import functools
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import scoring
-from ..session import apply_job_conf
+from ..session import apply_job_conf, scratch_scope
+from ..sources import fixed_values as FV
 from ..sources import tables
 from ..streaming import scan_stream
 from . import scan_job
 
 
-def write_quarantine(rejected: DataFrame, path: str) -> None:
-    """Rejected requests with their ``reject_reason``, partitioned by UTC date."""
-    (rejected.withColumn("request_date", F.to_date("ts"))
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("request_date").parquet(path))
-
-
 def _args(argv):
     p = argparse.ArgumentParser(prog="lurescope.plans.jobs")
     p.add_argument("mode", choices=["batch", "stream"])
@@ -46,6 +40,16 @@ def _args(argv):
     p.add_argument("--as-of", help="ISO instant for ages / expiry (default: now)")
     p.add_argument("--once", action="store_true", help="stream: process what is there, then stop")
     p.add_argument("--max-files-per-trigger", type=int)
+    p.add_argument("--work-dir", help="folder that driver and executors share, for intermediate tables "
+                                      "(default: spark.checkpoint.dir)")
+    p.add_argument("--run-id", help="batch: id of the run; a repeated id replaces that run (default: a new one)")
+    p.add_argument("--blacklist", help="Parquet table of known domains (column domain): others are zero-day")
+    p.add_argument("--high", type=int, default=FV.HIGH_RISK_THRESHOLD, help="score from which a verdict is PHISHING")
+    p.add_argument("--medium", type=int, default=FV.MEDIUM_RISK_THRESHOLD,
+                   help="score from which a verdict is SUSPICIOUS and the feed gets the scan")
+    p.add_argument("--shuffle-partitions", type=int,
+                   help="shuffle partitions (about input bytes / 200 MB; Spark's default of 200 suits small inputs)")
+    p.add_argument("--refresh-seconds", type=float, default=3600.0, help="stream: age at which record rollups are renewed")
     return p.parse_args(argv)
 
 
@@ -56,25 +60,41 @@ def _records(spark: SparkSession, a):
     return dns, who, tls
 
 
-def run_batch(spark: SparkSession, a) -> None:
+def _scorer(a):
+    return functools.partial(scoring.rule_scorer, high=a.high, medium=a.medium)
+
+
+def _blacklist(spark: SparkSession, a) -> DataFrame | None:
+    return spark.read.parquet(a.blacklist) if a.blacklist else None
+
+
+def run_batch(spark: SparkSession, a) -> str:
     as_of = dt.datetime.fromisoformat(a.as_of) if a.as_of else None
     dns, who, tls = _records(spark, a)
-    out = scan_job.run_scan(tables.read_scan_requests(spark, a.requests), dns, who, tls, as_of)
-    scan_job.write_scan_results(out.scans, a.scans)
-    # the feed is derived from what was just written: one source of truth
-    scan_job.write_threat_feed(scoring.threat_feed(scan_job.read_scan_results(spark, a.scans)), a.feed)
-    if a.quarantine:
-        write_quarantine(out.quarantine, a.quarantine)
+    run_id = a.run_id or scan_job.new_run_id()
+    with scratch_scope(spark):
+        out = scan_job.run_scan(tables.read_scan_requests(spark, a.requests), dns, who, tls, as_of,
+                                blacklist=_blacklist(spark, a), scorer=_scorer(a), medium=a.medium)
+        # the feed is derived from what the run has just written: one source of truth
+        scan_job.write_run(spark, out.scans, a.scans, a.feed, run_id, a.medium)
+        if a.quarantine:
+            scan_job.write_quarantine(out.quarantine, a.quarantine, run_id)
+    return run_id
 
 
 def run_stream(spark: SparkSession, a):
     if not a.checkpoint:
         raise SystemExit("--checkpoint is required for the stream job")
     as_of = dt.datetime.fromisoformat(a.as_of) if a.as_of else None
-    dns, who, tls = _records(spark, a)
+    # read anew at each refresh
+    dns = (lambda: tables.read_dns_records(spark, a.dns)) if a.dns else None
+    who = (lambda: tables.read_whois_records(spark, a.whois)) if a.whois else None
+    tls = (lambda: tables.read_tls_observations(spark, a.tls)) if a.tls else None
     req = scan_stream.request_stream(spark, a.requests, a.max_files_per_trigger)
     q = scan_stream.scan_job_stream(req, a.scans, a.feed, a.checkpoint, dns, who, tls, as_of,
-                                    available_now=a.once)
+                                    available_now=a.once, scorer=_scorer(a), medium=a.medium,
+                                    quarantine_path=a.quarantine, refresh_s=a.refresh_seconds,
+                                    blacklist=_blacklist(spark, a))
     if not a.once:
         q.awaitTermination()
     return q
@@ -84,6 +104,10 @@ def main(argv=None) -> None:
     a = _args(sys.argv[1:] if argv is None else argv)
     spark = SparkSession.builder.appName(f"lurescope-{a.mode}").getOrCreate()
     apply_job_conf(spark)
+    if a.work_dir:
+        spark.sparkContext.setCheckpointDir(a.work_dir)
+    if a.shuffle_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", a.shuffle_partitions)
     if a.mode == "batch":
         run_batch(spark, a)
     else:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -53,8 +55,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
     Read from the session (``spark.checkpoint.dir`` / the context's checkpoint
-    dir).  Only when nothing is configured -- local tests -- a scratch folder
-    is created and registered as the checkpoint dir.
+    dir).  Where nothing is configured, a local session (one machine: tests)
+    gets a scratch folder; on a cluster that is an error, as a machine's own
+    folder is not seen by the other machines.
     """
     try:
         sc = spark.sparkContext
@@ -64,17 +67,45 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
         if not d:
-            d = tempfile.mkdtemp(prefix="lurescope-ckpt-")  # local tests only: nothing configured
+            master = spark.conf.get("spark.master", "")
+            if master != "local" and not master.startswith("local["):
+                raise RuntimeError("no shared folder: set spark.checkpoint.dir (or --work-dir) to a folder "
+                                   "that the driver and all executors see")
+            d = tempfile.mkdtemp(prefix="lurescope-ckpt-")
         if sc is not None:
             sc.setCheckpointDir(d)
             d = sc.getCheckpointDir() or d
     return d
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a written table, whatever file system it is on."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete, at the end, the tables that ``materialize`` wrote inside.
+
+    For jobs whose output is written inside the scope (a batch run, a
+    micro-batch): the intermediate tables have no reader afterwards.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete_path(spark, path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path of the shared folder for a written table."""
     base = shared_dir(spark).rstrip("/")
-    return f"{base}/{name}-{os.getpid()}-{next(_counter)}"
+    return f"{base}/{name}-{_process}-{next(_counter)}"
 
 
 def _count():
@@ -85,6 +116,7 @@ def _count():
 
 
 _counter = _count()
+_process = f"{os.getpid()}-{uuid.uuid4().hex[:8]}"  # a restarted driver never meets its predecessor's tables
 
 
 def materialize(df, name: str = "stage"):
@@ -100,5 +132,7 @@ def materialize(df, name: str = "stage"):
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -25,8 +25,8 @@ def test_batch_job(spark):
             "--scans", out["scans"], "--feed", out["feed"], "--quarantine", out["quarantine"],
             "--as-of", "2024-01-31T00:00:00"]
     a = jobs._args(argv)
-    jobs.run_batch(spark, a)
-    jobs.run_batch(spark, a)                                  # idempotent re-run
+    a.run_id = jobs.run_batch(spark, a)
+    jobs.run_batch(spark, a)                                  # a repeated run id replaces the run
     scans = spark.read.parquet(out["scans"])
     assert scans.count() == catalog.valid_requests(spark, SF_SMALL).count()
     assert spark.read.parquet(out["feed"]).count() == scans.filter("score >= 40").count()

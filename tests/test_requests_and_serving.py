@@ -4,7 +4,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from lurescope.operators import scoring, serving
+from lurescope.operators import features, scoring, serving
 from lurescope.plans import scan_job
 from lurescope.session import scratch_path
 
@@ -91,15 +91,15 @@ def test_report_and_lookup(spark):
 def test_sink_roundtrip_idempotent(spark):
     scans = _scans(spark)
     path = scratch_path(spark, "test_scans")
-    scan_job.write_scan_results(scans, path)
-    scan_job.write_scan_results(scans, path)                          # re-run replaces its days
+    scan_job.write_scan_results(scans, path, "a")
+    scan_job.write_scan_results(scans, path, "a")                     # a repeated run replaces its own rows
     back = scan_job.read_scan_results(spark, path, parse_features=True)
     assert back.count() == scans.count()
     assert {r.created_date for r in back.select("created_date").distinct().collect()} == \
         {dt.date(2024, 1, 30), dt.date(2024, 1, 29)}
     got = {r.id: r.features.aggregate_lexical_risk_score for r in back.collect()}
     want = {r.id: r.aggregate_lexical_risk_score for r in
-            scans.withColumn("f", F.from_json("features_json", scan_job.features_json_schema(spark)))
+            scans.withColumn("f", F.from_json("features_json", features.FEATURE_SCHEMA))
                  .select("id", "f.aggregate_lexical_risk_score").collect()}
     assert got == want
 
@@ -122,11 +122,36 @@ def test_category_by_brand(spark):
 def test_daily_stats_prunes_partitions(spark):
     scans = _scans(spark)
     sp, fp = scratch_path(spark, "stats_scans"), scratch_path(spark, "stats_feed")
-    scan_job.write_scan_results(scans, sp)
-    scan_job.write_threat_feed(scoring.threat_feed(scans), fp)
+    scan_job.write_run(spark, scans, sp, fp, "a")
     s, f = scan_job.read_scan_results(spark, sp), scan_job.read_threat_feed(spark, fp)
     as_of = dt.datetime(2024, 1, 30, 18)
     stats = serving.daily_stats(f, s, as_of)
     plan = stats._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(created_date" in plan or "created_date" in plan
     assert stats.first() == serving.daily_stats(scoring.threat_feed(scans), scans, as_of).first()
+
+
+def test_feed_of_requests_is_row_local(spark):
+    req = scoring.accepted(scoring.validate(
+        spark.range(50).selectExpr("id request_id", "timestamp'2024-01-30 00:00:00' ts", "1L client_id",
+                                   "concat('https://', if(id % 3 = 0, 'sbi-verify', 'plain'), id, '.com') url")))
+    direct = scoring.feed_of_requests(req)
+    plan = direct._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    full = scoring.threat_feed(scoring.scan_results(req))
+    assert sorted(map(str, direct.collect())) == sorted(map(str, full.select(direct.columns).collect()))
+
+
+def test_strip_is_linear(spark):
+    import time
+    df = spark.range(1).selectExpr("concat(' 　', 'a', repeat(' ', 400000), 'b', '  ') s")
+    from lurescope.functions.text import py_strip
+    t = time.time()
+    assert len(df.select(py_strip(F.col("s")).alias("s")).first().s) == 400002
+    assert time.time() - t < 10
+
+
+def test_stored_vector_has_all_keys(spark):
+    import json
+    scans = _scans(spark)
+    assert all(len(json.loads(r.features_json)) == 38 for r in scans.select("features_json").collect())
