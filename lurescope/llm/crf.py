@@ -60,7 +60,7 @@ def marginals(e: np.ndarray, t: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(forward(e, t) + backward(e, t, inside), -50, 50)))
 
 
-def train(ids: np.ndarray, labels: np.ndarray, inside: np.ndarray, steps: int = 60, rate: float = 0.3, l2: float = 1e-5) -> Model:
+def train(ids: np.ndarray, labels: np.ndarray, inside: np.ndarray, steps: int = 80, rate: float = 0.3, l2: float = 1e-5) -> Model:
     """Maximum likelihood by Adam; arrays are (step, sequence) with ``ids`` (step, sequence, FEATURES)."""
     size = (1 << TABLE_BITS) + 1
     m = Model(np.zeros(size), -3.0)
@@ -109,25 +109,27 @@ class Emissions(dict):
         return e
 
 
-def tag(texts: list[list[bytes]], emissions: Emissions, cells: int = 1 << 20):
-    """Marginals of each sequence of words, in order; works through blocks of similar length."""
-    t = emissions.model.transitions
-    out: list[np.ndarray] = [np.zeros(0)] * len(texts)
-    order = sorted((i for i, w in enumerate(texts) if w), key=lambda i: len(texts[i]))
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.float64, len(words))
+
+
+def tag(sequences: list[np.ndarray], transitions: np.ndarray, cells: int = 1 << 20) -> list[np.ndarray]:
+    """Marginals of sequences of word log-odds, in order; works through blocks of similar length."""
+    out: list[np.ndarray] = [np.zeros(0)] * len(sequences)
+    order = sorted((i for i, e in enumerate(sequences) if len(e)), key=lambda i: len(sequences[i]))
     at = 0
     while at < len(order):
-        end, longest = at + 1, len(texts[order[at]])
-        while end < len(order) and (end + 1 - at) * len(texts[order[end]]) <= cells:
-            longest, end = len(texts[order[end]]), end + 1
+        end, longest = at + 1, len(sequences[order[at]])
+        while end < len(order) and (end + 1 - at) * len(sequences[order[end]]) <= cells:
+            longest, end = len(sequences[order[end]]), end + 1
         block = order[at:end]
         e = np.zeros((longest, len(block)))
         inside = np.zeros((longest, len(block)), bool)
         for k, i in enumerate(block):
-            n = len(texts[i])
-            e[:n, k] = np.fromiter(map(emissions.__getitem__, texts[i]), np.float64, n)
-            inside[:n, k] = True
-        p = marginals(e, t, inside)
+            e[:len(sequences[i]), k] = sequences[i]
+            inside[:len(sequences[i]), k] = True
+        p = marginals(e, transitions, inside)
         for k, i in enumerate(block):
-            out[i] = p[:len(texts[i]), k]
+            out[i] = p[:len(sequences[i]), k].copy()
         at = end
     return out
