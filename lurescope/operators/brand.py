@@ -68,71 +68,93 @@ def tokenize(domains: DataFrame, domain_col: str = "domain") -> DataFrame:
         F.posexplode(brand_tokens(F.col(domain_col))).alias("pos", "token"))
 
 
-# Dictionaries up to this size are inlined as an array literal (row-local
-# containment); larger ones use the substring equi join.
-INLINE_DICTIONARY_MAX = 2000
-
-
 def keyword_hits(domains: DataFrame, domain_col: str = "domain", keywords: DataFrame | None = None) -> DataFrame:
-    """``(domain, brand, keyword)`` for every keyword contained in the
-    domain's tokens joined without separators.
-
-    The fixed 85-keyword dictionary (or a custom one of at most
-    ``INLINE_DICTIONARY_MAX`` rows -- size checked first) is evaluated
-    row-local: an array literal, ``filter`` keeps the contained keywords and
-    ``inline`` emits one row per hit.  Map-only: no nested loop (which
-    re-evaluated the probe expression per pair) and no shuffle.  A larger
-    custom dictionary goes through ``keyword_hits_join``.
+    """``(domain, brand, keyword)`` for every dictionary entry whose keyword is
+    contained in the domain's tokens joined without separators.
+
+    The fixed 85-keyword dictionary is evaluated row-local: an array literal,
+    ``filter`` keeps the contained keywords and ``inline`` emits one row per hit.
+    A custom dictionary of any size is an equi join (``keyword_hits_join``).
+    Both give one row per entry: an entry that repeats counts each time, and an
+    empty keyword is contained in every domain.
     """
-    if keywords is None:
-        kw_array = _keyword_array()
-    else:
-        small = keywords.select("brand", "keyword").limit(INLINE_DICTIONARY_MAX + 1).collect()
-        if len(small) > INLINE_DICTIONARY_MAX:
-            return keyword_hits_join(domains, keywords, domain_col)
-        kw_array = dims.array_literal([{"brand": r.brand, "keyword": r.keyword} for r in small])
+    if keywords is not None:
+        return keyword_hits_join(domains, keywords, domain_col)
     d = domains.select(F.col(domain_col).alias("domain"),
                        F.array_join(brand_tokens(F.col(domain_col)), "").alias("_collapsed"))
-    hits = F.filter(kw_array, lambda k: F.col("_collapsed").contains(k["keyword"]))
+    hits = F.filter(_keyword_array(), lambda k: F.col("_collapsed").contains(k["keyword"]))
     return d.select("domain", F.inline(hits))
 
 
 def keyword_hits_join(domains: DataFrame, keywords: DataFrame, domain_col: str = "domain") -> DataFrame:
-    """J2 for large dictionaries: every substring of the collapsed text whose
-    length is a keyword length, equi-joined to the keywords (hash join, the
-    planner picks broadcast or shuffle from the dictionary size), then one
-    row per (domain, keyword).  Cost grows with text length x distinct
-    keyword lengths, not with the dictionary size."""
-    lens = [r[0] for r in keywords.select("kw_len").distinct().collect()]  # at most max keyword length values
+    """J2 for a custom dictionary ``(brand, keyword)``: the distinct substrings of
+    the collapsed text whose length is a keyword length, equi-joined to the
+    keywords (the planner picks broadcast or shuffle from the dictionary's size).
+    Cost grows with text length x distinct keyword lengths, not with the
+    dictionary."""
+    kw = keywords.select("brand", "keyword").filter("keyword is not null")
+    lens = sorted(r[0] for r in kw.select(F.length("keyword")).distinct().collect())  # at most the longest keyword's length
     d = domains.select(F.col(domain_col).alias("domain"),
                        F.array_join(brand_tokens(F.col(domain_col)), "").alias("_c"))
     starts = F.sequence(F.lit(1), F.greatest(F.length("_c"), F.lit(1)))
-    subs = (d.select("domain", "_c", F.explode(starts).alias("_p"))
-             .select("domain", F.explode(F.array(*[F.substring(F.col("_c"), F.col("_p"), F.lit(n)) for n in lens]
-                                                 if lens else [F.lit(None).cast("string")])).alias("_s"))
-             .filter(F.col("_s") != ""))
-    kw = keywords.select("brand", "keyword", "kw_len")
-    hits = subs.join(kw, (F.col("_s") == F.col("keyword")) & (F.length("_s") == F.col("kw_len")))
-    return hits.select("domain", "brand", "keyword").distinct()
+    # substrings cut short by the end of the text are left out
+    whole = [F.filter(F.transform(starts, _substring_of(F.col("_c"), n)), _has_length(n)) for n in lens]
+    subs = d.select("domain", F.explode(F.array_distinct(F.concat(*whole))).alias("_s")) if lens \
+        else d.select("domain", F.lit(None).cast("string").alias("_s"))
+    return subs.join(kw, F.col("_s") == F.col("keyword")).select("domain", "brand", "keyword")
+
+
+def _substring_of(text: Column, n: int):
+    return lambda p: F.substring(text, p, F.lit(n))
+
+
+def _has_length(n: int):
+    return lambda x: F.length(x) == n
+
+
+def deletions(word: Column) -> Column:
+    """The word and what is left of it after deleting one or two characters.
+
+    Two words within edit distance 2 always share one of these.
+    """
+    once = F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), _without(word))
+    return F.array_distinct(F.concat(F.array(word), once, F.flatten(F.transform(once, _all_without))))
+
+
+def _without(word: Column):
+    return lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word)))
+
+
+def _all_without(word: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), _without(word))
 
 
 def typosquat_hits(domains: DataFrame, domain_col: str = "domain", keywords: DataFrame | None = None) -> DataFrame:
     """``(domain, pos, token, brand, keyword, distance, weight)`` for tokens of
-    length >= 3 within edit distance 1..2 of a keyword (length band +-2)."""
+    length >= 3 within edit distance 1..2 of a keyword.
+
+    The fixed dictionary is banded by length (409 rows, broadcast).  For a custom
+    one, the distinct tokens and the keywords meet on shared deletions (an equi
+    join on many keys, whatever the dictionary), then by ``levenshtein``.
+    """
+    tok = (tokenize(domains, domain_col)
+           .withColumn("_tlen", F.length("token"))
+           .filter(F.col("_tlen") >= FV.MIN_TYPOSQUAT_TOKEN_LENGTH))
     if keywords is None:
         bands = F.broadcast(dims.brand_keyword_bands(domains.sparkSession)
                             .select("brand", "keyword", "ord", "band_len"))
+        near = tok.join(bands, F.col("_tlen") == F.col("band_len"))
     else:
-        bands = dims.keyword_bands(keywords).select("brand", "keyword", "ord", "band_len")
-    tok = (tokenize(domains, domain_col)
-           .withColumn("_tlen", F.length("token"))
-           .filter(F.col("_tlen") >= FV.MIN_TYPOSQUAT_TOKEN_LENGTH))
-    hits = (tok.join(bands, F.col("_tlen") == F.col("band_len"))
-               .withColumn("distance", F.levenshtein("token", "keyword", FV.MAX_TYPOSQUAT_DISTANCE))
-               .filter(F.col("distance").between(1, FV.MAX_TYPOSQUAT_DISTANCE)))
+        kw = keywords.select("brand", "keyword", "ord").filter("length(keyword) > 0")
+        left = tok.select("token").distinct().withColumn("_d", F.explode(deletions(F.col("token"))))
+        right = kw.select(F.col("keyword").alias("_kw")).distinct().withColumn("_d", F.explode(deletions(F.col("_kw"))))
+        pairs = left.join(right, "_d").select(F.col("token").alias("_t"), "_kw").distinct()
+        near = tok.join(pairs, F.col("token") == F.col("_t")).join(kw, F.col("_kw") == F.col("keyword"))
+    hits = (near.withColumn("distance", F.levenshtein("token", "keyword", FV.MAX_TYPOSQUAT_DISTANCE))
+                .filter(F.col("distance").between(1, FV.MAX_TYPOSQUAT_DISTANCE)))
     return hits.select("domain", "pos", "token", "brand", "keyword",
                        F.col("distance").cast("int").alias("distance"),
-                       typosquat_weight(F.col("distance")).alias("weight"), "ord")
+                       typosquat_weight(F.col("distance")).alias("weight"), F.col("ord").cast("long").alias("ord"))
 
 
 def brand_features(domains: DataFrame, domain_col: str = "domain", keywords: DataFrame | None = None) -> DataFrame:
@@ -144,7 +166,7 @@ def brand_features(domains: DataFrame, domain_col: str = "domain", keywords: Dat
     kw = keyword_hits(d, keywords=keywords).select("domain", "brand", "keyword",
                                 F.lit(0).alias("distance"), F.lit(0.0).alias("weight"),
                                 F.lit(True).alias("is_kw"), F.lit(None).cast("int").alias("pos"),
-                                F.lit(None).cast("string").alias("token"), F.lit(None).cast("int").alias("ord"))
+                                F.lit(None).cast("string").alias("token"), F.lit(None).cast("long").alias("ord"))
     ty = typosquat_hits(d, keywords=keywords).select("domain", "brand", "keyword", "distance", "weight",
                                   F.lit(False).alias("is_kw"), "pos", "token", "ord")
     rollup = (kw.unionByName(ty).groupBy("domain").agg(
@@ -188,10 +210,14 @@ def _keyword_array() -> Column:
     return dims.array_literal([{"brand": b, "keyword": k} for b, k, _, _ in dims.brand_keyword_rows()])
 
 
-def brand_columns_rowlocal(domain: Column) -> dict[str, Column]:
-    """The brand columns as expressions over one row (no join, no shuffle)."""
+def brand_columns_rowlocal(domain: Column, keyword_rows: list[tuple[str, str]] | None = None) -> dict[str, Column]:
+    """The brand columns as expressions over one row (no join, no shuffle).
+
+    ``keyword_rows``: the caller's own (brand, keyword) list instead of the fixed one.
+    """
     tokens = brand_tokens(domain)
-    kws = _keyword_array()
+    kws = _keyword_array() if keyword_rows is None else dims.array_literal(
+        [{"brand": b, "keyword": k} for b, k in keyword_rows])
     collapsed = F.array_join(tokens, "")
     kw_hits = F.filter(kws, lambda k: collapsed.contains(k["keyword"]))
     long_tokens = F.filter(tokens, lambda t: F.length(t) >= FV.MIN_TYPOSQUAT_TOKEN_LENGTH)
@@ -229,6 +255,7 @@ def brand_columns_rowlocal(domain: Column) -> dict[str, Column]:
     }
 
 
-def brand_features_rowlocal(df: DataFrame, domain_col: str = "domain") -> DataFrame:
-    cols = brand_columns_rowlocal(F.col(domain_col))
+def brand_features_rowlocal(df: DataFrame, domain_col: str = "domain",
+                            keyword_rows: list[tuple[str, str]] | None = None) -> DataFrame:
+    cols = brand_columns_rowlocal(F.col(domain_col), keyword_rows)
     return df.select("*", *[cols[k].alias(k) for k in BRAND_COLUMNS + BRAND_DETAIL_COLUMNS])

@@ -53,14 +53,16 @@ def aggregate_lexical_risk(brand_score: Column, tld_risk: Column, idn_risk: Colu
 
 
 def domain_features(domains: DataFrame, dns_records=None, whois_records=None, tls_observations=None,
-                    as_of=None, brand_form: str = "join", with_ips: bool = False, rollups=None) -> DataFrame:
+                    as_of=None, brand_form: str = "join", with_ips: bool = False, rollups=None,
+                    keywords: DataFrame | None = None, suffixes: DataFrame | None = None) -> DataFrame:
     """All domain-level features for a DataFrame of distinct ``domain`` values
-    (other input columns are carried along)."""
-    if brand_form == "join":
-        b = brand_op.brand_features(domains)
+    (other input columns are carried along).  ``keywords`` / ``suffixes``: the
+    caller's dictionaries (``dimensions.read_*``) instead of the fixed ones."""
+    if brand_form == "join" or keywords is not None:
+        b = brand_op.brand_features(domains, keywords=keywords)
     else:
         b = brand_op.brand_features_rowlocal(domains)
-    t = tld.with_tld_risk(b)
+    t = tld.with_tld_risk(b, suffixes=suffixes)
     i = idn.with_idn(t)
     return enrich.with_enrichment(i, dns_records, whois_records, tls_observations, as_of, with_ips=with_ips,
                                   rollups=rollups)
@@ -80,7 +82,7 @@ def join_back_salted(requests: DataFrame, per_domain: DataFrame, counts: DataFra
     max_hot_domains)`` requests, so at most ``max_hot_domains`` domains are
     hot whatever the data: that list is broadcast (proven bound) to tag the
     requests.  Hot domains' rows are replicated over ``salt_buckets`` salts
-    and their requests spread by a hash of the whole row (deterministic, so a
+    (more for a domain of many times ``HOT_DOMAIN_ROWS``) and their requests spread by a hash of the whole row (deterministic, so a
     retried task salts identically); every other domain keeps salt 0.  One
     domain holding a third of all requests then lands in ``salt_buckets``
     tasks instead of one.  ``counts`` is the small (checkpointed) per-domain
@@ -90,12 +92,14 @@ def join_back_salted(requests: DataFrame, per_domain: DataFrame, counts: DataFra
     total = counts.agg(F.sum(counts_col)).first()[0] or 0
     threshold = max(hot_domain_rows, total // max_hot_domains + 1)
     is_hot = F.col(counts_col) >= F.lit(threshold)
-    hot = counts.filter(is_hot).select("domain", F.lit(True).alias("_hot"))
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in requests.columns]), F.lit(salt_buckets)).cast("int")
+    # as many salts as the domain has task-sized shares, at least salt_buckets
+    n_salts = F.greatest(F.lit(salt_buckets), F.ceil(F.col(counts_col) / HOT_DOMAIN_ROWS)).cast("long")
+    hot = counts.filter(is_hot).select("domain", n_salts.alias("_hot"))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in requests.columns]), F.col("_hot")).cast("int")
     req = (requests.join(F.broadcast(hot), "domain", "left")
-                   .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0)))
+                   .withColumn("_salt", F.when(F.col("_hot").isNotNull(), salt).otherwise(F.lit(0)))
                    .drop("_hot"))
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(salt_buckets - 1))).otherwise(F.array(F.lit(0)))
+    salts = F.when(is_hot, F.sequence(F.lit(0), (n_salts - 1).cast("int"))).otherwise(F.array(F.lit(0)))
     dom = per_domain.select("*", F.explode(salts).alias("_salt")).drop(counts_col)
     return req.join(dom, ["domain", "_salt"], "left").drop("_salt")
 
@@ -104,14 +108,15 @@ def feature_vector(requests: DataFrame, dns_records=None, whois_records=None, tl
                    as_of=None, url_col: str = "url", brand_form: str = "join",
                    keep_details: bool = False, hot_domain_rows: int = HOT_DOMAIN_ROWS,
                    salt_buckets: int = SALT_BUCKETS, with_ips: bool = False,
-                   max_hot_domains: int = MAX_HOT_DOMAINS, rollups=None) -> DataFrame:
+                   max_hot_domains: int = MAX_HOT_DOMAINS, rollups=None,
+                   keywords: DataFrame | None = None, suffixes: DataFrame | None = None) -> DataFrame:
     """Input columns + ``domain`` + the 38 features (+ detail columns if asked;
     ``with_ips`` adds the resolved IP list)."""
     base = requests.withColumn("domain", domain_key(F.col(url_col)))
     lex = lexical.with_lexical_features(base, url_col)
     counts = materialize(base.groupBy("domain").agg(F.count(F.lit(1)).alias("_n")), "domain_counts")
     dom = domain_features(counts, dns_records, whois_records, tls_observations, as_of, brand_form, with_ips,
-                          rollups)
+                          rollups, keywords, suffixes)
     j = join_back_salted(lex, dom, counts, "_n", hot_domain_rows, max_hot_domains, salt_buckets)
     j = (j.withColumn("visual_similarity_score", F.lit(None).cast(T.DoubleType()))
           .withColumn("dom_credential_form_detected", F.lit(None).cast(T.BooleanType()))

@@ -139,7 +139,8 @@ def uuid_from(key: Column, namespace: str) -> Column:
 def scan_results(requests: DataFrame, dns=None, whois=None, tls_obs=None, as_of=None,
                  category_rules=None, zero_day: Column | None = None, blacklist: DataFrame | None = None,
                  scorer: Callable[[DataFrame], DataFrame] = rule_scorer, brand_form: str = "join",
-                 rowlocal: bool = False, rollups: DataFrame | None = None) -> DataFrame:
+                 rowlocal: bool = False, rollups: DataFrame | None = None, keywords: DataFrame | None = None,
+                 suffixes: DataFrame | None = None) -> DataFrame:
     """Validated requests ``(request_id, ts, url, ...)`` -> ``scan_results`` rows.
 
     ``url`` must already be validated (see ``validate``).  ``score`` comes
@@ -151,7 +152,7 @@ def scan_results(requests: DataFrame, dns=None, whois=None, tls_obs=None, as_of=
                                          rollups=rollups)
     else:
         f = feat.feature_vector(requests, dns, whois, tls_obs, as_of, brand_form=brand_form,
-                                keep_details=True, rollups=rollups)
+                                keep_details=True, rollups=rollups, keywords=keywords, suffixes=suffixes)
     plain = set(f.columns)
     f = scorer(f)
     # closest_brand and ssl_issuer are also feature details: a scorer replaces them in place

@@ -173,6 +173,32 @@ def q_brand_score_rowlocal(spark, sf_dir):
     return _brand_view(brand_op.brand_features_rowlocal(request_domains(spark, sf_dir)))
 
 
+def _page_dictionary(spark, sf_dir):
+    """A brand dictionary derived from the page hosts, with an entry that repeats and an empty keyword."""
+    label = F.regexp_extract("url", "^https?://([a-z]+)", 1)
+    pages = read_table(spark, sf_dir, "pages").select("page_id", label.alias("label")).filter("length(label) >= 4")
+    own = pages.filter("page_id % 7 = 0").select(F.concat(F.lit("B-"), F.substring("label", 1, 3)).alias("brand"),
+                                                 F.substring("label", 1, 6).alias("keyword"))
+    again = pages.filter("page_id % 49 = 0").select(F.lit("Again").alias("brand"), F.substring("label", 1, 6).alias("keyword"))
+    rows = own.union(again).union(spark.range(1).select(F.lit("Empty"), F.lit("")))
+    return rows.select("brand", "keyword", F.length("keyword").alias("kw_len"), F.lit(0).cast("long").alias("ord"))
+
+
+def q_brand_score_custom(spark, sf_dir):
+    """S2, J1, J2 with a dictionary derived from the tables."""
+    return _brand_view(brand_op.brand_features(request_domains(spark, sf_dir), keywords=_page_dictionary(spark, sf_dir)))
+
+
+def q_tld_risk_custom(spark, sf_dir):
+    """S3, J3 with a suffix table derived from the tables."""
+    host = F.regexp_extract("url", "^https?://([^/]*)", 1)
+    two = F.regexp_extract(host, "([a-z]+[.][a-z]+)$", 1).alias("suffix")
+    own = read_table(spark, sf_dir, "pages").select(two).filter("suffix <> '' and suffix <> 'example.org'").distinct()
+    s = own.select("suffix", (F.length("suffix") / 100.0).alias("risk"), F.lit(2).alias("n_labels"))
+    s = s.union(spark.range(1).select(F.lit("org"), F.lit(0.75), F.lit(1)))
+    return tld.with_tld_risk(request_domains(spark, sf_dir), suffixes=s)
+
+
 def q_dns_rollup(spark, sf_dir):
     dns, _, _ = _records(spark, sf_dir)
     r = enrich.dns_rollup(dns)
@@ -429,6 +455,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "brand_typosquat_hits": q_brand_typosquat_hits,
     "brand_score": q_brand_score,
     "brand_score_rowlocal": q_brand_score_rowlocal,
+    "brand_score_custom": q_brand_score_custom,
+    "tld_risk_custom": q_tld_risk_custom,
     "dns_rollup": q_dns_rollup,
     "whois_derive": q_whois_derive,
     "tls_derive": q_tls_derive,

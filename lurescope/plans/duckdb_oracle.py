@@ -372,8 +372,9 @@ ORDER = ["lures", "scan_requests", "hosts", "dns_records", "whois_records", "tls
          "idn", "dns", "whois", "tls", "enrich", "features", "scans", "feed"]
 
 
-def with_ctes(body: str) -> str:
-    return "WITH " + ",\n".join(CTE[k] for k in ORDER) + "\n" + body
+def with_ctes(body: str, **other: str) -> str:
+    """``body`` over the views; ``other`` replaces views by name."""
+    return "WITH " + ",\n".join(other.get(k, CTE[k]) for k in ORDER) + "\n" + body
 
 
 SCAN_SCALAR_COLS = ["id", "domain", "url", "score", "verdict", "confidence", "category", "is_zero_day",
@@ -422,6 +423,15 @@ def oracle_sql() -> dict[str, str]:
     o["brand_typosquat_hits"] = with_ctes("SELECT domain, pos, token, brand, keyword, distance, weight FROM typo_hits")
     o["brand_score"] = with_ctes("SELECT * FROM brand")
     o["brand_score_rowlocal"] = o["brand_score"]
+    o["brand_score_custom"] = with_ctes("SELECT * FROM brand", kw="""kw(brand, keyword, ord) AS (
+      WITH lab AS (SELECT page_id, regexp_extract(url, '^https?://([a-z]+)', 1) AS l FROM pages)
+      SELECT 'B-' || substr(l, 1, 3), substr(l, 1, 6), 0 FROM lab WHERE length(l) >= 4 AND page_id % 7 = 0
+      UNION ALL SELECT 'Again', substr(l, 1, 6), 0 FROM lab WHERE length(l) >= 4 AND page_id % 49 = 0
+      UNION ALL SELECT 'Empty', '', 0)""")
+    o["tld_risk_custom"] = with_ctes("SELECT domain, tld, tld_risk_score, tld_known FROM tld", tld_dim="""tld_dim(suffix, risk) AS (
+      SELECT DISTINCT s, length(s) / 100.0::DOUBLE FROM (
+        SELECT regexp_extract(regexp_extract(url, '^https?://([^/]*)', 1), '([a-z]+[.][a-z]+)$', 1) AS s FROM pages) x
+      WHERE s <> '' AND s <> 'example.org' UNION ALL SELECT 'org', 0.75::DOUBLE)""")
     o["dns_rollup"] = with_ctes("SELECT * FROM dns")
     o["whois_derive"] = with_ctes("SELECT * FROM whois")
     o["tls_derive"] = with_ctes("SELECT * FROM tls")

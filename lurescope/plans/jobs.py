@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import scoring
 from ..session import apply_job_conf, scratch_scope
 from ..sources import fixed_values as FV
-from ..sources import tables
+from ..sources import dimensions, tables
 from ..streaming import scan_stream
 from . import scan_job
 
@@ -44,6 +44,8 @@ def _args(argv):
                                       "(default: spark.checkpoint.dir)")
     p.add_argument("--run-id", help="batch: id of the run; a repeated id replaces that run (default: a new one)")
     p.add_argument("--blacklist", help="Parquet table of known domains (column domain): others are zero-day")
+    p.add_argument("--brands", help="batch: JSON brand dictionary instead of the built-in one")
+    p.add_argument("--tlds", help="batch: JSON suffix risk table instead of the built-in one")
     p.add_argument("--high", type=int, default=FV.HIGH_RISK_THRESHOLD, help="score from which a verdict is PHISHING")
     p.add_argument("--medium", type=int, default=FV.MEDIUM_RISK_THRESHOLD,
                    help="score from which a verdict is SUSPICIOUS and the feed gets the scan")
@@ -74,7 +76,9 @@ def run_batch(spark: SparkSession, a) -> str:
     run_id = a.run_id or scan_job.new_run_id()
     with scratch_scope(spark):
         out = scan_job.run_scan(tables.read_scan_requests(spark, a.requests), dns, who, tls, as_of,
-                                blacklist=_blacklist(spark, a), scorer=_scorer(a), medium=a.medium)
+                                blacklist=_blacklist(spark, a), scorer=_scorer(a), medium=a.medium,
+                                keywords=dimensions.read_brand_dictionary(spark, a.brands) if a.brands else None,
+                                suffixes=dimensions.read_tld_table(spark, a.tlds) if a.tlds else None)
         # the feed is derived from what the run has just written: one source of truth
         scan_job.write_run(spark, out.scans, a.scans, a.feed, run_id, a.medium)
         if a.quarantine:

@@ -58,13 +58,14 @@ class ScanOutputs:
 
 def run_scan(requests: DataFrame, dns=None, whois=None, tls_obs=None, as_of=None, category_rules=None,
              zero_day=None, blacklist=None, scorer=scoring.rule_scorer, rowlocal: bool = False,
-             medium: int = FV.MEDIUM_RISK_THRESHOLD) -> ScanOutputs:
+             medium: int = FV.MEDIUM_RISK_THRESHOLD, keywords: DataFrame | None = None,
+             suffixes: DataFrame | None = None) -> ScanOutputs:
     """Plan the whole job.  Only the per-domain request counts run here (they
     decide the salting); the rest runs at a sink or an action."""
     v = scoring.validate(requests)
     ok = scoring.accepted(v)
     scans = scoring.scan_results(ok, dns, whois, tls_obs, as_of, category_rules, zero_day, blacklist,
-                                 scorer, rowlocal=rowlocal)
+                                 scorer, rowlocal=rowlocal, keywords=keywords, suffixes=suffixes)
     return ScanOutputs(scans, scoring.threat_feed(scans, medium), scoring.rejected(v))
 
 

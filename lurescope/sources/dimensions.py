@@ -130,7 +130,7 @@ def read_brand_dictionary(spark: SparkSession, path: str) -> DataFrame:
               .select("_bpos", F.col("_e.key").alias("brand"), F.col("_e.value").alias("_kws")))
     kws = brands.select("_bpos", "brand", F.posexplode("_kws").alias("_kpos", "keyword"))
     return kws.select("brand", "keyword", F.length("keyword").cast("int").alias("kw_len"),
-                      (F.col("_bpos") * 100000 + F.col("_kpos")).cast("int").alias("ord"))
+                      (F.col("_bpos").cast("long") * (1 << 32) + F.col("_kpos")).alias("ord"))
 
 
 def read_tld_table(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,5 @@
 """Dictionary files read with Spark give the same results as the
-built-in fixed tables; large dictionaries switch to the join form."""
+built-in fixed tables."""
 import json
 import os
 import tempfile
@@ -31,12 +31,30 @@ def test_brand_dictionary_file_matches_builtin(spark):
     assert sorted(a.collect()) == sorted(b.collect())
 
 
-def test_large_dictionary_uses_join_form(spark):
+def test_custom_path_equals_the_fixed_one(spark):
     kw = dims.read_brand_dictionary(spark, _write(FV.BRAND_KEYWORDS))
     d = spark.createDataFrame([(x,) for x in DOMAINS], "domain string")
-    inline = sorted(brand.keyword_hits(d, keywords=kw).collect())
-    joined = sorted(brand.keyword_hits_join(d, kw).collect())
-    assert inline == joined and len(joined) > 0
+    fixed = sorted(brand.keyword_hits(d).collect())
+    custom = sorted(brand.keyword_hits(d, keywords=kw).collect())
+    assert fixed == custom and len(custom) > 0
+    cols = ["domain", "pos", "token", "brand", "keyword", "distance", "weight"]
+    assert sorted(brand.typosquat_hits(d).select(cols).collect()) == sorted(brand.typosquat_hits(d, keywords=kw).select(cols).collect())
+
+
+def test_repeated_and_empty_keywords(spark):
+    kw = spark.createDataFrame([("A", "sbi", 3, 0), ("A", "sbi", 3, 1), ("B", "", 0, 2), ("C", "zzzz", 4, 3)],
+                               "brand string, keyword string, kw_len int, ord long")
+    d = spark.createDataFrame([("sbi-sbi.com",), ("plain.org",)], "domain string")
+    got = sorted(map(tuple, brand.keyword_hits(d, keywords=kw).collect()))
+    assert got == [("plain.org", "B", ""), ("sbi-sbi.com", "A", "sbi"), ("sbi-sbi.com", "A", "sbi"), ("sbi-sbi.com", "B", "")]
+
+
+def test_deletions_cover_edit_distance_two(spark):
+    pairs = [("paytm", "paytn"), ("abcd", "bcde"), ("sbi", "sbix1"), ("abc", "abc"), ("hdfc", "fdhc")]
+    from pyspark.sql import functions as G
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select(G.levenshtein("a", "b").alias("d"), G.size(G.array_intersect(brand.deletions(G.col("a")), brand.deletions(G.col("b")))).alias("n"))
+    assert all(r.n > 0 for r in got.collect() if r.d <= 2)
 
 
 def test_tld_file_with_three_label_suffix(spark):
