@@ -83,28 +83,29 @@ def latest_observation(records: DataFrame, as_of=None, cols: list[str] | None =
     ``max(struct(observed_at, ...))`` is a plain aggregate, so it combines
     map-side: a domain with millions of observations still sends one row per
     partition to the exchange.  Ties on ``observed_at`` break on the other
-    fields, so the choice is deterministic.
+    fields, so the choice is deterministic; maps have no order, so they are
+    compared as their sorted entries.
     """
     cols = cols or [c for c in records.columns if c not in ("domain", "observed_at")]
+    maps = {f.name for f in records.schema.fields if isinstance(f.dataType, T.MapType)}
     r = records.filter(F.col("observed_at") <= _as_of(as_of)) if as_of is not None else records
+    fields = [F.array_sort(F.map_entries(c)).alias(c) if c in maps else F.col(c) for c in cols]
     latest = (r.withColumn("domain", F.lower("domain"))
-               .groupBy("domain").agg(F.max(F.struct("observed_at", *cols)).alias("_r")))
-    return latest.select("domain", *[F.col("_r")[c].alias(c) for c in ["observed_at", *cols]])
+               .groupBy("domain").agg(F.max(F.struct("observed_at", *fields)).alias("_r")))
+    return latest.select("domain", *[(F.map_from_entries(F.col("_r")[c]) if c in maps else F.col("_r")[c]).alias(c)
+                                     for c in ["observed_at", *cols]])
 
 
 def whois_derive(whois_records: DataFrame, as_of=None) -> DataFrame:
     """``(domain, whois_found, whois_domain_age_days, whois_registrar,
     whois_recently_registered, whois_privacy_protected)`` from the latest record.
 
-    ``registrars`` may be an array or a ``|``-separated string; ``creation_date``
-    and ``org`` may be scalars or arrays (first element used).
+    ``registrars``, ``creation_date`` and ``org`` may be scalars or arrays (first
+    element used).
     """
     types = {f.name: f.dataType for f in whois_records.schema.fields}
     latest = latest_observation(whois_records, as_of, ["creation_date", "registrars", "org"])
-    reg = F.col("registrars")
-    if not isinstance(types["registrars"], T.ArrayType):
-        reg = F.split(reg, r"\|")
-    registrar = F.try_element_at(reg, F.lit(1))
+    registrar = _first(F.col("registrars"), types["registrars"])
     created = _first(F.col("creation_date"), types["creation_date"])
     org = _first(F.col("org"), types["org"])
     age = floor_days(_as_of(as_of), created)
@@ -121,15 +122,6 @@ def whois_derive(whois_records: DataFrame, as_of=None) -> DataFrame:
 
 # ------------------------------------------------------------------------ TLS
 
-def _attr_map(c: Column, dtype: T.DataType) -> Column:
-    """Certificate name attributes as a map; ``k=v,k=v`` text is parsed (empty
-    text is the empty map, a repeated key keeps its last value like a dict)."""
-    if isinstance(dtype, T.MapType):
-        return c
-    return F.when(c == "", F.create_map().cast("map<string,string>")).otherwise(
-        F.str_to_map(c, F.lit(","), F.lit("=")))
-
-
 def parse_cert_date(s: Column) -> Column:
     """``'Jun  1 12:00:00 2026 GMT'`` -> timestamp; null when it does not parse."""
     return F.try_to_timestamp(F.regexp_replace(s, " +", " "), F.lit(CERT_DATE_FORMAT))
@@ -141,12 +133,10 @@ def tls_derive(tls_observations: DataFrame, as_of=None) -> DataFrame:
 
     ``status`` VALID = trusted handshake; UNTRUSTED = certificate present but
     not verified (self-signed decided here); anything else = no certificate.
-    ``issuer`` / ``subject`` are maps or ``k=v,k=v`` text.
+    ``issuer`` / ``subject`` are attribute maps.
     """
-    types = {f.name: f.dataType for f in tls_observations.schema.fields}
     latest = latest_observation(tls_observations, as_of, ["status", "issuer", "subject", "not_after"])
-    iss = _attr_map(F.col("issuer"), types["issuer"])
-    sub = _attr_map(F.col("subject"), types["subject"])
+    iss, sub = F.col("issuer"), F.col("subject")
     st = F.upper(F.col("status"))
     valid, untrusted = st == "VALID", st == "UNTRUSTED"
     has_cert = valid | untrusted

@@ -44,7 +44,7 @@ def _records(spark, sf_dir):
     """The DNS / WHOIS / TLS record tables, as a deployment has them: Parquet
     tables read through the S7-S9 readers.  The fixture derives them from the
     given tables once per process and writes them to the shared folder."""
-    key = "records:" + sf_dir.rstrip("/")
+    key = _key(spark, "records", sf_dir)
     if key not in _TABLES:
         h = materialize(fx.hosts(fx.scan_requests(spark, sf_dir)), "fixture_hosts")
         paths = (scratch_path(spark, "dns_records"), scratch_path(spark, "whois_records"),
@@ -79,13 +79,17 @@ def _feed_view(df: DataFrame) -> DataFrame:
                      F.col("flagged_at").cast(_NTZ).alias("flagged_at"), "scan_id")
 
 
-# Written scan/feed tables per (sf_dir): serving queries read the sink, as a
-# deployment would; built once per process.
-_TABLES: dict[str, tuple[str, str]] = {}
+# Written scan/feed tables per application and input: serving queries read the
+# sink, as a deployment would; built once per application.
+_TABLES: dict[tuple[str, str, str], tuple[str, ...]] = {}
+
+
+def _key(spark: SparkSession, kind: str, sf_dir: str) -> tuple[str, str, str]:
+    return spark.sparkContext.applicationId, kind, sf_dir.rstrip("/")
 
 
 def scan_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    key = sf_dir.rstrip("/")
+    key = _key(spark, "scans", sf_dir)
     if key not in _TABLES:
         scans = fixture_scans(spark, sf_dir)
         sp, fp = scratch_path(spark, "scan_results"), scratch_path(spark, "threat_feed")
@@ -286,7 +290,7 @@ def q_incident_report(spark, sf_dir):
 
 def q_sink_roundtrip(spark, sf_dir):
     scans, _ = scan_tables(spark, sf_dir)
-    sp = _TABLES[sf_dir.rstrip("/")][0]
+    sp = _TABLES[_key(spark, "scans", sf_dir)][0]
     back = scan_job.read_scan_results(spark, sp, parse_features=True)
     return _scan_view(back).join(
         back.select("id", F.col("features.aggregate_lexical_risk_score").alias("aggregate_lexical_risk_score"),
@@ -305,7 +309,7 @@ def _landed_requests(spark, sf_dir) -> str:
 
 def _stream_tables(spark, sf_dir) -> tuple[str, str]:
     """Run the micro-batch scan job over the landed requests once per process."""
-    key = "stream:" + sf_dir.rstrip("/")
+    key = _key(spark, "stream", sf_dir)
     if key not in _TABLES:
         src = _landed_requests(spark, sf_dir)
         dns, who, tls_obs = _records(spark, sf_dir)

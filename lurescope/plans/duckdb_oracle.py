@@ -147,9 +147,9 @@ CTE["whois_records"] = """whois_records AS (
   FROM hosts, range(1, 3) t(k) WHERE host_id % 7 <> 0 AND (k = 1 OR host_id % 2 = 0))"""
 CTE["tls_observations"] = f"""tls_observations AS (
   SELECT domain, TIMESTAMP '2024-01-20 00:00:00' AS observed_at, status,
-    CASE WHEN status = 'NO_LISTENER' THEN NULL WHEN host_id % 8 = 3 THEN 'organizationName=MyOwnCA,commonName=x'
-         WHEN host_id % 3 = 0 THEN 'commonName=R3' ELSE 'organizationName=Trusty' END AS issuer,
-    CASE WHEN status = 'NO_LISTENER' THEN NULL WHEN host_id % 8 = 3 THEN 'commonName=x,organizationName=MyOwnCA'
+    CASE WHEN status = 'NO_LISTENER' THEN NULL WHEN host_id % 8 = 3 THEN 'organizationName=MyOwnCA;commonName=x'
+         WHEN host_id % 3 = 0 THEN 'commonName=R3' ELSE 'organizationName=Trusty, Inc.' END AS issuer,
+    CASE WHEN status = 'NO_LISTENER' THEN NULL WHEN host_id % 8 = 3 THEN 'commonName=x;organizationName=MyOwnCA'
          ELSE 'commonName=' || domain END AS subject,
     CASE WHEN status = 'NO_LISTENER' OR host_id % 16 = 7 THEN NULL
          ELSE [{', '.join(q(t) for t in NOT_AFTER_TIMES)}][host_id % 3 + 1]
@@ -249,15 +249,15 @@ CTE["whois"] = f"""whois AS (
 
 
 def _attr(col: str, key: str) -> str:
-    return (f"(CASE WHEN regexp_matches({col}, {q('(^|,)' + key + '=')}) "
-            f"THEN regexp_extract({col}, {q('(?:^|,)' + key + '=([^,]*)')}, 1) END)")
+    return (f"(CASE WHEN regexp_matches({col}, {q('(^|;)' + key + '=')}) "
+            f"THEN regexp_extract({col}, {q('(?:^|;)' + key + '=([^;]*)')}, 1) END)")
 
 
 CTE["tls"] = f"""tls AS (
   SELECT domain,
     coalesce(st = 'VALID', false) AS ssl_valid,
     coalesce(st = 'UNTRUSTED' AND coalesce(issuer, '') <> ''
-             AND list_sort(string_split(issuer, ',')) = list_sort(string_split(subject, ',')), false) AS ssl_self_signed,
+             AND list_sort(string_split(issuer, ';')) = list_sort(string_split(subject, ';')), false) AS ssl_self_signed,
     CASE WHEN st IN ('VALID', 'UNTRUSTED') THEN coalesce(nullif({_attr('issuer', 'organizationName')}, ''), {_attr('issuer', 'commonName')}) END AS ssl_issuer,
     CASE WHEN st IN ('VALID', 'UNTRUSTED') THEN days END AS ssl_days_until_expiry,
     CASE WHEN st = 'VALID' THEN days < 0 WHEN st = 'UNTRUSTED' THEN coalesce(days < 0, false) END AS ssl_expired

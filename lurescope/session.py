@@ -18,7 +18,7 @@ _JOB_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
-    # A repeated key in parsed attribute text keeps the last value (dict semantics).
+    # A repeated key in a map keeps the last value (dict semantics).
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 

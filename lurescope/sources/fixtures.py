@@ -9,13 +9,12 @@ written out in FIXTURES.md).  Everything grows with the input tables.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import read_table, spread_small_input
+from .tables import read_table
 
 # Fixed fixture values: 12 lure templates, ``{n}`` becomes the page id.
 LURES = [
@@ -33,6 +32,8 @@ LURES = [
     (12, "https://", "www.onlinesbi.com"),
 ]
 LURE_MODULUS = 24
+#: Tasks over which the request fixture is spread.
+FIXTURE_TASKS = 8
 
 # Fixture-only choices (the rules we reproduce have none): category rules in
 # order, the zero-day flag and the as-of instants.
@@ -57,8 +58,9 @@ def lures(spark: SparkSession) -> DataFrame:
 def scan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(request_id, ts, client_id, url)``: one request per event, on page
     ``event_id % n_pages``, rewritten to a lure host for 12 of 24 page ids."""
-    events = spread_small_input(read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id"))
-    pages = spread_small_input(read_table(spark, sf_dir, "pages").select("page_id", "url"))
+    # each given table is one file, which would be one task
+    events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id").repartition(FIXTURE_TASKS)
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     n_pages = pages.select(F.count(F.lit(1))).scalar()
     req = (events.withColumn("_page_key", F.col("event_id") % n_pages)
                  .join(pages, F.col("page_id") == F.col("_page_key"))
@@ -111,15 +113,15 @@ def whois_records(hosts_df: DataFrame) -> DataFrame:
     return w.select(
         "domain",
         F.when(F.col("k") == 1, _ts(dt.datetime(2024, 1, 20))).otherwise(_ts(dt.datetime(2024, 1, 10))).alias("observed_at"),
-        created.alias("creation_date"),
-        F.when(h % 6 == 0, F.lit(None).cast("string"))
-         .when(h % 6 == 1, F.lit("Registrar 1|Registrar 1b"))
-         .otherwise(F.concat(F.lit("Registrar "), (h % 4).cast("string"))).alias("registrars"),
-        F.when(h % 5 == 0, F.lit("WhoisGuard Protected"))
-         .when(h % 5 == 1, F.lit("REDACTED FOR PRIVACY"))
-         .when(h % 5 == 2, F.lit(None).cast("string"))
-         .when(F.col("k") == 1, F.lit("Acme Ltd"))
-         .otherwise(F.lit("Domains By Proxy")).alias("org"),
+        F.when(h % 3 == 0, F.array(created, created + F.expr("INTERVAL 9 DAYS"))).otherwise(F.array(created)).alias("creation_date"),
+        F.when(h % 6 == 0, F.lit(None).cast("array<string>"))
+         .when(h % 6 == 1, F.array(F.lit("Registrar 1"), F.lit("Registrar 1b")))
+         .otherwise(F.array(F.concat(F.lit("Registrar "), (h % 4).cast("string")))).alias("registrars"),
+        F.when(h % 5 == 0, F.array(F.lit("WhoisGuard Protected")))
+         .when(h % 5 == 1, F.array(F.lit("REDACTED FOR PRIVACY")))
+         .when(h % 5 == 2, F.lit(None).cast("array<string>"))
+         .when(F.col("k") == 1, F.array(F.lit("Acme Ltd"), F.lit("Other Ltd")))
+         .otherwise(F.array(F.lit("Domains By Proxy"))).alias("org"),
     )
 
 
@@ -129,13 +131,14 @@ def tls_observations(hosts_df: DataFrame) -> DataFrame:
                .otherwise(F.lit("VALID")))
     no_listener = status == "NO_LISTENER"
     own_ca = h % 8 == 3
-    issuer = (F.when(no_listener, F.lit(None).cast("string"))
-               .when(own_ca, F.lit("organizationName=MyOwnCA,commonName=x"))
-               .when(h % 3 == 0, F.lit("commonName=R3"))
-               .otherwise(F.lit("organizationName=Trusty")))
-    subject = (F.when(no_listener, F.lit(None).cast("string"))
-                .when(own_ca, F.lit("commonName=x,organizationName=MyOwnCA"))
-                .otherwise(F.concat(F.lit("commonName="), F.col("domain"))))
+    org, name = F.lit("organizationName"), F.lit("commonName")
+    issuer = (F.when(no_listener, F.lit(None).cast("map<string,string>"))
+               .when(own_ca, F.create_map(org, F.lit("MyOwnCA"), name, F.lit("x")))
+               .when(h % 3 == 0, F.create_map(name, F.lit("R3")))
+               .otherwise(F.create_map(org, F.lit("Trusty, Inc."))))
+    subject = (F.when(no_listener, F.lit(None).cast("map<string,string>"))
+                .when(own_ca, F.create_map(name, F.lit("x"), org, F.lit("MyOwnCA")))
+                .otherwise(F.create_map(name, F.col("domain"))))
     times = F.array(*[F.lit(t) for t in NOT_AFTER_TIMES])
     year = F.when(status == "UNTRUSTED", F.lit(" 2023 GMT")).otherwise(F.lit(" 2024 GMT"))
     not_after = (F.when(no_listener | (h % 16 == 7), F.lit(None).cast("string"))
@@ -143,18 +146,3 @@ def tls_observations(hosts_df: DataFrame) -> DataFrame:
     return hosts_df.select("domain", _ts(dt.datetime(2024, 1, 20)).alias("observed_at"),
                            status.alias("status"), issuer.alias("issuer"),
                            subject.alias("subject"), not_after.alias("not_after"))
-
-
-@dataclass
-class FixtureSet:
-    requests: DataFrame
-    hosts: DataFrame
-    dns: DataFrame
-    whois: DataFrame
-    tls: DataFrame
-
-
-def fixture_set(spark: SparkSession, sf_dir: str) -> FixtureSet:
-    req = scan_requests(spark, sf_dir)
-    h = hosts(req)
-    return FixtureSet(req, h, dns_records(h), whois_records(h), tls_observations(h))

@@ -36,17 +36,17 @@ DNS_RECORD_SCHEMA = T.StructType([
 WHOIS_RECORD_SCHEMA = T.StructType([
     T.StructField("domain", T.StringType()),
     T.StructField("observed_at", T.TimestampType()),
-    T.StructField("creation_date", T.TimestampType()),
-    T.StructField("registrars", T.StringType()),
-    T.StructField("org", T.StringType()),
+    T.StructField("creation_date", T.ArrayType(T.TimestampType())),
+    T.StructField("registrars", T.ArrayType(T.StringType())),
+    T.StructField("org", T.ArrayType(T.StringType())),
 ])
 
 TLS_OBSERVATION_SCHEMA = T.StructType([
     T.StructField("domain", T.StringType()),
     T.StructField("observed_at", T.TimestampType()),
     T.StructField("status", T.StringType()),
-    T.StructField("issuer", T.StringType()),
-    T.StructField("subject", T.StringType()),
+    T.StructField("issuer", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("subject", T.MapType(T.StringType(), T.StringType())),
     T.StructField("not_after", T.StringType()),
 ])
 
@@ -64,21 +64,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(table_path(sf_dir, name))
 
 
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Round-robin a source that has fewer partitions than the cluster has cores.
-
-    A big table already has one task per file split, so this is a no-op at
-    scale; a file with a single row group would otherwise run every narrow
-    operator after the scan in one task.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # no RDD API (e.g. Spark Connect): leave the plan as it is
-        return df
-    return df.repartition(cores) if n < cores else df
-
-
 def read_scan_requests(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A collected request table ``(request_id, ts, client_id, url)``."""
     return spark.read.schema(SCAN_REQUEST_SCHEMA).format(fmt).load(path)
@@ -90,10 +75,10 @@ def read_dns_records(spark: SparkSession, path: str, fmt: str = "parquet") -> Da
 
 
 def read_whois_records(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Collected WHOIS observations."""
+    """Collected WHOIS observations; dates, registrars and owners as lists (the first one counts)."""
     return spark.read.schema(WHOIS_RECORD_SCHEMA).format(fmt).load(path)
 
 
 def read_tls_observations(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Collected TLS handshake observations."""
+    """Collected TLS handshake observations; issuer and subject as attribute maps."""
     return spark.read.schema(TLS_OBSERVATION_SCHEMA).format(fmt).load(path)

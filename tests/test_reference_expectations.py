@@ -90,19 +90,20 @@ def _records(spark):
         "domain string, rtype string, rdata string")
     now = dt.datetime(2024, 1, 31)
     whois = spark.createDataFrame([
-        ("onlinesbi.com", now, now - dt.timedelta(days=3650), "MarkMonitor Inc.", None),
-        ("fresh.xyz", now, now - dt.timedelta(days=2), "NameCheap", None),
-        ("listy.com", now, now - dt.timedelta(days=100), "Reg A|Reg B", None),
-        ("private.com", now, now - dt.timedelta(days=400), "X", "WhoisGuard Protected"),
-        ("future.com", now, now + dt.timedelta(hours=5), "X", None),
-    ], "domain string, observed_at timestamp, creation_date timestamp, registrars string, org string")
+        ("onlinesbi.com", now, now - dt.timedelta(days=3650), ["MarkMonitor Inc."], None),
+        ("fresh.xyz", now, now - dt.timedelta(days=2), ["NameCheap"], None),
+        ("listy.com", now, now - dt.timedelta(days=100), ["Reg A", "Reg B"], None),
+        ("private.com", now, now - dt.timedelta(days=400), ["X"], "WhoisGuard Protected"),
+        ("future.com", now, now + dt.timedelta(hours=5), ["X"], None),
+    ], "domain string, observed_at timestamp, creation_date timestamp, registrars array<string>, org string")
     tls = spark.createDataFrame([
-        ("valid.com", now, "VALID", "organizationName=Let's Encrypt,commonName=R3", "commonName=valid.com",
+        ("valid.com", now, "VALID", {"organizationName": "Let's Encrypt, Inc.", "commonName": "R3"}, {"commonName": "valid.com"},
          "Mar 31 00:00:00 2024 GMT"),
-        ("self.com", now, "UNTRUSTED", "commonName=self.com", "commonName=self.com", "Jun  1 12:00:00 2024 GMT"),
+        ("self.com", now, "UNTRUSTED", {"commonName": "self.com"}, {"commonName": "self.com"}, "Jun  1 12:00:00 2024 GMT"),
         ("closed.com", now, "NO_LISTENER", None, None, None),
-        ("nodate.com", now, "UNTRUSTED", "commonName=x", "commonName=y", None),
-    ], "domain string, observed_at timestamp, status string, issuer string, subject string, not_after string")
+        ("nodate.com", now, "UNTRUSTED", {"commonName": "x"}, {"commonName": "y"}, None),
+    ], "domain string, observed_at timestamp, status string, "
+       "issuer map<string,string>, subject map<string,string>, not_after string")
     return dns, whois, tls, now
 
 
@@ -132,7 +133,7 @@ def test_tls_derive(spark):
     r = {x.domain: x for x in enrich.tls_derive(tls, now).collect()}
     v = r["valid.com"]
     assert (v.ssl_valid, v.ssl_self_signed, v.ssl_issuer, v.ssl_days_until_expiry, v.ssl_expired) == \
-        (True, False, "Let's Encrypt", 60, False)
+        (True, False, "Let's Encrypt, Inc.", 60, False)
     s = r["self.com"]
     assert (s.ssl_valid, s.ssl_self_signed, s.ssl_issuer) == (False, True, "self.com")
     c = r["closed.com"]
@@ -170,12 +171,25 @@ def test_domain_key_falls_back_to_url(spark):
     assert r == ["example.com/?u=http://x", "sbi.com"]
 
 
-def test_tls_empty_and_repeated_attributes(spark):
+def test_tls_empty_attributes_and_observation_order(spark):
     now = dt.datetime(2024, 1, 31)
     tls = spark.createDataFrame([
-        ("empty.com", now, "UNTRUSTED", "", "", None),
-        ("dup.com", now, "UNTRUSTED", "commonName=a,commonName=b", "commonName=b", None),
-    ], "domain string, observed_at timestamp, status string, issuer string, subject string, not_after string")
+        ("empty.com", now, "UNTRUSTED", {}, {}, None),
+        ("same.com", now, "UNTRUSTED", {"commonName": "b", "organizationName": ""}, {"organizationName": "", "commonName": "b"}, None),
+        ("twice.com", now - dt.timedelta(days=1), "VALID", {"organizationName": "Old, Ltd"}, {"commonName": "a"}, None),
+        ("twice.com", now, "VALID", {"organizationName": "New, Ltd"}, {"commonName": "a"}, None),
+    ], "domain string, observed_at timestamp, status string, issuer map<string,string>, subject map<string,string>, not_after string")
     r = {x.domain: x for x in enrich.tls_derive(tls, now).collect()}
     assert r["empty.com"].ssl_self_signed is False      # empty issuer is falsy
-    assert r["dup.com"].ssl_self_signed is True and r["dup.com"].ssl_issuer == "b"
+    assert r["same.com"].ssl_self_signed is True and r["same.com"].ssl_issuer == "b"
+    assert r["twice.com"].ssl_issuer == "New, Ltd"
+
+
+def test_whois_lists(spark):
+    now = dt.datetime(2024, 1, 31)
+    who = spark.createDataFrame([("l.com", now, [now - dt.timedelta(days=7), now], ["A", "B"], ["Domains By Proxy", "x"]),
+                                 ("n.com", now, [], [], [])],
+                                "domain string, observed_at timestamp, creation_date array<timestamp>, registrars array<string>, org array<string>")
+    r = {x.domain: x for x in enrich.whois_derive(who, now).collect()}
+    assert (r["l.com"].whois_domain_age_days, r["l.com"].whois_registrar, r["l.com"].whois_privacy_protected) == (7, "A", True)
+    assert not r["n.com"].whois_found
