@@ -74,8 +74,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
 def _keyed(docs: DataFrame, carry: list[Column]) -> DataFrame:
     return docs.select(*carry, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"),
-                       F.xxhash64(C.text_or_empty(F.col("text")), F.col("doc_id")).alias("_th"),
-                       word_array(F.col("text")).alias("_words"))
+                       F.xxhash64(C.text_or_empty(F.col("text")), F.col("doc_id")).alias("_th"), F.col("text").alias("_text"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -88,16 +87,19 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     own = windows.select("window", F.split("window", " ").alias("_words"))
     own = with_runs(own, ["window"], widths).select(F.inline_outer("runs"), F.size("_words").alias("n")).filter("width = n")
     prints = C.materialize(own.select(F.col("print").alias("p")).distinct(), "winnow_prints")
-    keyed = _keyed(docs, [])
+    keyed = _keyed(docs, []).select("_id", "_th", word_array(F.col("_text")).alias("_words"))
     # outer: the inner form adds a filter on the array's size, which is pushed down with all that makes the array
     runs = with_runs(keyed, ["_id", "_th"], widths).select("_id", "_th", F.inline_outer("runs"))
     matching = runs.join(prints, F.col("print") == F.col("p"), "left_semi")
     found = matching.groupBy("_id", "_th").agg(F.collect_set(F.struct("width", "first", "last")).alias("found"))
     found = C.materialize(found, "winnow_found")
-    # extend: the words of the windows in those runs
+    # extend: the words of the windows in those runs; hits grow with the corpus, so the texts move (once), not
+    # a copy of all hits to each task, and only texts with hits are split again
     texts = F.flatten(F.transform("found", lambda r: F.transform(F.sequence(r["first"], r["last"]), lambda s: F.struct(
         s.alias("start"), r["width"].alias("width"), F.array_join(F.slice(F.col("_words"), s + 1, r["width"]), " ").alias("text")))))
-    spelled = _keyed(docs, []).join(found, ["_id", "_th"]).select("_id", "_th", F.inline_outer(texts))
+    again = _keyed(docs, []).join(found.hint("shuffle_hash"), ["_id", "_th"]) \
+                            .select("_id", "_th", "found", word_array(F.col("_text")).alias("_words"))
+    spelled = again.select("_id", "_th", F.inline_outer(texts))
     same = spelled.join(windows.drop("width"), F.col("text") == F.col("window"))
     per_doc = same.groupBy("_id", "_th").agg(
         F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("width")).alias("end")))).alias("places"),
@@ -116,7 +118,10 @@ def _joined(keyed: DataFrame, found: DataFrame, how: str) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated per document."""
     found = hits(docs, benchmark)
-    keyed = _keyed(docs, [F.col("doc_id").alias("_doc")]).withColumn("_n", F.size("_words").cast("long")).drop("_words")
+    normal = C.normal_words(F.col("_text"))
+    spaces = F.length(normal) - F.length(F.replace(normal, F.lit(" "), F.lit("")))
+    keyed = _keyed(docs, [F.col("doc_id").alias("_doc")]) \
+        .withColumn("_n", F.when(normal == "", 0).otherwise(spaces + 1).cast("long")).drop("_text")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return _joined(keyed, found, "left").select(
         F.col("_doc").alias("doc_id"), F.col("_n").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -127,7 +132,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, with the columns of ``docs``."""
     found = hits(docs, benchmark).select("h_id", "h_th")
-    keyed = _keyed(docs, [C.packed(docs)]).drop("_words")
+    keyed = _keyed(docs, [C.packed(docs)]).drop("_text")
     return C.unpacked(_joined(keyed, found, "left_anti"), docs)
 
 
