@@ -177,8 +177,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                                                          F.first("bands").alias("bands")), "minhash_classes")
     buckets = C.materialize(table_buckets(classes), "minhash_buckets")
     wanted = C.materialize(classes.join(buckets.select("rep").distinct(), "rep").select("rep", "n", "s1", "s2"), "minhash_wanted")
-    # the candidates' sets, from their texts
-    chosen = _input(docs).join(wanted.select(F.col("rep").alias("r")).distinct(), F.col("doc_id") == F.col("r"), "left_semi")
+    # the candidates' sets, from their texts; candidates grow with the corpus, so the texts move (once), not
+    # a copy of all candidates to each task
+    chosen = _input(docs).join(wanted.select(F.col("rep").alias("r")).distinct().hint("shuffle_hash"),
+                               F.col("doc_id") == F.col("r"), "left_semi")
     items = chosen.mapInArrow(_token_sets, "doc_id long, s1 long, s2 long, items array<long>").dropDuplicates(["doc_id", "s1", "s2"])
     sets = C.materialize(wanted.join(items.withColumnRenamed("doc_id", "rep"), ["rep", "s1", "s2"]).select("rep", "n", "items"),
                          "minhash_sets")
