@@ -31,7 +31,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path, was = scratch_path(spark, name), spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, was)
     return spark.read.parquet(path)
