@@ -16,15 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from lurescope.llm import common as C
 from lurescope.llm import minhash, mixing, quality_rules, sharding, winnowing
 
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the adaptive quality rules keep."""
     return quality_rules.keep_documents(docs)
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (the smallest doc_id)."""
-    return minhash.keep_documents(docs)
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: int = minhash.THRESHOLD) -> DataFrame:
+    """One document of each group of near-duplicates (the smallest doc_id), linked from ``threshold`` percent on."""
+    return minhash.keep_documents(docs, threshold)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +41,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Callable[..., DataFrame]]] = [
     ("quality_rules", quality),
     ("minhash_near_dedup", near_dedup),
     ("winnowing_decontamination", decontaminate),
@@ -54,9 +53,10 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+def run(spark: SparkSession, sf_dir: str, near_percent: int = minhash.THRESHOLD) -> DataFrame:
+    """All stages over ``documents``; near-duplicates are linked from ``near_percent`` percent on."""
     docs = C.read(spark, sf_dir, "documents")
+    options = {"minhash_near_dedup": {"threshold": near_percent}}
     for name, stage in STAGES[:-1]:
-        docs = C.materialize(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        docs = C.materialize(stage(spark, docs, sf_dir, **options.get(name, {})), f"pipeline_{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

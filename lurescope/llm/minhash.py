@@ -4,7 +4,8 @@ Two small collections of GROUPS band hashes each (every band hash joins
 ROWS min-hashes) are computed per document; the keys of GROUPS**2 tables are
 formed by combining each band of the one with each band of the other, so 100
 tables of four min-hashes need 40 min-hashes instead of 400.  A pair of
-similarity 0.85 misses all tables with probability 5e-6.
+similarity 0.85 misses all tables with probability 5e-6, one of 0.8 with 7e-5.
+The threshold is an argument (85 percent unless given).
 
 Candidates are verified on the full shingle sets.  No group is expanded into
 all its pairs: equal sets are one class; within a table bucket every member is
@@ -32,7 +33,7 @@ from lurescope.llm.components import components
 from lurescope.llm.hashing import WordHashes, mix, shingles
 
 SHINGLE = 5
-THRESHOLD = 85  # percent
+THRESHOLD = 85  # percent, unless a caller gives its own
 GROUPS = 10
 ROWS = 2
 SEED = 20240229
@@ -154,23 +155,23 @@ def own_items(sets: DataFrame) -> DataFrame:
     return single.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
 
 
-def reachable(n1: Column, own1: Column, n2: Column, own2: Column) -> Column:
+def reachable(n1: Column, own1: Column, n2: Column, own2: Column, threshold: int) -> Column:
     """False only if the pair can't reach the threshold: own items are never shared."""
     most = F.least(n1 - own1, n2 - own2)
-    return 100 * most >= THRESHOLD * (n1 + n2 - most)
+    return 100 * most >= threshold * (n1 + n2 - most)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (x, y) whose full sets reach the threshold."""
     left = sets.select(F.col("rep").alias("x"), F.col("items").alias("xs"))
     right = sets.select(F.col("rep").alias("y"), F.col("items").alias("ys"))
     both = F.size(F.array_intersect("xs", "ys"))
     joined = pairs.join(left, "x").join(right, "y")
-    return joined.filter(100 * both >= THRESHOLD * (F.size("xs") + F.size("ys") - both)).select("x", "y")
+    return joined.filter(100 * both >= threshold * (F.size("xs") + F.size("ys") - both)).select("x", "y")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept per document."""
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept per document; links from ``threshold`` percent on."""
     sig = C.materialize(signatures(docs), "minhash_signatures")
     real = sig.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = C.materialize(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"),
@@ -186,15 +187,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                          "minhash_sets")
     facts = sets.select("rep", "n").join(own_items(sets), "rep", "left") \
                 .select("rep", "n", F.coalesce("own", F.lit(0)).alias("own")) \
-                .filter(100 * (F.col("n") - F.col("own")) >= THRESHOLD * F.col("n"))
+                .filter(100 * (F.col("n") - F.col("own")) >= threshold * F.col("n"))
     facts = C.materialize(facts, "minhash_facts")
     members = C.materialize(buckets.join(facts, "rep"), "minhash_members")
     lead = members.groupBy("bucket").agg(F.min(F.struct("own", "rep", "n")).alias("lead"))
     led = C.materialize(members.join(lead, "bucket"), "minhash_led")
     first = led.filter(F.col("rep") != F.col("lead.rep")) \
-               .filter(reachable(F.col("n"), F.col("own"), F.col("lead.n"), F.col("lead.own"))) \
+               .filter(reachable(F.col("n"), F.col("own"), F.col("lead.n"), F.col("lead.own"), threshold)) \
                .groupBy("rep").agg(F.min("lead").alias("lead"))
-    links = C.materialize(verified(first.select(F.col("rep").alias("x"), F.col("lead.rep").alias("y")), sets), "minhash_links")
+    links = C.materialize(verified(first.select(F.col("rep").alias("x"), F.col("lead.rep").alias("y")), sets, threshold), "minhash_links")
     groups = components(links)
     # what the leaders left apart, once per pair
     of = groups.select(F.col("node").alias("rep"), "component")
@@ -211,10 +212,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     apart = led.filter("component <> lead_component")
     other = led.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "own", "component", "bands")])
     rest = apart.join(other, (apart["bucket"] == other["bucket"]) & (F.col("component") != F.col("component2"))
-                      & reachable(F.col("n"), F.col("own"), F.col("n2"), F.col("own2"))
+                      & reachable(F.col("n"), F.col("own"), F.col("n2"), F.col("own2"), threshold)
                       & first_common_table(F.col("i"), F.col("j"), F.col("bands"), F.col("bands2"))) \
                 .select(F.least("rep", "rep2").alias("x"), F.greatest("rep", "rep2").alias("y")).distinct()
-    more = C.materialize(verified(C.materialize(rest, "minhash_rest"), sets), "minhash_links")
+    more = C.materialize(verified(C.materialize(rest, "minhash_rest"), sets, threshold), "minhash_links")
     final = components(links.union(more)).select("node", "component") if not more.isEmpty() else groups
     named = C.materialize(classes.select("s1", "s2", "rep").join(final, F.col("rep") == F.col("node"), "left")
                           .select("s1", "s2", F.coalesce("component", "rep").alias("component")), "minhash_named")
@@ -225,9 +226,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                       F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
 
 
-def keep_documents(docs: DataFrame) -> DataFrame:
+def keep_documents(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One document of each group, with the columns of ``docs``; rows without doc_id stay."""
-    ids = near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    ids = near_duplicates(docs, threshold).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
     d = docs.select(C.packed(docs), F.col("doc_id").cast("long").alias("_id"))
     one = Window.partitionBy("_id").orderBy(F.xxhash64("_row"))
     kept = d.join(C.materialize(ids, "minhash_kept"), F.col("_id") == F.col("_kept")) \
