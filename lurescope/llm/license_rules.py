@@ -2,7 +2,9 @@
 
 Texts are matched as lower-case words joined by single spaces, so "Version 2.0"
 reads "version 2 0".  A rule is (label, keyword, priority, score, regex); a text
-is only searched for the rules whose keyword it contains as whole words.
+is only searched for the rules whose keyword it contains at the start of a word.
+A regex with several keywords is a rule for each; every text that it matches
+holds one of them, so the keywords only save work.
 """
 
 from __future__ import annotations
@@ -18,27 +20,27 @@ NAMES: dict[str, tuple[tuple[str, ...], str, str]] = {
     "mit-0": (("mit",), r"mit no attribution(?: licen[cs]e)?", "mit 0"),
     "x11": (("x11",), r"x11 licen[cs]e", "x11"),
     "isc": (("isc",), r"isc(?: style)? licen[cs]e", "isc"),
-    "bsd-2-clause": (("bsd",), r"(?:simplified bsd|freebsd|(?:bsd )?(?:2|two) clause(?: bsd)?) licen[cs]e", "bsd 2 clause"),
-    "bsd-3-clause": (("bsd",), r"(?:new bsd|modified bsd|revised bsd|(?:bsd )?(?:3|three) clause(?: bsd)?) licen[cs]e", "bsd 3 clause"),
-    "bsd-4-clause": (("bsd",), r"(?:original bsd|(?:bsd )?(?:4|four) clause(?: bsd)?) licen[cs]e", "bsd 4 clause"),
+    "bsd-2-clause": (("simplified bsd", "freebsd", "2 clause", "two clause"), r"(?:simplified bsd|freebsd|(?:bsd )?(?:2|two) clause(?: bsd)?) licen[cs]e", "bsd 2 clause"),
+    "bsd-3-clause": (("new bsd", "modified bsd", "revised bsd", "3 clause", "three clause"), r"(?:new bsd|modified bsd|revised bsd|(?:bsd )?(?:3|three) clause(?: bsd)?) licen[cs]e", "bsd 3 clause"),
+    "bsd-4-clause": (("original bsd", "4 clause", "four clause"), r"(?:original bsd|(?:bsd )?(?:4|four) clause(?: bsd)?) licen[cs]e", "bsd 4 clause"),
     "bsd": (("bsd",), r"bsd(?: style)? licen[cs]e", ""),
-    "gpl-1.0": (("general public license", "gpl"), rf"(?:gnu )?(?:general public licen[cs]e|gpl){VER}1(?: 0)?", "gpl 1 0"),
-    "gpl-2.0": (("general public license", "gpl"), rf"(?:gnu )?(?:general public licen[cs]e|gpl){VER}2(?: 0)?", "gpl 2 0"),
-    "gpl-3.0": (("general public license", "gpl"), rf"(?:gnu )?(?:general public licen[cs]e|gpl){VER}3(?: 0)?", "gpl 3 0"),
-    "lgpl-2.0": (("library general public license", "lgpl"), rf"(?:gnu )?(?:library general public licen[cs]e|lgpl){VER}2(?: 0)?", "lgpl 2 0"),
-    "lgpl-2.1": (("lesser general public license", "lgpl"), rf"(?:gnu )?(?:lesser general public licen[cs]e|lgpl){VER}2 1", "lgpl 2 1"),
-    "lgpl-3.0": (("lesser general public license", "lgpl"), rf"(?:gnu )?(?:lesser general public licen[cs]e|lgpl){VER}3(?: 0)?", "lgpl 3 0"),
-    "agpl-3.0": (("affero general public license", "agpl"), rf"(?:gnu )?(?:affero general public licen[cs]e|agpl){VER}3(?: 0)?", "agpl 3 0"),
-    "gfdl-1.1": (("free documentation license", "gfdl"), rf"(?:gnu )?(?:free documentation licen[cs]e|gfdl){VER}1 1", "gfdl 1 1"),
-    "gfdl-1.2": (("free documentation license", "gfdl"), rf"(?:gnu )?(?:free documentation licen[cs]e|gfdl){VER}1 2", "gfdl 1 2"),
-    "gfdl-1.3": (("free documentation license", "gfdl"), rf"(?:gnu )?(?:free documentation licen[cs]e|gfdl){VER}1 3", "gfdl 1 3"),
+    "gpl-1.0": (("general public licen", "gpl"), rf"(?:gnu )?(?:general public licen[cs]e|gpl){VER}1(?: 0)?", "gpl 1 0"),
+    "gpl-2.0": (("general public licen", "gpl"), rf"(?:gnu )?(?:general public licen[cs]e|gpl){VER}2(?: 0)?", "gpl 2 0"),
+    "gpl-3.0": (("general public licen", "gpl"), rf"(?:gnu )?(?:general public licen[cs]e|gpl){VER}3(?: 0)?", "gpl 3 0"),
+    "lgpl-2.0": (("library general public licen", "lgpl"), rf"(?:gnu )?(?:library general public licen[cs]e|lgpl){VER}2(?: 0)?", "lgpl 2 0"),
+    "lgpl-2.1": (("lesser general public licen", "lgpl"), rf"(?:gnu )?(?:lesser general public licen[cs]e|lgpl){VER}2 1", "lgpl 2 1"),
+    "lgpl-3.0": (("lesser general public licen", "lgpl"), rf"(?:gnu )?(?:lesser general public licen[cs]e|lgpl){VER}3(?: 0)?", "lgpl 3 0"),
+    "agpl-3.0": (("affero general public licen", "agpl"), rf"(?:gnu )?(?:affero general public licen[cs]e|agpl){VER}3(?: 0)?", "agpl 3 0"),
+    "gfdl-1.1": (("free documentation licen", "gfdl"), rf"(?:gnu )?(?:free documentation licen[cs]e|gfdl){VER}1 1", "gfdl 1 1"),
+    "gfdl-1.2": (("free documentation licen", "gfdl"), rf"(?:gnu )?(?:free documentation licen[cs]e|gfdl){VER}1 2", "gfdl 1 2"),
+    "gfdl-1.3": (("free documentation licen", "gfdl"), rf"(?:gnu )?(?:free documentation licen[cs]e|gfdl){VER}1 3", "gfdl 1 3"),
     "mpl-1.1": (("mozilla", "mpl"), rf"(?:mozilla public licen[cs]e|mpl){VER}1 1", "mpl 1 1"),
     "mpl-2.0": (("mozilla", "mpl"), rf"(?:mozilla public licen[cs]e|mpl){VER}2(?: 0)?", "mpl 2 0"),
     "epl-1.0": (("eclipse", "epl"), rf"(?:eclipse public licen[cs]e|epl){VER}1(?: 0)?", "epl 1 0"),
     "epl-2.0": (("eclipse", "epl"), rf"(?:eclipse public licen[cs]e|epl){VER}2(?: 0)?", "epl 2 0"),
     "eupl-1.2": (("european union public", "eupl"), rf"(?:european union public licen[cs]e|eupl){VER}1 2", "eupl 1 2"),
     "cddl-1.0": (("common development and distribution", "cddl"), rf"(?:common development and distribution licen[cs]e|cddl){VER}1 0", "cddl 1 0"),
-    "cpl-1.0": (("common public license",), rf"common public licen[cs]e{VER}1 0", "cpl 1 0"),
+    "cpl-1.0": (("common public licen",), rf"common public licen[cs]e{VER}1 0", "cpl 1 0"),
     "artistic-1.0": (("artistic",), rf"artistic licen[cs]e{VER}1(?: 0)?", "artistic 1 0"),
     "artistic-2.0": (("artistic",), rf"artistic licen[cs]e{VER}2(?: 0)?", "artistic 2 0"),
     "bsl-1.0": (("boost",), rf"boost software licen[cs]e(?:{VER}1(?: 0)?)?", "bsl 1 0"),
@@ -51,8 +53,8 @@ NAMES: dict[str, tuple[tuple[str, ...], str, str]] = {
     "wtfpl": (("wtfpl",), r"wtfpl(?: licen[cs]e)?", "wtfpl"),
     "ms-pl": (("microsoft public", "ms pl"), r"(?:microsoft public licen[cs]e|ms pl)", "ms pl"),
     "ms-rl": (("microsoft reciprocal", "ms rl"), r"(?:microsoft reciprocal licen[cs]e|ms rl)", "ms rl"),
-    "ofl-1.1": (("sil open font", "open font license"), rf"(?:sil )?open font licen[cs]e(?:{VER}1 1)?", "ofl 1 1"),
-    "odbl-1.0": (("open database license", "odbl"), rf"(?:open database licen[cs]e|odbl)(?:{VER}1(?: 0)?)?", "odbl 1 0"),
+    "ofl-1.1": (("open font licen",), rf"(?:sil )?open font licen[cs]e(?:{VER}1 1)?", "ofl 1 1"),
+    "odbl-1.0": (("open database licen", "odbl"), rf"(?:open database licen[cs]e|odbl)(?:{VER}1(?: 0)?)?", "odbl 1 0"),
     "cc0-1.0": (("cc0", "creative commons"), r"(?:cc0(?: 1 0)?|creative commons zero)(?: universal)?", "cc0 1 0"),
     "cc-by-4.0": (("creative commons", "cc by"), rf"(?:creative commons attribution|cc by)(?: international)?{VER}4(?: 0)?", "cc by 4 0"),
     "cc-by-3.0": (("creative commons", "cc by"), rf"(?:creative commons attribution|cc by)(?: unported)?{VER}3(?: 0)?", "cc by 3 0"),
@@ -95,8 +97,10 @@ GENERAL = [
     ("reserved", "all rights reserved", 2, 0.7, r"(?:copyright(?: c)? (?:19|20)\d\d [^ ]+(?: [^ ]+){0,5} )?all rights reserved"),
     ("proprietary", "proprietary", 2, 0.7, r"proprietary and confidential|confidential and proprietary|proprietary licen[cs]e"),
     ("no-redistribution", "redistribution", 2, 0.7, r"(?:unauthori[sz]ed )?redistribution (?:is )?(?:strictly )?prohibited"),
-    ("no-commercial-use", "commercial use", 2, 0.7, r"(?:for )?non ?commercial use only|commercial use (?:is )?(?:strictly )?prohibited"),
-    ("license-notice", "licensed under", 3, 0.5, r"licen[cs]ed under(?: the)?(?: [^ ]+){1,3} licen[cs]e"),
+    *[("no-commercial-use", keyword, 2, 0.7, r"(?:for )?non ?commercial use only|commercial use (?:is )?(?:strictly )?prohibited")
+      for keyword in ("commercial use", "noncommercial use")],
+    *[("license-notice", keyword, 3, 0.5, r"licen[cs]ed under(?: the)?(?: [^ ]+){1,3} licen[cs]e")
+      for keyword in ("licensed under", "licenced under")],
 ]
 
 
