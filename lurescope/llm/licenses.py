@@ -69,6 +69,7 @@ def detections(texts: DataFrame, spark: SparkSession) -> DataFrame:
     each = tried.select("_id", "_th", "rule", "label", "priority", "weight", F.posexplode_outer(F.transform(
         found, lambda m, i: F.struct(F.length(m).alias("len"), F.length(F.get(gaps, i)).alias("gap")))).alias("i", "m"))
     each = C.materialize(each.select("_id", "_th", "rule", "label", "priority", "weight", "i", "m.*"), "license_matches")
+    each = each.dropDuplicates()  # rows that repeat have the same matches; they would add up below
     order = Window.partitionBy("_id", "_th", "rule").orderBy("i")
     each = each.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(order)).withColumn("start", F.col("end") - F.col("len"))
     doc = Window.partitionBy("_id", "_th").orderBy("start", F.col("end").desc(), "priority", "rule") \
