@@ -132,17 +132,18 @@ def feature_vector(requests: DataFrame, dns_records=None, whois_records=None, tl
 
 
 def feature_vector_rowlocal(requests: DataFrame, dns=None, whois=None, tls_obs=None, as_of=None,
-                            url_col: str = "url", keep_details: bool = False, rollups=None) -> DataFrame:
+                            url_col: str = "url", keep_details: bool = False, rollups=None,
+                            suffixes: DataFrame | None = None) -> DataFrame:
     """Stream-friendly twin: no distinct / aggregation on the request side.
 
     Brand, TLD and IDN are row-local or joins to fixed broadcast tables; the
     record rollups are static tables joined to the stream (stream-static
-    left joins).
+    left joins); so is a custom ``suffixes`` table.
     """
     base = requests.withColumn("domain", domain_key(F.col(url_col)))
     lex = lexical.with_lexical_features(base, url_col)
     b = brand_op.brand_features_rowlocal(lex)
-    t = tld.with_tld_risk(b)
+    t = tld.with_tld_risk(b, suffixes=suffixes)
     i = idn.with_idn(t)
     e = enrich.with_enrichment(i, dns, whois, tls_obs, as_of, rollups=rollups)
     e = (e.withColumn("visual_similarity_score", F.lit(None).cast(T.DoubleType()))

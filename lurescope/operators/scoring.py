@@ -145,11 +145,14 @@ def scan_results(requests: DataFrame, dns=None, whois=None, tls_obs=None, as_of=
 
     ``url`` must already be validated (see ``validate``).  ``score`` comes
     from ``scorer``; the 38 features go to ``features_json``; registrar, TLS
-    issuer, domain age and closest brand are filled from the features.
+    issuer, domain age and closest brand are filled from the features.  A custom
+    brand dictionary needs shuffles, so ``rowlocal`` refuses ``keywords``.
     """
     if rowlocal:
+        if keywords is not None:
+            raise ValueError("the row-local form has only the built-in brand dictionary: keywords needs rowlocal=False")
         f = feat.feature_vector_rowlocal(requests, dns, whois, tls_obs, as_of, keep_details=True,
-                                         rollups=rollups)
+                                         rollups=rollups, suffixes=suffixes)
     else:
         f = feat.feature_vector(requests, dns, whois, tls_obs, as_of, brand_form=brand_form,
                                 keep_details=True, rollups=rollups, keywords=keywords, suffixes=suffixes)

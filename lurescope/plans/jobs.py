@@ -44,8 +44,8 @@ def _args(argv):
                                       "(default: spark.checkpoint.dir)")
     p.add_argument("--run-id", help="batch: id of the run; a repeated id replaces that run (default: a new one)")
     p.add_argument("--blacklist", help="Parquet table of known domains (column domain): others are zero-day")
-    p.add_argument("--brands", help="batch: JSON brand dictionary instead of the built-in one")
-    p.add_argument("--tlds", help="batch: JSON suffix risk table instead of the built-in one")
+    p.add_argument("--brands", help="JSON brand dictionary instead of the built-in one")
+    p.add_argument("--tlds", help="JSON suffix risk table instead of the built-in one")
     p.add_argument("--high", type=int, default=FV.HIGH_RISK_THRESHOLD, help="score from which a verdict is PHISHING")
     p.add_argument("--medium", type=int, default=FV.MEDIUM_RISK_THRESHOLD,
                    help="score from which a verdict is SUSPICIOUS and the feed gets the scan")
@@ -70,6 +70,11 @@ def _blacklist(spark: SparkSession, a) -> DataFrame | None:
     return spark.read.parquet(a.blacklist) if a.blacklist else None
 
 
+def _dictionaries(spark: SparkSession, a) -> dict[str, DataFrame | None]:
+    return {"keywords": dimensions.read_brand_dictionary(spark, a.brands) if a.brands else None,
+            "suffixes": dimensions.read_tld_table(spark, a.tlds) if a.tlds else None}
+
+
 def run_batch(spark: SparkSession, a) -> str:
     as_of = dt.datetime.fromisoformat(a.as_of) if a.as_of else None
     dns, who, tls = _records(spark, a)
@@ -77,8 +82,7 @@ def run_batch(spark: SparkSession, a) -> str:
     with scratch_scope(spark):
         out = scan_job.run_scan(tables.read_scan_requests(spark, a.requests), dns, who, tls, as_of,
                                 blacklist=_blacklist(spark, a), scorer=_scorer(a), medium=a.medium,
-                                keywords=dimensions.read_brand_dictionary(spark, a.brands) if a.brands else None,
-                                suffixes=dimensions.read_tld_table(spark, a.tlds) if a.tlds else None)
+                                **_dictionaries(spark, a))
         # the feed is derived from what the run has just written: one source of truth
         scan_job.write_run(spark, out.scans, a.scans, a.feed, run_id, a.medium)
         if a.quarantine:
@@ -98,7 +102,7 @@ def run_stream(spark: SparkSession, a):
     q = scan_stream.scan_job_stream(req, a.scans, a.feed, a.checkpoint, dns, who, tls, as_of,
                                     available_now=a.once, scorer=_scorer(a), medium=a.medium,
                                     quarantine_path=a.quarantine, refresh_s=a.refresh_seconds,
-                                    blacklist=_blacklist(spark, a))
+                                    blacklist=_blacklist(spark, a), **_dictionaries(spark, a))
     if not a.once:
         q.awaitTermination()
     return q

@@ -31,12 +31,12 @@ def request_stream(spark: SparkSession, path: str, max_files_per_trigger: int |
 
 
 def scan_stream(requests: DataFrame, dns=None, whois=None, tls_obs=None, as_of=None, category_rules=None,
-                zero_day: Column | None = None, scorer=scoring.rule_scorer) -> DataFrame:
+                zero_day: Column | None = None, scorer=scoring.rule_scorer, suffixes: DataFrame | None = None) -> DataFrame:
     """T-1: validate -> row-local features -> score -> scan rows (a pure streaming
     plan; rejected requests are the job's quarantine, see ``scan_job_stream``)."""
     ok = scoring.accepted(scoring.validate(requests))
     return scoring.scan_results(ok, dns, whois, tls_obs, as_of, category_rules, zero_day,
-                                scorer=scorer, rowlocal=True)
+                                scorer=scorer, rowlocal=True, suffixes=suffixes)
 
 
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
@@ -60,7 +60,8 @@ def scan_job_stream(requests: DataFrame, scans_path: str, feed_path: str, checkp
                     whois=None, tls_obs=None, as_of=None, category_rules=None,
                     zero_day_fn=None, scorer=scoring.rule_scorer, available_now: bool = True,
                     timeout_s: int | None = None, quarantine_path: str | None = None,
-                    medium: int = FV.MEDIUM_RISK_THRESHOLD, refresh_s: float = 3600.0, blacklist=None):
+                    medium: int = FV.MEDIUM_RISK_THRESHOLD, refresh_s: float = 3600.0, blacklist=None,
+                    keywords: DataFrame | None = None, suffixes: DataFrame | None = None):
     """T-1 + T-2 with the batch plan per micro-batch (``foreachBatch``).
 
     Each micro-batch is a static DataFrame, so it gets the batch plan: the
@@ -68,7 +69,8 @@ def scan_job_stream(requests: DataFrame, scans_path: str, feed_path: str, checkp
     request.  The batch is written to the sinks of the batch job under the run id
     ``<query id>-<batch id>``: a retried batch replaces its own rows
     (exactly-once), and a stream with another checkpoint appends its own.
-    Rejected requests go to ``quarantine_path``.
+    Rejected requests go to ``quarantine_path``.  ``keywords`` / ``suffixes``: the
+    custom dictionaries of the batch job.
 
     The record tables are rolled up into one written table that every micro-batch
     joins; it is renewed after ``refresh_s`` seconds (ages as of then, if ``as_of``
@@ -102,7 +104,8 @@ def scan_job_stream(requests: DataFrame, scans_path: str, feed_path: str, checkp
                 v = scoring.validate(batch)
                 flag = zero_day_fn(F.col("request_id")) if zero_day_fn is not None else None
                 scans = scoring.scan_results(scoring.accepted(v), None, None, None, as_of, category_rules, flag,
-                                             blacklist=blacklist, scorer=scorer, rollups=rollups())
+                                             blacklist=blacklist, scorer=scorer, rollups=rollups(),
+                                             keywords=keywords, suffixes=suffixes)
                 scan_job.write_run(spark, scans, scans_path, feed_path, run_id, medium)
                 if quarantine_path:
                     scan_job.write_quarantine(scoring.rejected(v), quarantine_path, run_id)
