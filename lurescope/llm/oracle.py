@@ -155,6 +155,31 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM a
 """
 
+
+
+def _lloyd(rounds: int) -> str:
+    """Plain Lloyd rounds: all distances, and the componentwise means, round by round."""
+    ctes = [f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, q) - 1 AS c, q FROM v
+       ORDER BY sha256('3:' || vec_id) NULLS LAST, q LIMIT 8)"""]
+    for k in range(rounds + 1):
+        ctes.append(f"""a{k} AS MATERIALIZED (SELECT rid, min((d, c)) AS best FROM (
+  SELECT rid, c, list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - c{k}.q[i]) * (v.q[i] - c{k}.q[i])))::BIGINT AS d FROM v, c{k}) GROUP BY rid)""")
+        if k < rounds:
+            ctes.append(f"""m{k} AS MATERIALIZED (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS q FROM (
+    SELECT best[2] AS c, i, sum(x)::BIGINT AS s, count(*) AS n
+    FROM (SELECT best, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{k} JOIN v USING (rid)) GROUP BY 1, 2) GROUP BY c),
+c{k + 1} AS MATERIALIZED (SELECT c{k}.c, coalesce(m{k}.q, c{k}.q) AS q FROM c{k} LEFT JOIN m{k} USING (c))""")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, best[2]::INTEGER AS cluster, best[1]::BIGINT AS distance, (sum(best[1]) OVER (PARTITION BY best[2]))::BIGINT AS cluster_inertia,
+       (sum(best[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (rid) JOIN c{rounds} c ON c.c = best[2]
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_mixing": MIXING,
     "op2_sharding": SHARDING,
@@ -162,4 +187,5 @@ ORACLES: dict[str, str] = {
     "op6_winnowing": WINNOWING,
     "op9_minhash": MINHASH,
     "op10_warc": WARC,
+    "op11_centroids": _lloyd(10),
 }

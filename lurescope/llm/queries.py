@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lurescope.llm import licenses, minhash, mixing, quality_rules, rule_ensemble, sharding, suffix, toxicity, warc, winnowing
+from lurescope.llm import (alignment, centroids, licenses, minhash, mixing, pii, quality_rules, rule_ensemble, sharding, suffix,
+                           toxicity, warc, winnowing)
 from lurescope.llm.oracle import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": licenses.op8_licenses,
     "op9_minhash": minhash.op9_minhash,
     "op10_warc": warc.op10_warc,
+    "op11_centroids": centroids.op11_centroids,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_pii": pii.op13_pii,
 }
 
 
