@@ -41,8 +41,8 @@ TOKENIZERS = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Steps of the merge path in a piece.
 PIECE = 1 << 16
-#: Characters and documents after which a block is closed.
-BLOCK_CHARS, BLOCK_DOCS = 4_000_000, 4096
+#: Characters and documents after which a block is closed, and characters that are encoded at once.
+BLOCK_CHARS, BLOCK_DOCS, ENCODED_CHARS = 1_000_000, 4096, 100_000
 
 
 # ---- vocabularies ------------------------------------------------------------------------------
@@ -84,15 +84,29 @@ class Vocabularies:
     def __reduce__(self):
         return Vocabularies, self.files  # a pickled tokenizer forgets its settings
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids by A and by B; none for texts that are empty or not kept byte by byte."""
-        out: list[tuple[list[int], list[int]]] = []
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids by A and by B; none for texts that are empty or not kept byte by byte.
+
+        A few texts at a time: the tokenizers' own results take many times the memory of the ids.
+        """
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        low, size = 0, 0
+        for n, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= ENCODED_CHARS or n == len(texts):
+                out += self._encode(texts[low:n])
+                low, size = n, 0
+        return out
+
+    def _encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         spaced = [" " + t for t in texts]
         self.a.encode_special_tokens = True
-        for text, whole, a, b in zip(texts, spaced, self.a.encode_batch(spaced, add_special_tokens=False), self.b.encode(texts, num_threads=1)):
+        found = zip(texts, spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(texts, num_threads=1))
+        out = []
+        for text, whole, a, b in found:
             raw, ids = whole.encode("utf-8"), a.ids
             same = text and b"".join(map(self.a_bytes.__getitem__, ids)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
-            out.append((ids, b) if same else ([], []))
+            out.append((np.array(ids if same else [], np.int32), np.array(b if same else [], np.int32)))
         return out
 
 
@@ -168,8 +182,9 @@ class Block:
         encoded = vocab.encode(texts)
         self.n_a = np.array([len(a) for a, _ in encoded], np.int64)
         self.n_b = np.array([len(b) for _, b in encoded], np.int64)
-        self.a = np.fromiter((x for a, _ in encoded for x in a), np.int64, int(self.n_a.sum()))
-        self.b = np.fromiter((x for _, b in encoded for x in b), np.int64, int(self.n_b.sum()))
+        empty = [np.zeros(0, np.int32)]
+        self.a = np.concatenate([a for a, _ in encoded] or empty).astype(np.int64)
+        self.b = np.concatenate([b for _, b in encoded] or empty).astype(np.int64)
         self.a_end, self.b_end = np.cumsum(vocab.a_len[self.a]), np.cumsum(vocab.b_len[self.b])
         ia, jb, _, end, both = overlaps(self.a_end, self.b_end, piece)
         #: last token of A and of B in each group, and the byte where it ends
