@@ -15,6 +15,26 @@ def vocab():
     return M.Vocabularies(*[open(f"{M.TOKENIZERS}/{f}", "rb").read() for f in (M.A_FILE, M.B_FILE)])
 
 
+def test_ranks_encode_as_the_merges_do(vocab):
+    """Every code point, in several neighbourhoods, by both encoders of the same file."""
+    from tokenizers import Tokenizer
+    assert vocab.ranked is not None
+    merges = Tokenizer.from_file(f"{M.TOKENIZERS}/{M.A_FILE}")
+    merges.encode_special_tokens = True
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for low in range(0, len(points), 30_000):
+        texts = [f"x{c}1{c}{c} {c}!{c}  {c} a" for c in points[low:low + 30_000]]
+        for e, t in zip(merges.encode_batch_fast(texts, add_special_tokens=False), texts):
+            assert e.ids == vocab.ranked.encode_ordinary(t), ascii(t)
+
+
+def test_other_files_use_their_own_tokenizer():
+    import json
+    spec = json.loads(open(f"{M.TOKENIZERS}/{M.A_FILE}", "rb").read())
+    spec["model"]["dropout"] = 0.1
+    assert M.ranked_encoding(spec, {}) is None
+
+
 def brute(vocab, rows):
     count, found = collections.Counter(), []
     for doc, text in rows:
