@@ -104,20 +104,25 @@ def whois_derive(whois_records: DataFrame, as_of=None) -> DataFrame:
     element used).
     """
     types = {f.name: f.dataType for f in whois_records.schema.fields}
-    latest = latest_observation(whois_records, as_of, ["creation_date", "registrars", "org"])
-    registrar = _first(F.col("registrars"), types["registrars"])
-    created = _first(F.col("creation_date"), types["creation_date"])
-    org = _first(F.col("org"), types["org"])
-    age = floor_days(_as_of(as_of), created)
-    privacy = F.lower(F.coalesce(org, F.lit(""))).rlike(regex_alternation(FV.WHOIS_PRIVACY_TERMS))
-    return latest.select(
-        "domain",
-        (created.isNotNull() | registrar.isNotNull()).alias("whois_found"),
-        age.alias("whois_domain_age_days"),
-        registrar.alias("whois_registrar"),
-        F.coalesce(age < FV.RECENTLY_REGISTERED_DAYS, F.lit(False)).alias("whois_recently_registered"),
-        privacy.alias("whois_privacy_protected"),
-    )
+    names = ["creation_date", "registrars", "org"]
+    latest = latest_observation(whois_records, as_of, names)
+    fields = whois_fields({c: F.col(c) for c in names}, types, _as_of(as_of))
+    return latest.select("domain", *[c.alias(n) for n, c in fields.items()])
+
+
+def whois_fields(record: dict[str, Column], types: dict[str, T.DataType], at: Column) -> dict[str, Column]:
+    """The derived columns of one WHOIS record, as of ``at``."""
+    registrar = _first(record["registrars"], types["registrars"])
+    created = _first(record["creation_date"], types["creation_date"])
+    org = _first(record["org"], types["org"])
+    age = floor_days(at, created)
+    return {
+        "whois_found": created.isNotNull() | registrar.isNotNull(),
+        "whois_domain_age_days": age,
+        "whois_registrar": registrar,
+        "whois_recently_registered": F.coalesce(age < FV.RECENTLY_REGISTERED_DAYS, F.lit(False)),
+        "whois_privacy_protected": F.lower(F.coalesce(org, F.lit(""))).rlike(regex_alternation(FV.WHOIS_PRIVACY_TERMS)),
+    }
 
 
 # ------------------------------------------------------------------------ TLS
@@ -135,24 +140,30 @@ def tls_derive(tls_observations: DataFrame, as_of=None) -> DataFrame:
     not verified (self-signed decided here); anything else = no certificate.
     ``issuer`` / ``subject`` are attribute maps.
     """
-    latest = latest_observation(tls_observations, as_of, ["status", "issuer", "subject", "not_after"])
-    iss, sub = F.col("issuer"), F.col("subject")
-    st = F.upper(F.col("status"))
+    names = ["status", "issuer", "subject", "not_after"]
+    latest = latest_observation(tls_observations, as_of, names)
+    fields = tls_fields({c: F.col(c) for c in names}, _as_of(as_of))
+    return latest.select("domain", *[c.alias(n) for n, c in fields.items()])
+
+
+def tls_fields(observation: dict[str, Column], at: Column) -> dict[str, Column]:
+    """The derived columns of one handshake observation, as of ``at``."""
+    iss, sub = observation["issuer"], observation["subject"]
+    st = F.upper(observation["status"])
     valid, untrusted = st == "VALID", st == "UNTRUSTED"
     has_cert = valid | untrusted
     name = F.coalesce(F.nullif(F.try_element_at(iss, F.lit("organizationName")), F.lit("")),
                       F.try_element_at(iss, F.lit("commonName")))
-    days = floor_days(parse_cert_date(F.col("not_after")), _as_of(as_of))
+    days = floor_days(parse_cert_date(observation["not_after"]), at)
     self_signed = (untrusted & F.coalesce(F.size(iss) > 0, F.lit(False))
                    & F.coalesce(F.array_sort(F.map_entries(iss)) == F.array_sort(F.map_entries(sub)), F.lit(False)))
-    return latest.select(
-        "domain",
-        F.coalesce(valid, F.lit(False)).alias("ssl_valid"),
-        F.coalesce(self_signed, F.lit(False)).alias("ssl_self_signed"),
-        F.when(has_cert, name).alias("ssl_issuer"),
-        F.when(has_cert, days).alias("ssl_days_until_expiry"),
-        F.when(valid, days < 0).when(untrusted, F.coalesce(days < 0, F.lit(False))).alias("ssl_expired"),
-    )
+    return {
+        "ssl_valid": F.coalesce(valid, F.lit(False)),
+        "ssl_self_signed": F.coalesce(self_signed, F.lit(False)),
+        "ssl_issuer": F.when(has_cert, name),
+        "ssl_days_until_expiry": F.when(has_cert, days),
+        "ssl_expired": F.when(valid, days < 0).when(untrusted, F.coalesce(days < 0, F.lit(False))),
+    }
 
 
 # ---------------------------------------------------------------- J6 / J7

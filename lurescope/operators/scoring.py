@@ -47,6 +47,13 @@ def validate(requests: DataFrame, url_col: str = "url") -> DataFrame:
                     .withColumn(url_col, F.when(F.col("reject_reason").isNull(), norm)))
 
 
+def validate_json(requests: DataFrame, corrupt: str = "_corrupt") -> DataFrame:
+    """P1 for JSON requests (``read_json_requests``): a line that isn't a request is rejected as malformed and keeps its text."""
+    v = validate(requests)
+    reason = F.when(F.col(corrupt).isNotNull(), F.lit("malformed")).otherwise(F.col("reject_reason"))
+    return v.withColumn("reject_reason", reason)
+
+
 def accepted(validated: DataFrame) -> DataFrame:
     return validated.filter(F.col("reject_reason").isNull()).drop("reject_reason")
 

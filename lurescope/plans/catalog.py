@@ -503,4 +503,5 @@ def _wrap(fn):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _wrap(v) for k, v in QUERIES.items()}
+    from . import catalog_time  # its queries build on these
+    return {k: _wrap(v) for k, v in (QUERIES | catalog_time.QUERIES).items()}

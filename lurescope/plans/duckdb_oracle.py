@@ -491,4 +491,62 @@ def oracle_sql() -> dict[str, str]:
     o["scan_by_one_id"] = with_ctes(f"""SELECT {', '.join(SCAN_SCALAR_COLS)} FROM scans
       WHERE id = (SELECT scan_id FROM feed ORDER BY flagged_at DESC, id ASC LIMIT 1)""")
     o["scans_by_domain"] = with_ctes(f"SELECT {', '.join(SCAN_SCALAR_COLS)} FROM scans WHERE domain = 'amazon.in'")
+    o |= _over_time(by_domain)
+    o["brand_score_file"] = o["brand_score_custom"]
+    o["tld_risk_file"] = o["tld_risk_custom"]
+    return o
+
+
+def _over_time(by_domain: str) -> dict[str, str]:
+    """Reuse window, point-in-time enrichment, closed days, committed runs, JSON requests."""
+    o: dict[str, str] = {}
+    o["stream_reuse_window"] = with_ctes(f"""SELECT * FROM (
+      WITH RECURSIVE r AS (SELECT request_id, ts, domain FROM {by_domain} x),
+      u AS (SELECT domain, ts, min(request_id) AS id FROM r GROUP BY domain, ts),
+      n AS (SELECT *, min(ts) OVER (PARTITION BY domain ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS FOLLOWING AND UNBOUNDED FOLLOWING) AS nts FROM u),
+      chain AS (SELECT n.domain, n.ts, n.id, n.nts FROM n JOIN (SELECT domain, min(ts) AS t FROM u GROUP BY domain) f ON f.domain = n.domain AND f.t = n.ts
+                UNION ALL SELECT n.domain, n.ts, n.id, n.nts FROM chain c JOIN n ON n.domain = c.domain AND n.ts = c.nts)
+      SELECT r.request_id, r.domain, r.ts, c.id AS scan_id, c.ts AS scan_ts, c.id = r.request_id AS fresh
+      FROM r ASOF JOIN (SELECT * FROM chain) c ON r.domain = c.domain AND r.ts >= c.ts) z""")
+    o["stream_closed_days"] = with_ctes("""
+      SELECT CAST(created_at AS DATE) AS day, count(*) FILTER (WHERE score >= 40) AS threats,
+             CAST(printf('%.1f', CAST(sum(CAST(confidence AS DECIMAL(30, 15))) AS DOUBLE) / count(*) * 100.0::DOUBLE) AS DOUBLE) AS avg_confidence,
+             count(*) FILTER (WHERE is_zero_day) AS zero_day_count, count(*) AS scans,
+             CASE WHEN CAST(created_at AS DATE) < DATE '2024-01-08' THEN count(*) ELSE 0 END AS late
+      FROM scans GROUP BY 1""")
+    observed = "TIMESTAMP '2024-01-02 00:00:00' + to_days(CAST({step} * k AS INTEGER)) + to_hours(CAST(host_id % 24 AS INTEGER))"
+    days = "CAST(floor((epoch_us({a}) - epoch_us({b})) / 86400000000.0) AS INTEGER)"
+    age, left_ = days.format(a="r.ts", b="w.created"), days.format(a="t.not_after", b="r.ts")
+    o["enrich_point_in_time"] = with_ctes(f"""SELECT * FROM (
+      WITH r AS (SELECT request_id, ts, domain, lower({host_of('domain')}) AS jh FROM {by_domain} x),
+      d AS (SELECT lower(domain) AS domain, {observed.format(step=7)} AS at, (host_id + k) % 4 <> 0 AS some, host_id + k AS g FROM hosts, range(4) t(k)),
+      w AS (SELECT lower(domain) AS domain, {observed.format(step=10)} AS at, TIMESTAMP '2024-01-01 00:00:00' - to_days(CAST((host_id * 37) % 400 - 5 AS INTEGER)) AS created,
+                   'R' || (host_id % 4 + k) AS registrar, host_id % 5 = k AS private FROM hosts, range(2) t(k) WHERE host_id % 7 <> 0),
+      t AS (SELECT lower(domain) AS domain, {observed.format(step=9)} AS at, CASE (host_id + k) % 4 WHEN 0 THEN 'NONE' WHEN 3 THEN 'UNTRUSTED' ELSE 'VALID' END AS st,
+                   'CA ' || k AS issuer, host_id % 3 = 0 AS same, TIMESTAMP '2024-01-01 12:00:00' + to_days(CAST(4 + host_id % 20 AS INTEGER)) AS not_after
+            FROM hosts, range(3) t(k))
+      SELECT r.request_id, r.domain, coalesce(d.some, false) AS dns_resolves, CAST(coalesce(CASE WHEN d.some THEN d.g % 3 + 1 END, 0) AS INTEGER) AS dns_a_record_count,
+             CAST(coalesce(d.some AND d.g % 3 = 1, false) AS INTEGER) AS dns_has_aaaa, CAST(coalesce(d.some AND d.g % 2 = 0, false) AS INTEGER) AS dns_has_mx,
+             CAST(w.domain IS NOT NULL AS INTEGER) AS whois_found, {age} AS whois_domain_age_days, w.registrar AS whois_registrar,
+             CAST(coalesce({age} < {FV.RECENTLY_REGISTERED_DAYS}, false) AS INTEGER) AS whois_recently_registered,
+             CAST(coalesce(w.private, false) AS INTEGER) AS whois_privacy_protected,
+             coalesce(t.st = 'VALID', false) AS ssl_valid, CAST(coalesce(t.st = 'UNTRUSTED' AND t.same, false) AS INTEGER) AS ssl_self_signed,
+             CASE WHEN t.st <> 'NONE' THEN t.issuer END AS ssl_issuer, CASE WHEN t.st <> 'NONE' THEN {left_} END AS ssl_days_until_expiry,
+             CASE WHEN t.st <> 'NONE' THEN {left_} < 0 END AS ssl_expired
+      FROM r ASOF LEFT JOIN d ON r.jh = d.domain AND r.ts >= d.at ASOF LEFT JOIN w ON r.jh = w.domain AND r.ts >= w.at
+             ASOF LEFT JOIN t ON r.jh = t.domain AND r.ts >= t.at) z""")
+
+    def stored(runs: int, again: int) -> str:
+        score = f"CASE WHEN day(created_at) % {runs} = {again} THEN 10 ELSE score END"
+        return with_ctes(f"""SELECT id, domain, CAST({score} AS INTEGER) AS score, verdict, 'run-' || (day(created_at) % {runs}) AS run_id, created_at,
+                                    {score} >= 40 AS in_feed FROM scans""")
+
+    o["store_commit"], o["store_compacted"] = stored(3, 1), stored(5, 2)
+    o["json_requests"] = with_ctes("""
+      SELECT CASE WHEN request_id % 20 = 0 OR request_id % 31 = 0 THEN 'malformed' WHEN request_id % 37 = 0 THEN 'empty' ELSE 'accepted' END AS outcome,
+             count(*) AS n, CAST(sum(CASE WHEN request_id % 20 <> 0 AND request_id % 31 <> 0 THEN request_id END) AS BIGINT) AS ids
+      FROM scan_requests GROUP BY 1""")
+    o["stream_json_requests"] = with_ctes("""
+      SELECT CASE WHEN request_id % 20 = 0 THEN 'malformed' ELSE 'accepted' END AS outcome, count(*) AS n,
+             count(*) FILTER (WHERE request_id % 20 = 0) AS with_text FROM scan_requests GROUP BY 1""")
     return o

@@ -32,8 +32,6 @@ LURES = [
     (12, "https://", "www.onlinesbi.com"),
 ]
 LURE_MODULUS = 24
-#: Tasks over which the request fixture is spread.
-FIXTURE_TASKS = 8
 
 # Fixture-only choices (the rules we reproduce have none): category rules in
 # order, the zero-day flag and the as-of instants.
@@ -58,8 +56,8 @@ def lures(spark: SparkSession) -> DataFrame:
 def scan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(request_id, ts, client_id, url)``: one request per event, on page
     ``event_id % n_pages``, rewritten to a lure host for 12 of 24 page ids."""
-    # each given table is one file, which would be one task
-    events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id").repartition(FIXTURE_TASKS)
+    # each given table is one file, which would be one task: spread by the key of the join, in as many tasks as the session has
+    events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id").repartition("event_id")
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     n_pages = pages.select(F.count(F.lit(1))).scalar()
     req = (events.withColumn("_page_key", F.col("event_id") % n_pages)
@@ -146,3 +144,54 @@ def tls_observations(hosts_df: DataFrame) -> DataFrame:
     return hosts_df.select("domain", _ts(dt.datetime(2024, 1, 20)).alias("observed_at"),
                            status.alias("status"), issuer.alias("issuer"),
                            subject.alias("subject"), not_after.alias("not_after"))
+
+
+# ------------------------------------------------------ observation histories
+
+HISTORY_START = dt.datetime(2024, 1, 2, 0, 0, 0)
+
+
+def _observed(k: Column, step_days: int) -> Column:
+    base_us = int(HISTORY_START.replace(tzinfo=dt.timezone.utc).timestamp()) * 1_000_000
+    return F.timestamp_micros(F.lit(base_us) + k * F.lit(step_days * 86_400_000_000) + (F.col("host_id") % 24) * F.lit(3_600_000_000))
+
+
+def dns_history(hosts_df: DataFrame) -> DataFrame:
+    """Four answer sets a host, a week apart; every fourth one is empty (a row of type NONE)."""
+    g = F.col("host_id") + F.col("k")
+    h = hosts_df.select("domain", "host_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")) \
+                .withColumn("observed_at", _observed(F.col("k"), 7))
+    some = h.filter(g % 4 != 0)
+    a = some.select("domain", "observed_at", F.lit("A").alias("rtype"), "host_id", "k",
+                    F.explode(F.sequence(F.lit(0), (g % 3).cast("int"))).alias("j")) \
+            .select("domain", "observed_at", "rtype", F.concat_ws(".", F.lit("10"), "k", "j", F.col("host_id") % 250).alias("rdata"))
+
+    def one(rows, rtype, rdata):
+        return rows.select("domain", "observed_at", F.lit(rtype).alias("rtype"), rdata.alias("rdata"))
+
+    return (a.unionByName(one(some.filter(g % 3 == 1), "AAAA", F.lit("2001:db8::1")))
+             .unionByName(one(some.filter(g % 2 == 0), "MX", F.concat(F.lit("10 mail."), F.col("domain"))))
+             .unionByName(one(h.filter(g % 4 == 0), "NONE", F.lit(""))))
+
+
+def whois_history(hosts_df: DataFrame) -> DataFrame:
+    """Two records a host, ten days apart; the owner changes, the registrar may."""
+    h = F.col("host_id")
+    base_us = int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp()) * 1_000_000
+    created = F.timestamp_micros(F.lit(base_us) - ((h * 37) % 400 - 5) * F.lit(86_400_000_000))
+    rows = hosts_df.filter(h % 7 != 0).select("domain", "host_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    org = F.when(h % 5 == F.col("k"), F.array(F.lit("WhoisGuard Protected"))).otherwise(F.array(F.lit("Acme Ltd")))
+    return rows.select("domain", _observed(F.col("k"), 10).alias("observed_at"), F.array(created).alias("creation_date"),
+                       F.array(F.concat(F.lit("R"), (h % 4 + F.col("k")).cast("string"))).alias("registrars"), org.alias("org"))
+
+
+def tls_history(hosts_df: DataFrame) -> DataFrame:
+    """Three handshakes a host, nine days apart; status and issuer change."""
+    h, k = F.col("host_id"), F.col("k")
+    rows = hosts_df.select("domain", "host_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    status = F.when((h + k) % 4 == 0, F.lit("NO_LISTENER")).when((h + k) % 4 == 3, F.lit("UNTRUSTED")).otherwise(F.lit("VALID"))
+    issuer = F.create_map(F.lit("organizationName"), F.concat(F.lit("CA "), k.cast("string")))
+    subject = F.when(h % 3 == 0, issuer).otherwise(F.create_map(F.lit("commonName"), F.col("domain")))
+    day = F.concat(F.lit("Jan "), F.lpad((F.lit(5) + (h % 20)).cast("string"), 2, " "), F.lit(" 12:00:00 2024 GMT"))
+    return rows.select("domain", _observed(k, 9).alias("observed_at"), status.alias("status"), issuer.alias("issuer"),
+                       subject.alias("subject"), day.alias("not_after"))

@@ -33,6 +33,9 @@ DNS_RECORD_SCHEMA = T.StructType([
     T.StructField("rdata", T.StringType()),
 ])
 
+#: DNS answers with their time: the records of one (domain, observed_at) are one answer set.
+DNS_OBSERVATION_SCHEMA = T.StructType([*DNS_RECORD_SCHEMA.fields, T.StructField("observed_at", T.TimestampType())])
+
 WHOIS_RECORD_SCHEMA = T.StructType([
     T.StructField("domain", T.StringType()),
     T.StructField("observed_at", T.TimestampType()),
@@ -69,11 +72,29 @@ def read_scan_requests(spark: SparkSession, path: str, fmt: str = "parquet") ->
     return spark.read.schema(SCAN_REQUEST_SCHEMA).format(fmt).load(path)
 
 
+#: The column that keeps a line which isn't a request.
+CORRUPT = "_corrupt"
+
+
+def read_json_requests(spark: SparkSession, path: str, stream: bool = False, max_files_per_trigger: int | None = None) -> DataFrame:
+    """S1 as JSON lines: the request columns, and ``_corrupt`` with the whole line where it can't be read as one."""
+    reader = spark.readStream if stream else spark.read
+    if stream and max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    schema = T.StructType([*SCAN_REQUEST_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+    return reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+
+
 def read_dns_records(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Collected DNS answers ``(domain, rtype, rdata)``."""
     return spark.read.schema(DNS_RECORD_SCHEMA).format(fmt).load(path)
 
 
+def read_dns_observations(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """S7 with a time: DNS answer sets as they were observed (for ``asof.enrich_at_request_time``)."""
+    return spark.read.schema(DNS_OBSERVATION_SCHEMA).format(fmt).load(path)
+
+
 def read_whois_records(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Collected WHOIS observations; dates, registrars and owners as lists (the first one counts)."""
     return spark.read.schema(WHOIS_RECORD_SCHEMA).format(fmt).load(path)

@@ -19,7 +19,7 @@ from ..operators import scoring
 from ..plans import scan_job
 from ..session import delete_path, scratch_path, scratch_scope
 from ..sources import fixed_values as FV
-from ..sources.tables import SCAN_REQUEST_SCHEMA
+from ..sources.tables import CORRUPT, SCAN_REQUEST_SCHEMA
 
 
 def request_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -101,9 +101,9 @@ def scan_job_stream(requests: DataFrame, scans_path: str, feed_path: str, checkp
         batch.persist()
         try:
             with scratch_scope(spark):
-                v = scoring.validate(batch)
+                v = scoring.validate_json(batch) if CORRUPT in batch.columns else scoring.validate(batch)
                 flag = zero_day_fn(F.col("request_id")) if zero_day_fn is not None else None
-                scans = scoring.scan_results(scoring.accepted(v), None, None, None, as_of, category_rules, flag,
+                scans = scoring.scan_results(scoring.accepted(v).drop(CORRUPT), None, None, None, as_of, category_rules, flag,
                                              blacklist=blacklist, scorer=scorer, rollups=rollups(),
                                              keywords=keywords, suffixes=suffixes)
                 scan_job.write_run(spark, scans, scans_path, feed_path, run_id, medium)
