@@ -89,7 +89,7 @@ def _store(spark, sf_dir, runs: int) -> ScanStore:
     for k in range(runs):
         store.write_run(scans.filter(F.dayofmonth("created_at") % runs == k), f"run-{k}")
     # what a crash leaves behind: scans without a commit
-    store._write(scans.limit(50).withColumn("run_id", F.lit("crashed")), "scans/crashed.0", "created_date", "created_at", ["domain"])
+    store._write(scans.limit(50).withColumn("run_id", F.lit("crashed")), "scans/segment=crashed.0", "created_date", "created_at", ["domain"])
     return store
 
 

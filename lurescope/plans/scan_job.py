@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from ..operators import features as feat
 from ..operators import scoring
 from ..sources import fixed_values as FV
+from ..sources.tables import CORRUPT
 
 _S = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
       "timestamp": T.TimestampType(), "date": T.DateType()}
@@ -62,8 +63,8 @@ def run_scan(requests: DataFrame, dns=None, whois=None, tls_obs=None, as_of=None
              suffixes: DataFrame | None = None) -> ScanOutputs:
     """Plan the whole job.  Only the per-domain request counts run here (they
     decide the salting); the rest runs at a sink or an action."""
-    v = scoring.validate(requests)
-    ok = scoring.accepted(v)
+    v = scoring.validate_json(requests) if CORRUPT in requests.columns else scoring.validate(requests)
+    ok = scoring.accepted(v).drop(CORRUPT)
     scans = scoring.scan_results(ok, dns, whois, tls_obs, as_of, category_rules, zero_day, blacklist,
                                  scorer, rowlocal=rowlocal, keywords=keywords, suffixes=suffixes)
     return ScanOutputs(scans, scoring.threat_feed(scans, medium), scoring.rejected(v))

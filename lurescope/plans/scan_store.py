@@ -19,12 +19,10 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import scoring
 from ..session import delete_path
@@ -32,12 +30,18 @@ from ..sources import fixed_values as FV
 from . import scan_job
 
 TABLES = ("scans", "feed")
+#: How the folders of compacted rows begin (no run id may).
+COMPACT = "compact."
 #: Rows of a compacted file.
 CLUSTER_ROWS = 1_000_000
 #: A version that another writer made first is tried again this often.
 RETRIES = 50
 
 
+def _folder(table: str, segment: str) -> str:
+    return f"{table}/segment={segment}"
+
+
 class CommitConflict(RuntimeError):
     pass
 
@@ -130,8 +134,10 @@ class ScanStore:
 
     def write_run(self, scans: DataFrame, run_id: str, medium: int = FV.MEDIUM_RISK_THRESHOLD) -> int:
         """K3: the scans of a run and the feed derived from them, visible together; a repeated id replaces that run."""
+        if run_id.startswith(COMPACT):
+            raise ValueError(f"a run id can't begin with {COMPACT}")
         attempt = f"{run_id}.{uuid.uuid4().hex[:8]}"
-        paths = {t: f"{t}/{attempt}" for t in TABLES}
+        paths = {t: _folder(t, attempt) for t in TABLES}
         self._write(scans.withColumn("run_id", F.lit(run_id)), paths["scans"], "created_date", "created_at", ["domain"])
         written = self._open("scans", [paths["scans"]])
         self._write(scoring.threat_feed(written, medium).withColumn("run_id", F.lit(run_id)), paths["feed"], "flagged_date",
@@ -168,15 +174,17 @@ class ScanStore:
                 out = out.unionByName(self._open(table, [s.tables[table]]).filter(~F.col("run_id").isin(stale)))
         return out
 
-    def _open(self, table: str, paths: Iterable[str]) -> DataFrame:
+    def _open(self, table: str, paths: list[str]) -> DataFrame:
         schema = scan_job.SCAN_RESULTS_SCHEMA if table == "scans" else scan_job.THREAT_FEED_SCHEMA
-        frames = [self.spark.read.schema(schema).option("basePath", f"{self.root}/{p}").parquet(f"{self.root}/{p}") for p in paths]
-        if not frames:
-            return self.spark.createDataFrame([], schema)
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
+        out = None
+        # the compacted feed has its day as a column, all other folders as a folder level
+        flat = [p for p in paths if table == "feed" and p.startswith(_folder("feed", COMPACT))]
+        for group in (flat, [p for p in paths if p not in flat]):
+            if group:
+                rows = (self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}")
+                            .parquet(*[f"{self.root}/{p}" for p in group]).select(schema.names))
+                out = rows if out is None else out.unionByName(rows)
+        return out if out is not None else self.spark.createDataFrame([], schema)
 
     # ---- compaction ----------------------------------------------------------------------
 
@@ -192,8 +200,8 @@ class ScanStore:
         old = self.segments()
         if not old:
             return 0
-        name = f"compact.{uuid.uuid4().hex[:8]}"
-        paths = {t: f"{t}/{name}" for t in TABLES}
+        name = f"{COMPACT}{uuid.uuid4().hex[:8]}"
+        paths = {t: _folder(t, name) for t in TABLES}
         self._clustered(self.scans(), paths["scans"], "created_date", [F.col("created_date"), F.col("domain"), F.col("id")], rows_per_file)
         self._clustered(self.feed(), paths["feed"], "flagged_date",
                         [F.col("category"), F.col("verdict"), F.col("flagged_at").desc(), F.col("id")], rows_per_file, by_day=False)
@@ -228,6 +236,3 @@ def file_bounds(df: DataFrame, columns: list[str]) -> DataFrame:
     """``file, rows`` and the least and greatest value of each column: the files that a filter can't skip."""
     aggs = [f(F.col(c)).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))]
     return df.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("rows"), *aggs)
-
-
-__all__ = ["CommitConflict", "ScanStore", "Segment", "file_bounds", "T"]

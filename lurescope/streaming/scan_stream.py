@@ -56,12 +56,12 @@ def _drain(stream: DataFrame, run_batch, checkpoint: str, available_now: bool, t
     return q
 
 
-def scan_job_stream(requests: DataFrame, scans_path: str, feed_path: str, checkpoint: str, dns=None,
+def scan_job_stream(requests: DataFrame, scans_path: str | None, feed_path: str | None, checkpoint: str, dns=None,
                     whois=None, tls_obs=None, as_of=None, category_rules=None,
                     zero_day_fn=None, scorer=scoring.rule_scorer, available_now: bool = True,
                     timeout_s: int | None = None, quarantine_path: str | None = None,
                     medium: int = FV.MEDIUM_RISK_THRESHOLD, refresh_s: float = 3600.0, blacklist=None,
-                    keywords: DataFrame | None = None, suffixes: DataFrame | None = None):
+                    keywords: DataFrame | None = None, suffixes: DataFrame | None = None, store=None):
     """T-1 + T-2 with the batch plan per micro-batch (``foreachBatch``).
 
     Each micro-batch is a static DataFrame, so it gets the batch plan: the
@@ -70,7 +70,8 @@ def scan_job_stream(requests: DataFrame, scans_path: str, feed_path: str, checkp
     ``<query id>-<batch id>``: a retried batch replaces its own rows
     (exactly-once), and a stream with another checkpoint appends its own.
     Rejected requests go to ``quarantine_path``.  ``keywords`` / ``suffixes``: the
-    custom dictionaries of the batch job.
+    custom dictionaries of the batch job.  ``store``: a ``ScanStore`` that each
+    micro-batch commits to, instead of the two paths.
 
     The record tables are rolled up into one written table that every micro-batch
     joins; it is renewed after ``refresh_s`` seconds (ages as of then, if ``as_of``
@@ -106,7 +107,10 @@ def scan_job_stream(requests: DataFrame, scans_path: str, feed_path: str, checkp
                 scans = scoring.scan_results(scoring.accepted(v).drop(CORRUPT), None, None, None, as_of, category_rules, flag,
                                              blacklist=blacklist, scorer=scorer, rollups=rollups(),
                                              keywords=keywords, suffixes=suffixes)
-                scan_job.write_run(spark, scans, scans_path, feed_path, run_id, medium)
+                if store is not None:
+                    store.write_run(scans, run_id, medium)
+                else:
+                    scan_job.write_run(spark, scans, scans_path, feed_path, run_id, medium)
                 if quarantine_path:
                     scan_job.write_quarantine(scoring.rejected(v), quarantine_path, run_id)
         finally:
