@@ -102,6 +102,12 @@ def scratch_scope(spark: SparkSession):
             delete_path(spark, path)
 
 
+def register_scratch(path: str) -> None:
+    """Have the innermost ``scratch_scope``, if there is one, delete ``path`` at its end."""
+    if _scopes:
+        _scopes[-1].append(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path of the shared folder for a written table."""
     base = shared_dir(spark).rstrip("/")
@@ -132,7 +138,6 @@ def materialize(df, name: str = "stage"):
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    if _scopes:
-        _scopes[-1].append(path)
+    register_scratch(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
