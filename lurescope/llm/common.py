@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurescope.session import scratch_path
+from lurescope.session import register_scratch, scratch_path
 
 #: Fixed values of the word contracts (bytes 0x09-0x0D and 0x20 separate words).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -25,10 +25,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage, survives lost executors, and shows the planner the real
     size.  The shuffle files of the write are removed when it is done, so the
-    disk holds one step's shuffles at a time.
+    disk holds one step's shuffles at a time.  Inside a ``scratch_scope`` the table is
+    deleted at its end.
     """
+    path = scratch_path(df.sparkSession, name)
+    register_scratch(path)
+    return write_table(df, path)
+
+
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read back; the caller deletes it."""
     spark = df.sparkSession
-    path, was = scratch_path(spark, name), spark.conf.get(CLEANUP, "false")
+    was = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
@@ -79,4 +87,4 @@ def unpacked(df: DataFrame, docs: DataFrame, name: str = "_row") -> DataFrame:
 
 
 __all__ = ["ALNUM_GAP_PATTERN", "ALNUM_PATTERN", "LOWER", "SPACE_CHARS", "UPPER", "WORD_PATTERN", "lower_ascii",
-           "materialize", "normal_words", "packed", "read", "space_words", "text_or_empty", "unit_hash", "unpacked"]
+           "materialize", "normal_words", "packed", "read", "space_words", "text_or_empty", "unit_hash", "unpacked", "write_table"]

@@ -19,7 +19,7 @@ def shingle_set(text):
     return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4)))
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [(r[0], shingle_set(r[1])) for r in rows]
     parent = {i: i for i, _ in sets if i is not None}
 
@@ -33,7 +33,7 @@ def brute(rows):
             if i is None or j is None or not a or not b:
                 continue
             both = len(a & b)
-            if 100 * both >= 85 * (len(a) + len(b) - both):
+            if 100 * both >= percent * (len(a) + len(b) - both):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
     return sorted(((i, len(s), find(i) if i is not None else None, i is None or find(i) == i) for i, s in sets), key=str)

@@ -1,4 +1,4 @@
-"""The threshold of near-duplicates as an argument: at 0.8, and 0.85 without one."""
+"""The threshold of near-duplicates as an argument: 0.8 in the pipeline, 0.85 in the query."""
 import random
 
 import corpus_pipeline
@@ -29,7 +29,7 @@ def test_stage_and_query_thresholds(spark):
     rows = pairs()
     near = {rows[i][0]: similarity(rows[i][1], rows[i + 1][1]) for i in range(0, len(rows), 2)}
     assert {0, 1, 2} == {(s >= .8) + (s >= .85) for s in near.values()}  # below, between and above
-    stage = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(spark, rows), "", 80).collect()}
+    stage = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(spark, rows), "").collect()}
     assert stage == {i for i, _ in rows} - {i + 1 for i, s in near.items() if s >= .8}
     query = {r.doc_id for r in minhash.near_duplicates(docs(spark, rows)).filter("kept").collect()}
     assert query == {i for i, _ in rows} - {i + 1 for i, s in near.items() if s >= .85}
@@ -41,5 +41,5 @@ def test_pipeline_at_eighty(spark, tmp_path):
     docs(spark, rows).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     near = {rows[i][0]: similarity(rows[i][1], rows[i + 1][1]) for i in range(0, len(rows), 2)}
-    got = {r.doc_id for r in corpus_pipeline.run(spark, d, near_percent=80).collect()}
+    got = {r.doc_id for r in corpus_pipeline.run(spark, d).collect()}
     assert got == {i for i, _ in rows} - {i + 1 for i, s in near.items() if s >= .8}

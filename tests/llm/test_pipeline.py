@@ -1,9 +1,11 @@
 """The corpus pipeline against its stages in plain Python."""
+import os
 import random
 from collections import Counter
 
 import corpus_pipeline
 from lurescope.llm import quality_rules
+from lurescope.session import shared_dir
 from tests.llm import brute
 from tests.llm.helpers import docs, prose
 from tests.llm.test_minhash import brute as components
@@ -43,7 +45,8 @@ def corpus():
             t += " " + items[i % 5][1]
         if i % 7 == 0 and rows:
             w = rows[-1][1].split(" ")
-            w[3] = "edited"
+            for k in range(1 + i % 4):  # one to four edits: copies above and below 0.8
+                w[3 + 12 * k] = "edited"
             t = " ".join(w)
         rows.append((i, t, rng.choice(["en", "de"]), rng.choice(["a", "a", "a", "b", "c"])))
     return rows, items
@@ -56,7 +59,7 @@ def test_stages_and_result(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     kept = {r[0] for r in brute.quality(rows, quality_rules.STATISTICS) if r[-1]}
     want = [r for r in rows if r[0] in kept]
-    one = {r[0] for r in components([r[:2] for r in want]) if r[3]}
+    one = {r[0] for r in components([r[:2] for r in want], 80) if r[3]}
     want = [r for r in want if r[0] in one]
     dirty = {r[0] for r in contamination([r[:2] for r in want], items) if r[5]}
     want = [r for r in want if r[0] not in dirty]
@@ -69,6 +72,19 @@ def test_stages_and_result(spark, tmp_path):
     assert sorted((r.doc_id, r.shard, r.slot) for r in got) == sorted((r[0], r[3], r[4]) for r in brute.shards(want))
 
 
+def test_a_run_leaves_one_table(spark, tmp_path):
+    """The written tables of earlier stages are gone; the result's own input stays."""
+    rows, items = corpus()
+    d = str(tmp_path)
+    docs(spark, rows[:60]).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    base = shared_dir(spark).replace("file:", "")
+    before = set(os.listdir(base))
+    assert corpus_pipeline.run(spark, d).count() > 0
+    left = {x.split("-")[0] for x in set(os.listdir(base)) - before}
+    assert {x for x in left if not x.startswith("shard")} == {"pipeline_source_mixing"}  # and what the last stage reads
+
+
 def test_stage_names_and_columns(spark, tmp_path):
     rows, items = corpus()
     d = str(tmp_path)
