@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``.  A stage's rows are written as Parquet in the
 shared folder and reread as the next stage's input, so a lost executor never
-reaches back past one stage.  Empty inputs, null columns and extra columns pass
+reaches back past one stage; it is deleted when the next stage's table is written,
+as are the tables that a stage writes for itself.  Empty inputs, null columns and extra columns pass
 through as the operators define it.
 """
 
@@ -15,13 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lurescope.llm import common as C
 from lurescope.llm import minhash, mixing, quality_rules, sharding, winnowing
+from lurescope.session import delete_path, scratch_path, scratch_scope
+
+#: Near-duplicates of the pipeline: at least this share of the word shingles in common (percent).
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the adaptive quality rules keep."""
     return quality_rules.keep_documents(docs)
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: int = minhash.THRESHOLD) -> DataFrame:
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: int = NEAR_PERCENT) -> DataFrame:
     """One document of each group of near-duplicates (the smallest doc_id), linked from ``threshold`` percent on."""
     return minhash.keep_documents(docs, threshold)
 
@@ -53,10 +59,15 @@ STAGES: list[tuple[str, Callable[..., DataFrame]]] = [
 ORACLE_SQL: str | None = None
 
 
-def run(spark: SparkSession, sf_dir: str, near_percent: int = minhash.THRESHOLD) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, near_percent: int = NEAR_PERCENT) -> DataFrame:
     """All stages over ``documents``; near-duplicates are linked from ``near_percent`` percent on."""
-    docs = C.read(spark, sf_dir, "documents")
+    docs, before = C.read(spark, sf_dir, "documents"), None
     options = {"minhash_near_dedup": {"threshold": near_percent}}
     for name, stage in STAGES[:-1]:
-        docs = C.materialize(stage(spark, docs, sf_dir, **options.get(name, {})), f"pipeline_{name}")
+        path = scratch_path(spark, f"pipeline_{name}")
+        with scratch_scope(spark):
+            docs = C.write_table(stage(spark, docs, sf_dir, **options.get(name, {})), path)
+        if before:
+            delete_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
