@@ -58,20 +58,42 @@ def join_host(domain: Column) -> Column:
     return F.lower(host_of_netloc(domain))
 
 
-# Netloc of an http(s) URL, or of a text that gets ``https://`` put in front.
-_NETLOC_HEAD = r"^(?:https?://)?"
-_HAS_BRACKET_RE = _NETLOC_HEAD + r"[^/?#]*[\[\]]"
-_BRACKET_OK_RE = (_NETLOC_HEAD + r"(?:[^/?#]*@)?\[(?:[0-9A-Fa-f:.]+(?:%[^\]/?#]*)?|v[0-9A-Fa-f]+\.[^\]/?#]+)\]"
-                  r"(?::[^/?#]*)?(?:[/?#]|\z)")
+_IPV4 = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_IPV4_TAIL = rf":{_IPV4}(?:[.]{_IPV4}){{3}}$"
+_GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*"
+
+
+def is_ipv6(text: Column) -> Column:
+    """True when ``text`` is an IPv6 address: eight groups of one to four hex digits, one run of
+    which may be left out as ``::``; a dotted IPv4 address may stand for the last two; a zone
+    may follow a ``%`` (not empty, without another ``%``)."""
+    zone = F.substring_index(text, "%", -1)
+    zone_ok = ~text.contains("%") | ((F.length(text) - F.length(F.replace(text, F.lit("%"))) == 1) & (zone != ""))
+    groups = F.regexp_replace(F.substring_index(text, "%", 1), _IPV4_TAIL, ":0:0")
+    n = F.size(F.filter(F.split(groups, ":"), lambda g: g != ""))
+    whole = groups.rlike(rf"\A{_GROUPS}\z") & (n == 8)
+    shortened = groups.rlike(rf"\A(?:{_GROUPS})?::(?:{_GROUPS})?\z") & (n <= 7)
+    return zone_ok & (whole | shortened)
+
+
+def is_ip_future(text: Column) -> Column:
+    return text.rlike(r"\Av[0-9A-Fa-f]+[.][^\n]+\z")
 
 
 def bad_netloc(stripped: Column) -> Column:
     """True when the URL parser would reject the netloc of the request.
 
-    ``stripped`` is the stripped request text; its netloc is what follows a
-    leading ``http(s)://`` (or the text itself, since ``https://`` gets
-    prefixed).  Rejected: a bracket without its pair, brackets outside the
-    host, or a bracketed host that is not shaped like an IPv6 / IPvFuture
-    literal (shape check, not full address validation).
+    ``stripped`` is the stripped request text, which gets ``https://`` put in front
+    unless it starts with ``http(s)://``.  A netloc with a bracket is accepted only as
+    ``[literal]`` of an IPv6 / IPvFuture literal; user info without brackets may precede it, a port follow it.
     """
-    return stripped.rlike(_HAS_BRACKET_RE) & ~stripped.rlike(_BRACKET_OK_RE)
+    url = F.concat(F.when(stripped.rlike("^https?://"), F.lit("")).otherwise(F.lit("https://")), stripped)
+    netloc = netloc_of(url)
+    host = F.substring_index(netloc, "@", -1)
+    literal = F.substring_index(F.substring(host, 2, 1 << 30), "]", 1)
+    after = F.substring(host, F.length(literal) + 3, F.lit(1 << 30))
+    user_info = F.left(netloc, F.length(netloc) - F.length(host))
+    closed = ~user_info.rlike(r"[\[\]]") & host.startswith("[") & host.contains("]") & ((after == "") | after.startswith(":"))
+    ok = F.when(literal.startswith("v"), is_ip_future(literal)).otherwise(is_ipv6(literal))
+    # few requests have a bracket: the rest is computed for those only
+    return F.when(stripped.rlike(r"[\[\]]"), netloc.rlike(r"[\[\]]") & ~(closed & ok)).otherwise(F.lit(False))

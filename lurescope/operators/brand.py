@@ -129,13 +129,73 @@ def _all_without(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), _without(word))
 
 
+#: (length difference token - keyword, segment, shift) of the pieces of a token that can be a keyword's segment.
+#: A word cut in three keeps one segment whole under two edits; with a length difference of d the
+#: segment moves by at least -(2 - d) // 2 and at most (2 + d) // 2 places.
+_SEGMENTS = FV.MAX_TYPOSQUAT_DISTANCE + 1
+_MOVES = [{"diff": d, "seg": i, "shift": k}
+          for d in range(-FV.MAX_TYPOSQUAT_DISTANCE, FV.MAX_TYPOSQUAT_DISTANCE + 1) for i in range(_SEGMENTS)
+          for k in range(-((FV.MAX_TYPOSQUAT_DISTANCE - d) // 2), (FV.MAX_TYPOSQUAT_DISTANCE + d) // 2 + 1)]
+_SEGMENT_KEY = ["kw_len", "diff", "seg", "piece"]
+
+
+def _segment(kw_len: Column, i: Column) -> tuple[Column, Column]:
+    """Start (from 1) and length of segment ``i`` of a keyword: equal parts, the last ones a character longer."""
+    part, long_from = F.floor(kw_len / _SEGMENTS), F.lit(_SEGMENTS) - kw_len % _SEGMENTS
+    start = F.lit(1) + i * part + F.greatest(F.lit(0), i - long_from)
+    return start.cast("int"), (part + (i >= long_from).cast("int")).cast("int")
+
+
+def _characters(word: Column) -> Column:
+    return F.array_distinct(F.split(word, ""))
+
+
+def keyword_segments(word: Column) -> Column:
+    """Keys of a keyword: each segment, for each length of a token within two edits.
+
+    One of one or two characters has no three segments; its keys are its characters, of
+    which a token of three or more characters within two edits has one.
+    """
+    n = F.length(word)
+    diffs = dims.array_literal([{"diff": d} for d in range(-FV.MAX_TYPOSQUAT_DISTANCE, FV.MAX_TYPOSQUAT_DISTANCE + 1)])
+
+    def keys(diff):
+        cut = F.transform(F.sequence(F.lit(0), F.lit(_SEGMENTS - 1)), lambda i: F.struct(
+            n.alias("kw_len"), diff["diff"].alias("diff"), i.alias("seg"), F.substring(word, *_segment(n, i)).alias("piece")))
+        short = F.transform(_characters(word), lambda c: F.struct(
+            n.alias("kw_len"), diff["diff"].alias("diff"), F.lit(-1).alias("seg"), c.alias("piece")))
+        return F.when(n >= _SEGMENTS, cut).otherwise(short)
+
+    return F.flatten(F.transform(diffs, keys))
+
+
+def token_segments(word: Column) -> Column:
+    """Keys of a token: the pieces of it that can be a segment of a keyword within two edits."""
+    n = F.length(word)
+
+    def key(m):
+        kw_len = n - m["diff"]
+        start, size = _segment(kw_len, m["seg"])
+        at = start + m["shift"]
+        fits = (kw_len >= _SEGMENTS) & (at >= 1) & (at + size - 1 <= n)
+        return F.when(fits, F.struct(kw_len.alias("kw_len"), m["diff"].alias("diff"), m["seg"].alias("seg"),
+                                     F.substring(word, at, size).alias("piece")))
+
+    short = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(_SEGMENTS - 1)), lambda k: F.when(
+        F.abs(n - k) <= FV.MAX_TYPOSQUAT_DISTANCE, F.transform(_characters(word), lambda c: F.struct(
+            k.alias("kw_len"), (n - k).alias("diff"), F.lit(-1).alias("seg"), c.alias("piece"))))
+        .otherwise(F.array().cast("array<struct<kw_len:int,diff:int,seg:int,piece:string>>"))))
+    return F.array_compact(F.concat(F.transform(dims.array_literal(_MOVES), key), short))
+
+
 def typosquat_hits(domains: DataFrame, domain_col: str = "domain", keywords: DataFrame | None = None) -> DataFrame:
     """``(domain, pos, token, brand, keyword, distance, weight)`` for tokens of
     length >= 3 within edit distance 1..2 of a keyword.
 
     The fixed dictionary is banded by length (409 rows, broadcast).  For a custom
-    one, the distinct tokens and the keywords meet on shared deletions (an equi
-    join on many keys, whatever the dictionary), then by ``levenshtein``.
+    one, the distinct tokens and the keywords meet on a shared segment (both lengths, place
+    and text of the segment are the key of an equi join), then by ``levenshtein``.
+    Short words meet on single characters, but there are few distinct ones.
     """
     tok = (tokenize(domains, domain_col)
            .withColumn("_tlen", F.length("token"))
@@ -146,9 +206,11 @@ def typosquat_hits(domains: DataFrame, domain_col: str = "domain", keywords: Dat
         near = tok.join(bands, F.col("_tlen") == F.col("band_len"))
     else:
         kw = keywords.select("brand", "keyword", "ord").filter("length(keyword) > 0")
-        left = tok.select("token").distinct().withColumn("_d", F.explode(deletions(F.col("token"))))
-        right = kw.select(F.col("keyword").alias("_kw")).distinct().withColumn("_d", F.explode(deletions(F.col("_kw"))))
-        pairs = left.join(right, "_d").select(F.col("token").alias("_t"), "_kw").distinct()
+        left = tok.select("token").distinct().select("token", F.inline(token_segments(F.col("token"))))
+        right = kw.select(F.col("keyword").alias("_kw")).distinct().select("_kw", F.inline(keyword_segments(F.col("_kw"))))
+        pairs = (left.join(right, _SEGMENT_KEY)
+                 .filter(F.levenshtein("token", "_kw", FV.MAX_TYPOSQUAT_DISTANCE).between(1, FV.MAX_TYPOSQUAT_DISTANCE))
+                 .select(F.col("token").alias("_t"), "_kw").distinct())
         near = tok.join(pairs, F.col("token") == F.col("_t")).join(kw, F.col("_kw") == F.col("keyword"))
     hits = (near.withColumn("distance", F.levenshtein("token", "keyword", FV.MAX_TYPOSQUAT_DISTANCE))
                 .filter(F.col("distance").between(1, FV.MAX_TYPOSQUAT_DISTANCE)))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.text import py_strip, regex_alternation
 from ..functions.url import bad_netloc, domain_key
 from ..sources import fixed_values as FV
+from . import blacklist as blacklists
 from . import features as feat
 
 SCAN_RESULT_COLUMNS = [
@@ -124,14 +125,23 @@ def with_category_by_brand(df: DataFrame, brand_categories: DataFrame, default:
     return out.withColumnRenamed("_category", "category")
 
 
-def with_zero_day(df: DataFrame, blacklist: DataFrame | None = None, flag: Column | None = None) -> DataFrame:
+def with_zero_day(df: DataFrame, blacklist: DataFrame | blacklists.Screen | None = None, flag: Column | None = None,
+                  domains: DataFrame | None = None) -> DataFrame:
     """``is_zero_day`` = domain not in a known blacklist (left join on domain),
-    or a caller-supplied flag expression; false when neither is given."""
-    if blacklist is not None:
-        bl = blacklist.select(F.col("domain").alias("_bl")).distinct()  # one row per domain: the join adds none
-        return (df.join(bl, F.col("domain") == F.col("_bl"), "left")
-                  .withColumn("is_zero_day", F.col("_bl").isNull()).drop("_bl"))
-    return df.withColumn("is_zero_day", flag if flag is not None else F.lit(False))
+    or a caller-supplied flag expression; false when neither is given.
+
+    A ``blacklist.Screen`` also covers the hosts below a listed domain; ``domains`` then spares
+    computing ``df`` a second time for its distinct domains.
+    """
+    if blacklist is None:
+        return df.withColumn("is_zero_day", flag if flag is not None else F.lit(False))
+    if isinstance(blacklist, blacklists.Screen):
+        known = blacklists.listed_domains(df if domains is None else domains, blacklist)
+    else:
+        known = blacklist.select("domain").distinct()
+    bl = known.select(F.col("domain").alias("_bl"))  # one row per domain: the join adds none
+    return (df.join(bl, F.col("domain") == F.col("_bl"), "left")
+              .withColumn("is_zero_day", F.col("_bl").isNull()).drop("_bl"))
 
 
 # --------------------------------------------------------------- P18, K2
@@ -144,7 +154,7 @@ def uuid_from(key: Column, namespace: str) -> Column:
 
 
 def scan_results(requests: DataFrame, dns=None, whois=None, tls_obs=None, as_of=None,
-                 category_rules=None, zero_day: Column | None = None, blacklist: DataFrame | None = None,
+                 category_rules=None, zero_day: Column | None = None, blacklist: DataFrame | blacklists.Screen | None = None,
                  scorer: Callable[[DataFrame], DataFrame] = rule_scorer, brand_form: str = "join",
                  rowlocal: bool = False, rollups: DataFrame | None = None, keywords: DataFrame | None = None,
                  suffixes: DataFrame | None = None) -> DataFrame:
@@ -168,7 +178,7 @@ def scan_results(requests: DataFrame, dns=None, whois=None, tls_obs=None, as_of=
     # closest_brand and ssl_issuer are also feature details: a scorer replaces them in place
     scored = {c for c in SCORER_OUTPUTS if c in f.columns and c not in plain}
     if "is_zero_day" not in scored:
-        f = with_zero_day(f, blacklist, zero_day)
+        f = with_zero_day(f, blacklist, zero_day, requests.select(domain_key(F.col("url")).alias("domain")))
 
     def pick(name: str, default: Column) -> Column:
         return F.col(name) if name in scored else default

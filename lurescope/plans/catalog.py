@@ -503,5 +503,5 @@ def _wrap(fn):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalog_time  # its queries build on these
-    return {k: _wrap(v) for k, v in (QUERIES | catalog_time.QUERIES).items()}
+    from . import catalog_screening, catalog_time  # their queries build on these
+    return {k: _wrap(v) for k, v in (QUERIES | catalog_time.QUERIES | catalog_screening.QUERIES).items()}

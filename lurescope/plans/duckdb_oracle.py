@@ -93,8 +93,21 @@ def py_strip(s: str) -> str:
 
 
 HAS_BRACKET = r"^(?:https?://)?[^/?#]*[\[\]]"
-BRACKET_OK = (r"^(?:https?://)?(?:[^/?#]*@)?\[(?:[0-9A-Fa-f:.]+(?:%[^\]/?#]*)?|v[0-9A-Fa-f]+\.[^\]/?#]+)\]"
-              r"(?::[^/?#]*)?(?:[/?#]|\z)")
+
+
+def _ipv6_re() -> str:
+    """The nine forms of an address as RFC 3986 lists them."""
+    h = "[0-9A-Fa-f]{1,4}"
+    octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    last = f"(?:{h}:{h}|{octet}(?:[.]{octet}){{3}})"
+    forms = [f"(?:{h}:){{6}}{last}", f"::(?:{h}:){{5}}{last}"]
+    forms += [f"(?:(?:{h}:){{0,{k}}}{h})?::(?:{h}:){{{4 - k}}}{last}" for k in range(5)]
+    forms += [f"(?:(?:{h}:){{0,5}}{h})?::{h}", f"(?:(?:{h}:){{0,6}}{h})?::"]
+    return "(?:" + "|".join(forms) + ")"
+
+
+BRACKET_OK = (r"^(?:https?://)?(?:[^/?#\[\]]*@)?\[(?:" + _ipv6_re() + r"(?:%[^%\]/?#@]+)?|v[0-9A-Fa-f]+\.[^\]/?#@]+)\]"
+              r"(?::[^/?#@]*)?(?:[/?#]|\z)")
 
 
 def bad_netloc(v: str) -> str:
@@ -492,6 +505,7 @@ def oracle_sql() -> dict[str, str]:
       WHERE id = (SELECT scan_id FROM feed ORDER BY flagged_at DESC, id ASC LIMIT 1)""")
     o["scans_by_domain"] = with_ctes(f"SELECT {', '.join(SCAN_SCALAR_COLS)} FROM scans WHERE domain = 'amazon.in'")
     o |= _over_time(by_domain)
+    o |= _screening(by_domain)
     o["brand_score_file"] = o["brand_score_custom"]
     o["tld_risk_file"] = o["tld_risk_custom"]
     return o
@@ -550,3 +564,32 @@ def _over_time(by_domain: str) -> dict[str, str]:
       SELECT CASE WHEN request_id % 20 = 0 THEN 'malformed' ELSE 'accepted' END AS outcome, count(*) AS n,
              count(*) FILTER (WHERE request_id % 20 = 0) AS with_text FROM scan_requests GROUP BY 1""")
     return o
+
+
+def _screening(by_domain: str) -> dict[str, str]:
+    """Listed parent domains, bracketed hosts, a fitted scorer's sums."""
+    o: dict[str, str] = {}
+    host = f"lower({host_of('domain')})"
+    o["zero_day_parents"] = with_ctes(f"""SELECT * FROM (
+      WITH r AS (SELECT request_id, domain, {host} AS host FROM {by_domain} x),
+      cut AS (SELECT host, substr(host, instr(host, '.') + 1) AS up FROM r WHERE request_id % 97 = 0),
+      listed AS (SELECT DISTINCT CASE WHEN contains(up, '.') THEN up ELSE host END AS e FROM cut),
+      hosts_known AS (SELECT DISTINCT host FROM (SELECT DISTINCT host FROM r) h JOIN listed
+                      ON host = e OR (ends_with(host, '.' || e) AND NOT regexp_full_match(host, '[0-9.]+')))
+      SELECT request_id, domain, host NOT IN (SELECT host FROM hosts_known) AS is_zero_day FROM r) z""")
+    g = [f"lower(to_hex(page_id * {k} % 70000))" for k in (1, 7, 31, 127, 509, 2039, 8191, 32749)]
+    run = lambda k: " || ':' || ".join(g[:k])
+    raw = [f"'[' || {run(8)} || ']/x'", f"'http://u@[' || {g[1]} || '::' || {g[3]} || ']:80/'",
+           "'[::ffff:' || page_id % 300 || '.' || page_id % 7 || '.0.' || page_id % 256 || ']'", f"'[' || {run(7)} || ']'",
+           f"'https://[' || {g[1]} || '::' || {g[2]} || '::' || {g[3]} || ']'", f"'[fe80::' || {g[1]} || '%' || repeat('z', page_id % 3) || ']'",
+           f"'[v' || {g[0]} || '.' || repeat('x', page_id % 2) || ']:1?q'", f"'a[::' || {g[1]} || ']'", f"'[::' || {g[1]} || ']x'",
+           f"'[' || {g[0]} || '::' || {run(6)} || ']'", f"'[' || {run(4)} || '::' || {run(4)} || ']'", f"'[' || {run(7)} || '::]#f'",
+           f"'[' || {run(6)} || ':10.0.' || page_id % 260 || '.1]'", f"'u[1]@[::' || {g[2]} || ']'", f"'[' || {run(3)} || ':]'"]
+    rows = " UNION ALL ".join(f"SELECT page_id, {k} AS variant, {v} AS v FROM pages" for k, v in enumerate(raw))
+    o["url_validate_brackets"] = f"""
+      SELECT page_id, variant, CASE WHEN NOT bad THEN CASE WHEN regexp_matches(v, '^https?://') THEN v ELSE 'https://' || v END END AS url,
+             CASE WHEN bad THEN 'bad_netloc' END AS reject_reason
+      FROM (SELECT *, {bad_netloc('v')} AS bad FROM ({rows}) a) b"""
+    o["scan_results_fitted"] = with_ctes("""
+      SELECT id, domain, 36 AS n_shap, length(url)::DOUBLE AS first_value, true AS adds_up, true AS scored, true AS judged FROM scans""")
+    return o

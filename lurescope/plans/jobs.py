@@ -20,7 +20,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import scoring
+from ..operators import blacklist, fitted, scoring
 from ..session import apply_job_conf, scratch_scope
 from ..sources import fixed_values as FV
 from ..sources import dimensions, tables
@@ -49,6 +49,8 @@ def _args(argv):
                                       "(default: spark.checkpoint.dir)")
     p.add_argument("--run-id", help="batch: id of the run; a repeated id replaces that run (default: a new one)")
     p.add_argument("--blacklist", help="Parquet table of known domains (column domain): others are zero-day")
+    p.add_argument("--blacklist-parents", action="store_true", help="a listed domain also covers the hosts below it")
+    p.add_argument("--model", help="saved pipeline (operators.fitted) that scores instead of the rule score")
     p.add_argument("--brands", help="JSON brand dictionary instead of the built-in one")
     p.add_argument("--tlds", help="JSON suffix risk table instead of the built-in one")
     p.add_argument("--high", type=int, default=FV.HIGH_RISK_THRESHOLD, help="score from which a verdict is PHISHING")
@@ -73,11 +75,16 @@ def _records(spark: SparkSession, a):
 
 
 def _scorer(a):
+    if a.model:
+        return fitted.LinearScorer.load(a.model, high=a.high, medium=a.medium)
     return functools.partial(scoring.rule_scorer, high=a.high, medium=a.medium)
 
 
-def _blacklist(spark: SparkSession, a) -> DataFrame | None:
-    return spark.read.parquet(a.blacklist) if a.blacklist else None
+def _blacklist(spark: SparkSession, a) -> DataFrame | blacklist.Screen | None:
+    if not a.blacklist:
+        return None
+    table = spark.read.parquet(a.blacklist)
+    return blacklist.screen(table) if a.blacklist_parents else table
 
 
 def _dictionaries(spark: SparkSession, a) -> dict[str, DataFrame | None]:
