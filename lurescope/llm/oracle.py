@@ -9,7 +9,6 @@ brute force or held-out accuracy in tests/llm.
 
 from __future__ import annotations
 
-from lurescope.llm import quality_rules
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -80,8 +79,7 @@ SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'rows' AS law, shard::IN
        (pos - (shard * n + 23) // 24)::BIGINT AS slot, NULL::INTEGER AS grown_shard, curve FROM cut
 """
 
-_STATS = list(quality_rules.STATISTICS)
-_SLACK = " ".join(f"WHEN '{k}' THEN {v}" for k, v in quality_rules.STATISTICS.items())
+_STATS = ["symbol_share", "dup_line_share", "repeat_share", "word_length"]
 QUALITY = rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
 x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
@@ -100,15 +98,18 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 u AS (SELECT doc_id, lang, source, base_failed, unnest({_STATS}) AS stat, unnest([{', '.join(_STATS)}]) AS v FROM f),
 -- the sketch keeps the six leading binary digits of a value and fills the rest with ones
 q AS (SELECT *, (((v >> sh) + 1) << sh) - 1 AS bucket FROM (SELECT *, greatest(0, length(bin(v)) - 6) AS sh FROM u WHERE NOT base_failed)),
-quart AS (
-  SELECT 0 AS level, lang, source, stat, count(*) AS n, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM q GROUP BY lang, source, stat
-  UNION ALL SELECT 1, lang, NULL, stat, count(*), quantile_disc(bucket, 0.25), quantile_disc(bucket, 0.75) FROM q GROUP BY lang, stat
-  UNION ALL SELECT 2, NULL, NULL, stat, count(*), quantile_disc(bucket, 0.25), quantile_disc(bucket, 0.75) FROM q GROUP BY stat),
-fence AS (SELECT level, lang, source, stat, n, q3 + 3 * (q3 - q1) + CASE stat {_SLACK} END AS lim FROM quart),
+lev AS (SELECT unnest([0, 1, 2]) AS level),
+z0 AS (SELECT level, CASE WHEN level < 2 THEN lang END AS lang, CASE WHEN level < 1 THEN source END AS source, stat, bucket FROM q, lev),
+z1 AS (SELECT *, row_number() OVER (PARTITION BY level, lang, source, stat ORDER BY bucket) AS k,
+              count(*) OVER (PARTITION BY level, lang, source, stat) AS n FROM z0),
+quart AS (SELECT level, lang, source, stat, max(n) AS n, min(bucket) FILTER (4 * k >= n) AS q1, min(bucket) FILTER (4 * k >= 3 * n) AS q3,
+                 1 + min(bucket) FILTER (1000 * k >= CASE stat WHEN 'symbol_share' THEN 950 ELSE 990 END * n) AS h FROM z1 GROUP BY ALL),
+fence AS (SELECT level, lang, source, stat, n, CASE WHEN stat = 'word_length' THEN q3 + 3 * (q3 - q1) + 200
+                 ELSE (((h >> greatest(0, length(bin(h)) - 6)) + 1) << greatest(0, length(bin(h)) - 6)) - 1 END AS lim FROM quart),
 bad AS (SELECT DISTINCT u.doc_id FROM u
         JOIN fence a ON a.level = 0 AND a.stat = u.stat AND a.lang IS NOT DISTINCT FROM u.lang AND a.source IS NOT DISTINCT FROM u.source
         JOIN fence c ON c.level = 1 AND c.stat = u.stat AND c.lang IS NOT DISTINCT FROM u.lang JOIN fence z ON z.level = 2 AND z.stat = u.stat
-        WHERE u.v > CASE WHEN a.n >= 30 THEN a.lim WHEN c.n >= 30 THEN c.lim ELSE z.lim END)
+        WHERE u.v > CASE WHEN a.n >= 30 THEN CASE u.stat WHEN 'word_length' THEN a.lim ELSE least(a.lim, c.lim) END WHEN c.n >= 30 THEN c.lim ELSE z.lim END)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept
 FROM f LEFT JOIN bad USING (doc_id)
 """

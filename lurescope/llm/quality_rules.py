@@ -4,8 +4,11 @@ Every document gets a few integer statistics (symbols, repeated lines, repeated
 phrases, word length).  Per (language, source) a mergeable quantile sketch of
 each statistic is built: a histogram with logarithmic buckets that are split
 into 2**SUB_BITS equal parts, so a quantile is off by at most 1/2**SUB_BITS and
-sketches merge by adding counts.  A statistic's threshold is its upper quartile
-plus FENCE interquartile ranges plus a small slack; groups with fewer than
+sketches merge by adding counts.  A share's threshold is a high quantile of the
+group's sketch plus one bucket, and at most that of the merged sketch of its
+language, so a source full of junk can't raise its own limit (nor can a source that
+is unlike the rest of its language).  Word length, which every text has, gets the
+upper quartile plus FENCE interquartile ranges plus a slack.  Groups with fewer than
 MIN_GROUP documents use the merged sketch of their language, or of the whole
 corpus.  Documents are then filtered by a join with the thresholds.
 
@@ -28,10 +31,12 @@ SYMBOLS = "#*$%&|<>"
 SUB_BITS = 5
 FENCE = 3
 MIN_GROUP = 30
-#: Statistic -> slack: shares in 1/10,000, word length in 1/100 characters.
-#: The slack is what ordinary documents show now and then (a quoted passage, a
-#: line printed twice), so a group without any spread doesn't reject those.
-STATISTICS = {"symbol_share": 100, "dup_line_share": 3500, "repeat_share": 3000, "word_length": 200}
+#: Share (in 1/10,000) -> its quantile in thousandths.  Most documents have none of these, so
+#: quartiles say nothing about them; at most the rest to 1,000 of a language is over its limit.
+QUANTILES = {"symbol_share": 950, "dup_line_share": 990, "repeat_share": 990}
+#: Slack of the word length's fence, in 1/100 characters.
+LENGTH_SLACK = 200
+STATISTICS = [*QUANTILES, "word_length"]
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -103,10 +108,13 @@ def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     group = Window.partitionBy(*keys, "stat")
     merged = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
     quartile = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("total"), F.col("bucket")))
-    slack = F.create_map(*[F.lit(x) for kv in STATISTICS.items() for x in kv])
-    out = merged.groupBy(*keys, "stat").agg(F.max("total").alias("docs"), quartile(1).alias("q1"), quartile(3).alias("q3"))
-    return out.select(*keys, "stat", "docs",
-                      (F.col("q3") + FENCE * (F.col("q3") - F.col("q1")) + F.element_at(slack, F.col("stat"))).alias("fence"))
+    permille = F.element_at(F.create_map(*[F.lit(x) for kv in QUANTILES.items() for x in kv]), F.col("stat"))
+    high = F.min(F.when(1000 * F.col("upto") >= permille * F.col("total"), F.col("bucket")))
+    out = merged.groupBy(*keys, "stat").agg(F.max("total").alias("docs"), quartile(1).alias("q1"), quartile(3).alias("q3"),
+                                            high.alias("high"))
+    fence = F.col("q3") + FENCE * (F.col("q3") - F.col("q1")) + LENGTH_SLACK
+    return out.select(*keys, "stat", "docs", F.when(F.col("high").isNull(), fence)
+                      .otherwise(sketch_bucket(F.col("high") + 1)).alias("fence"))
 
 
 def thresholds(stats: DataFrame) -> DataFrame:
@@ -118,7 +126,8 @@ def thresholds(stats: DataFrame) -> DataFrame:
     by_all = _fences(sketch, []).select(F.col("stat").alias("as"), F.col("fence").alias("a_fence"))
     t = by_group.join(by_lang, F.col("_lang").eqNullSafe(F.col("l")) & (F.col("stat") == F.col("ls"))) \
                 .join(by_all, F.col("stat") == F.col("as"))
-    fence = F.when(F.col("docs") >= MIN_GROUP, F.col("fence")).when(F.col("l_docs") >= MIN_GROUP, F.col("l_fence")) \
+    own = F.when(F.col("stat").isin(*QUANTILES), F.least("fence", "l_fence")).otherwise(F.col("fence"))
+    fence = F.when(F.col("docs") >= MIN_GROUP, own).when(F.col("l_docs") >= MIN_GROUP, F.col("l_fence")) \
              .otherwise(F.col("a_fence"))
     t = t.groupBy(F.col("_lang").alias("t_lang"), F.col("_source").alias("t_source")).agg(
         *[F.max(F.when(F.col("stat") == s, fence)).alias(f"max_{s}") for s in STATISTICS])

@@ -119,8 +119,13 @@ def bucket(v, sub_bits=5):
     return ((v >> shift) + 1 << shift) - 1
 
 
-def quality(rows, slack, fence=3, least=30):
-    """(doc_id, counts, base_failed, kept) per row."""
+def quality(rows, least=30):
+    """(doc_id, counts, base_failed, kept) per row.
+
+    Limits: of the three shares the bucket after that of the 95 % or 99 % quantile, at most the language's;
+    of the word length the third quartile, 3 interquartile ranges and 2 characters.
+    """
+    quantile = {"symbol_share": 950, "dup_line_share": 990, "repeat_share": 990}
     stats = []
     for i, text, lang, source in rows:
         c = text_counts(text)
@@ -136,17 +141,23 @@ def quality(rows, slack, fence=3, least=30):
             for key in ((lang, source), (lang, "*all*"), "*all*"):
                 groups[key].append(s)
 
+    def of_group(key, name):
+        values = sorted(bucket(s[name]) for s in groups[key])
+        at = lambda part, whole: next(v for k, v in enumerate(values, 1) if whole * k >= part * len(values))
+        if name in quantile:
+            return bucket(at(quantile[name], 1000) + 1)
+        return at(3, 4) + 3 * (at(3, 4) - at(1, 4)) + 200
+
     def limit(lang, source, name):
         if (lang, source) not in groups:
             return None
-        key = next((k for k in ((lang, source), (lang, "*all*")) if len(groups[k]) >= least), "*all*")
-        values = sorted(bucket(s[name]) for s in groups[key])
-        n = len(values)
-        q1, q3 = (next(v for k, v in enumerate(values, 1) if 4 * k >= q * n) for q in (1, 3))
-        return q3 + fence * (q3 - q1) + slack[name]
+        if len(groups[lang, source]) >= least:
+            own = of_group((lang, source), name)
+            return min(own, of_group((lang, "*all*"), name)) if name in quantile else own
+        return of_group((lang, "*all*") if len(groups[lang, "*all*"]) >= least else "*all*", name)
 
     out = []
     for i, lang, source, c, s, failed in stats:
-        over = not failed and any(s[k] > limit(lang, source, k) for k in slack)
+        over = not failed and any(s[k] > limit(lang, source, k) for k in [*quantile, "word_length"])
         out.append((i, c["n_words"], c["word_chars"], c["n_symbols"], c["n_dup_lines"], c["n_repeat_words"], failed, not failed and not over))
     return out

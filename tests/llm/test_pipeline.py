@@ -57,7 +57,7 @@ def test_stages_and_result(spark, tmp_path):
     d = str(tmp_path)
     docs(spark, rows).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
-    kept = {r[0] for r in brute.quality(rows, quality_rules.STATISTICS) if r[-1]}
+    kept = {r[0] for r in brute.quality(rows) if r[-1]}
     want = [r for r in rows if r[0] in kept]
     one = {r[0] for r in components([r[:2] for r in want], 80) if r[3]}
     want = [r for r in want if r[0] in one]

@@ -18,7 +18,7 @@ def run(spark, rows, extra=False):
 @pytest.mark.parametrize("extra", [False, True])
 def test_awkward_rows(spark, extra):
     rows = awkward() + [(70, "a a a a"), (71, "a b a b a b a"), (72, "x\n x\nx\n\n\n"), (73, "# $ " * 40)]
-    assert run(spark, rows, extra) == sorted(brute.quality(full(rows), Q.STATISTICS), key=str)
+    assert run(spark, rows, extra) == sorted(brute.quality(full(rows)), key=str)
 
 
 def corpus():
@@ -41,7 +41,7 @@ def corpus():
 def test_groups_and_fallbacks(spark):
     rows = corpus()
     got = run(spark, rows)
-    assert got == sorted(brute.quality(rows, Q.STATISTICS), key=str)
+    assert got == sorted(brute.quality(rows), key=str)
     kept = {r[0] for r in got if r[-1]}
     assert 150 < len(kept) < 230
 
@@ -50,7 +50,7 @@ def test_kept_documents(spark):
     rows = corpus()
     out = Q.keep_documents(docs(spark, rows))
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert sorted(r.doc_id for r in out.collect()) == sorted(r[0] for r in brute.quality(rows, Q.STATISTICS) if r[-1])
+    assert sorted(r.doc_id for r in out.collect()) == sorted(r[0] for r in brute.quality(rows) if r[-1])
 
 
 def test_sketch_buckets_are_close(spark):
