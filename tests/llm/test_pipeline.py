@@ -4,7 +4,6 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from lurescope.llm import quality_rules
 from lurescope.session import shared_dir
 from tests.llm import brute
 from tests.llm.helpers import docs, prose
