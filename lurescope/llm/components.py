@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from lurescope.llm import common as C
 
-MAX_ROUNDS = 100
-
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``links`` (x, y); component: the smallest reachable node.
@@ -22,7 +20,7 @@ def components(links: DataFrame) -> DataFrame:
     both = C.materialize(both, "cc_links")
     labels = C.materialize(both.groupBy(F.col("a").alias("node"))
                            .agg(F.least(F.min("b"), F.col("node")).alias("component")), "cc_labels")
-    for _ in range(MAX_ROUNDS):
+    while True:  # labels only ever fall, so it ends
         around = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("n")) \
                      .agg(F.min("component").alias("c"))
         near = labels.join(around, F.col("node") == F.col("n")) \
@@ -33,4 +31,3 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
         if new.filter("component <> was").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -10,10 +10,9 @@ The threshold is an argument (85 percent unless given).
 Candidates are verified on the full shingle sets.  No group is expanded into
 all its pairs: equal sets are one class; within a table bucket every member is
 first compared with the bucket's leader (the member with the fewest shingles
-that occur nowhere else); only pairs that are then still in different components
-and could reach the threshold, given how many shingles each has to itself, are
-compared one by one.  So each colliding pair is either verified, proven too
-different, or already connected.
+that occur nowhere else); members that are then in another component than their
+leader are paired by a prefix filter (``prefix_pairs``) on their rarest shingles.
+So each colliding pair is either verified, proven too different, or already connected.
 
 Defined results: null or empty text has an empty set and no links; texts of
 fewer than SHINGLE words have one shingle; rows that repeat are one class; a
@@ -37,6 +36,8 @@ THRESHOLD = 85  # percent, unless a caller gives its own
 GROUPS = 10
 ROWS = 2
 SEED = 20240229
+#: Postings of one item that one task pairs up.
+ITEM_ROWS = 2000
 
 
 def _multipliers() -> np.ndarray:
@@ -141,13 +142,6 @@ def table_buckets(classes: DataFrame) -> DataFrame:
     return shared_keys(keys, "bucket", ["rep", "i", "j"])
 
 
-def first_common_table(i: Column, j: Column, bands1: Column, bands2: Column) -> Column:
-    """Whether (i, j) is the first table in which two classes collide, so that a pair counts once."""
-    same = F.zip_with(bands1, bands2, lambda p, q: p == q)
-    return (F.array_position(F.slice(same, 1, GROUPS), F.lit(True)) == i + 1) \
-        & (F.array_position(F.slice(same, GROUPS + 1, GROUPS), F.lit(True)) == j + 1 - GROUPS)
-
-
 def own_items(sets: DataFrame) -> DataFrame:
     """Per class the number of items that no other candidate class has."""
     items = sets.select("rep", F.explode("items").alias("item"))
@@ -170,6 +164,42 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return joined.filter(100 * both >= threshold * (F.size("xs") + F.size("ys") - both)).select("x", "y")
 
 
+def open_classes(led: DataFrame) -> DataFrame:
+    """(rep, component, apart) of the classes in buckets whose leader left someone apart."""
+    apart = F.col("component") != F.col("lead_component")
+    where = led.filter(apart).select(F.col("bucket").alias("b")).distinct()
+    return led.join(where, F.col("bucket") == F.col("b"), "left_semi") \
+              .groupBy("rep").agg(F.first("component").alias("component"), F.max(apart).alias("apart"))
+
+
+def prefix_pairs(classes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (x, y) of different components that can reach the threshold, x of a class left apart.
+
+    Every set's items are put in one order, the rarest first.  Two sets that reach
+    the threshold share an item among the first ``n - ceil(threshold * n) + 1`` of each,
+    and what follows the first shared one must be enough for the rest of the overlap.
+    So a family whose members differ in rare items pairs up on those items only,
+    not within its buckets.  Items that many prefixes have are split over tasks.
+    """
+    n = F.col("n")
+    held = C.materialize(sets.join(classes, "rep").select("rep", "component", "apart", n, F.explode("items").alias("item")), "minhash_open")
+    common = held.groupBy("item").agg(F.count(F.lit(1)).alias("c"))
+    order = Window.partitionBy("rep").orderBy("c", "item")
+    firsts = held.join(common, "item").withColumn("at", F.row_number().over(order)) \
+                 .filter((F.col("at") <= n - F.ceil(threshold * n / 100) + 1) & (F.col("c") > 1)).drop("c")
+    firsts = C.materialize(firsts, "minhash_prefixes")
+    parts = firsts.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.max("apart").alias("any")).filter("c > 1 and any") \
+                  .select(F.col("item").alias("k"), (F.floor(F.col("c") / ITEM_ROWS) + 1).cast("int").alias("parts"))
+    firsts = firsts.join(parts, F.col("item") == F.col("k")).drop("k")
+    left = firsts.filter("apart").withColumn("part", F.pmod(F.hash("rep"), "parts"))
+    right = firsts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))) \
+                  .select(*[F.col(c).alias(f"{c}2") for c in ("rep", "component", "apart", "n", "item", "at", "part")])
+    most = F.least(n - F.col("at"), F.col("n2") - F.col("at2")) + 1
+    pairs = left.join(right, (F.col("item") == F.col("item2")) & (F.col("part") == F.col("part2")) & (F.col("component") != F.col("component2"))
+                      & (~F.col("apart2") | (F.col("rep") < F.col("rep2"))) & (100 * most >= threshold * (n + F.col("n2") - most)))
+    return pairs.select(F.least("rep", "rep2").alias("x"), F.greatest("rep", "rep2").alias("y")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per document; links from ``threshold`` percent on."""
     sig = C.materialize(signatures(docs), "minhash_signatures")
@@ -204,17 +234,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     led = led.join(of_lead, F.col("lead.rep") == F.col("lr"), "left") \
              .withColumn("lead_component", F.coalesce("lc", F.col("lead.rep"))).drop("lr", "lc", "lead")
     led = C.materialize(led, "minhash_led")
-    apart = led.filter("component <> lead_component")
-    where = apart.select(F.col("bucket").alias("b")).distinct()
-    banded = classes.select(F.col("rep").alias("r"), "bands")
-    led = C.materialize(led.join(where, F.col("bucket") == F.col("b"), "left_semi")
-                        .join(banded, F.col("rep") == F.col("r")).drop("r"), "minhash_apart")
-    apart = led.filter("component <> lead_component")
-    other = led.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "own", "component", "bands")])
-    rest = apart.join(other, (apart["bucket"] == other["bucket"]) & (F.col("component") != F.col("component2"))
-                      & reachable(F.col("n"), F.col("own"), F.col("n2"), F.col("own2"), threshold)
-                      & first_common_table(F.col("i"), F.col("j"), F.col("bands"), F.col("bands2"))) \
-                .select(F.least("rep", "rep2").alias("x"), F.greatest("rep", "rep2").alias("y")).distinct()
+    rest = prefix_pairs(open_classes(led), sets, threshold)
     more = C.materialize(verified(C.materialize(rest, "minhash_rest"), sets, threshold), "minhash_links")
     final = components(links.union(more)).select("node", "component") if not more.isEmpty() else groups
     named = C.materialize(classes.select("s1", "s2", "rep").join(final, F.col("rep") == F.col("node"), "left")

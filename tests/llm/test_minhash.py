@@ -78,6 +78,54 @@ def test_large_family_without_a_common_original(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def invoices(rng, size, values, fields=14):
+    """Alike but below the threshold: one template whose fields have ``values`` values each."""
+    base = prose(rng, 120, 3000).split(" ")
+    for i in range(size):
+        w = list(base)
+        for f in range(fields):
+            w[4 + 8 * f] = f"f{f}v{rng.randrange(values)}"
+        yield i, " ".join(w)
+
+
+def paired(spark, rows, percent):
+    sets = [(i, len(s), [hash(x) % 2**61 for x in s]) for i, s in ((i, shingle_set(t)) for i, t in rows)]
+    sets = spark.createDataFrame(sets, "rep long, n long, items array<long>")
+    pairs = minhash.prefix_pairs(sets.selectExpr("rep", "rep as component", "true as apart"), sets, percent)
+    return {tuple(r) for r in pairs.collect()}
+
+
+def test_template_family(spark):
+    rng = random.Random(9)
+    rows = list(invoices(rng, 200, 12))
+    rows += [(1000, rows[5][1] + " more"), (1001, rows[7][1] + " than before")]
+    assert run(spark, rows) == brute(rows)
+    assert {(5, 1000), (7, 1001)} <= paired(spark, rows, 85)
+
+
+def test_template_family_costs_near_its_size(spark):
+    """A value of a field is in about eight documents whatever the size: pairs per document stay alike."""
+    small, large = (len(paired(spark, list(invoices(random.Random(12), size, size // 8)), 85)) / size for size in (160, 640))
+    assert large < 1.3 * small < 30
+
+
+def test_items_of_many_prefixes_are_split(spark, monkeypatch):
+    rng = random.Random(10)
+    monkeypatch.setattr(minhash, "ITEM_ROWS", 3)
+    rows = [r for f in range(4) for r in family(rng, 1000 * f, 30, 80, 12)] + [(9000 + i, t) for i, t in invoices(rng, 40, 12, 6)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_prefix_pairs_lose_no_link(spark):
+    """Every pair over the threshold, from classes that are all apart."""
+    rng = random.Random(11)
+    rows = [r for f in range(5) for r in family(rng, 100 * f, 20, 50 + 10 * f, 9)]
+    full = {i: shingle_set(t) for i, t in rows}
+    for percent in (80, 85):
+        want = {(i, j) for i in full for j in full if i < j and 100 * len(full[i] & full[j]) >= percent * len(full[i] | full[j])}
+        assert want and want <= paired(spark, rows, percent)
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = awkward()
     kept = minhash.keep_documents(docs(spark, rows))
