@@ -3,7 +3,7 @@
 Shard positions, thresholds, windows, links and digests are worked out the plain
 way (global windows, full sorts, joins of all windows), without the operators'
 buckets, sketches of groups, fingerprints or tables.  Operators that SQL can't
-express (trained models, signature suppression, byte suffixes) are tested by
+express (trained models, signature suppression, tokenizers) are tested by
 brute force or held-out accuracy in tests/llm.
 """
 
@@ -181,11 +181,49 @@ FROM v JOIN a{rounds} USING (rid) JOIN c{rounds} c ON c.c = best[2]
 """
 
 
+# windows are cut from blocks of 1,000 starts, as cutting them from a long text reads all of it each time
+SUFFIX = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+b AS (SELECT doc_id, 1000 * k AS origin, substr(h, 2000 * k + 1, 2398) AS part, least(1000, n - 199 - 1000 * k) AS starts
+      FROM (SELECT doc_id, h, n, unnest(range(0, (n - 199 + 999) // 1000)) AS k FROM d WHERE n >= 200)),
+w AS (SELECT doc_id, origin + i AS s, md5_number(substr(part, 2 * i + 1, 400)) AS win FROM (SELECT *, unnest(range(0, starts)) AS i FROM b)),
+again AS (SELECT win FROM w GROUP BY win HAVING count(*) > 1),
+hit AS (SELECT doc_id, s FROM w SEMI JOIN again USING (win)),
+edge AS (SELECT doc_id, s, s > coalesce(lag(s) OVER o, -201) + 200 AS fresh FROM hit WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+run AS (SELECT doc_id, s, sum(fresh::INTEGER) OVER (PARTITION BY doc_id ORDER BY s) AS r FROM edge),
+span AS (SELECT doc_id, min(s) AS a, max(s) + 200 AS z FROM run GROUP BY doc_id, r),
+gap AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM span),
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS z, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+        FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+
+def _over(sql: str, table: str) -> str:
+    """A query of ``documents`` on another table of the same columns."""
+    return sql.replace("FROM documents", f"FROM {table}")
+
+
+#: The stages of the corpus pipeline, each on what the one before keeps; near-duplicates from 80 percent on.
+PIPELINE = f"""
+WITH good AS MATERIALIZED (SELECT d.* FROM documents d JOIN ({QUALITY}) q USING (doc_id) WHERE q.kept),
+single AS MATERIALIZED (SELECT d.* FROM good d JOIN ({_over(MINHASH, "good").replace("100 * c >= 85", "100 * c >= 80")}) q USING (doc_id) WHERE q.kept),
+clean AS MATERIALIZED (SELECT d.* FROM single d JOIN ({_over(WINNOWING, "single")}) q USING (doc_id) WHERE NOT q.contaminated),
+-- a document is taken in each epoch, and once more if at least half of it fits what is left
+taken AS (SELECT doc_id, epochs + (size > 0 AND 2 * (taken - epochs * size) >= size)::INTEGER AS copies FROM ({_over(MIXING, "clean")})),
+mixed AS MATERIALIZED (SELECT c.*, unnest(range(copies)) AS copy FROM clean c JOIN taken USING (doc_id)),
+placed AS MATERIALIZED (SELECT doc_id, shard, slot FROM ({_over(SHARDING, "mixed")}))
+SELECT clean.*, shard, slot FROM clean JOIN placed USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_mixing": MIXING,
     "op2_sharding": SHARDING,
     "op5_quality_rules": QUALITY,
     "op6_winnowing": WINNOWING,
+    "op7_suffix": SUFFIX,
     "op9_minhash": MINHASH,
     "op10_warc": WARC,
     "op11_centroids": _lloyd(10),
