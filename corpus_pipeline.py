@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lurescope.llm import common as C
-from lurescope.llm import minhash, mixing, quality_rules, sharding, winnowing
+from lurescope.llm import minhash, mixing, oracle, quality_rules, sharding, winnowing
 from lurescope.session import delete_path, scratch_path, scratch_scope
 
 #: Near-duplicates of the pipeline: at least this share of the word shingles in common (percent).
@@ -55,8 +55,8 @@ STAGES: list[tuple[str, Callable[..., DataFrame]]] = [
     ("hilbert_sharding", shard),
 ]
 
-#: The near-dedup components and the curve order are checked by brute force instead (tests/llm).
-ORACLE_SQL: str | None = None
+#: DuckDB SQL for the rows of ``run`` at ``NEAR_PERCENT``.
+ORACLE_SQL: str | None = oracle.PIPELINE
 
 
 def run(spark: SparkSession, sf_dir: str, near_percent: int = NEAR_PERCENT) -> DataFrame:
