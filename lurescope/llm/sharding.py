@@ -22,6 +22,8 @@ from lurescope.llm import common as C
 SHARDS = 24
 BITS = 8
 ROW_OVERHEAD = 8
+#: Rows of one file that ``write_shards`` writes, at most.
+ROWS_PER_FILE = 100_000
 
 
 def hilbert_index(dims: list[Column], bits: int = BITS) -> Column:
@@ -137,5 +139,15 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return rows.select(*[F.col(f"_row.`{c}`") for c in names], *assigned(rows, shards))
 
 
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """The shards as Parquet below ``path``, a folder each, in files of neighbours on the curve of at most ``rows_per_file`` rows.
+
+    Ranges of (shard, slot) are dealt to the tasks, so a large shard is written by several.
+    """
+    rows = shard_documents(docs, shards)
+    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot") \
+        .write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table(C.read(spark, sf_dir, "documents"))

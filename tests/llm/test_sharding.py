@@ -52,3 +52,25 @@ def test_documents_keep_their_columns(spark):
 def test_few_rows_and_none(spark):
     assert sharding.shard_table(docs(spark, [])).collect() == []
     assert len({r.shard for r in sharding.shard_table(docs(spark, [(1, "a"), (2, "b"), (3, None)])).collect()}) == 3
+
+
+def test_written_shards(spark, tmp_path):
+    """Files bounded in rows, slots in order, and a filter on a dimension needs a part of the files."""
+    rng = random.Random(2)
+    sources, langs = [f"s{i}" for i in range(8)], [f"l{i}" for i in range(8)]
+    rows = [(i, prose(rng, rng.randrange(1, 80)), rng.choice(langs), rng.choice(sources)) for i in range(2000)]
+    path = str(tmp_path / "shards")
+    sharding.write_shards(docs(spark, rows), path, 24, 20)
+    back = spark.read.parquet(path).withColumn("file", F.input_file_name())
+    got = back.collect()
+    assert sorted(r.doc_id for r in got) == list(range(2000))
+    files = {}
+    for r in got:
+        files.setdefault(r.file, []).append(r)
+    assert max(len(rs) for rs in files.values()) <= 20
+    for rs in files.values():
+        slots = sorted(r.slot for r in rs)
+        assert len({r.shard for r in rs}) == 1 and slots == list(range(slots[0], slots[0] + len(slots)))
+    for column, values in (("source", sources), ("lang", langs)):
+        opened = [sum(min(r[column] for r in rs) <= v <= max(r[column] for r in rs) for rs in files.values()) for v in values]
+        assert sum(opened) / len(values) < len(files) / 2.5, (column, opened, len(files))
