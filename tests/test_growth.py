@@ -32,3 +32,12 @@ def test_rowlocal_brand_hits_are_computed_once_a_row(spark):
     assert plan.lower().count("levenshtein(") == 2
     want = brand.brand_features(df.filter("domain is not null")).select(got.columns)
     assert sorted(map(str, got.filter("domain is not null").collect())) == sorted(map(str, want.collect()))
+
+
+def test_landing_has_a_file_for_every_core(spark, tmp_path):
+    spark.range(400).select(F.col("id").alias("event_id"), F.lit(BASE).cast("timestamp_ntz").alias("ts"), F.lit(1).cast("long").alias("user_id"),
+                            F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(40).select(F.col("id").alias("page_id"), F.lit("https://a.example.com/1").alias("url"), F.lit("").alias("html")).write.parquet(f"{tmp_path}/pages.parquet")
+    path = catalog._landed_requests(spark, str(tmp_path))
+    assert len(spark.read.parquet(path).inputFiles()) == 2 * max(2, spark.sparkContext.defaultParallelism)
+    assert spark.read.parquet(path).count() == 400
