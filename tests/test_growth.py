@@ -41,3 +41,15 @@ def test_landing_has_a_file_for_every_core(spark, tmp_path):
     path = catalog._landed_requests(spark, str(tmp_path))
     assert len(spark.read.parquet(path).inputFiles()) == 2 * max(2, spark.sparkContext.defaultParallelism)
     assert spark.read.parquet(path).count() == 400
+
+
+def test_join_back_bounds_the_rows_of_a_task(spark, monkeypatch):
+    """A domain of half of all requests, far below the hot threshold, is not one task."""
+    monkeypatch.setattr(features, "TASK_ROWS", 100, raising=False)
+    req = spark.range(4000).select(F.col("id").alias("request_id"), F.when(F.col("id") % 2 == 0, "hot.example").otherwise(
+        F.concat(F.lit("d"), F.col("id") % 500)).alias("domain"))
+    counts = req.groupBy("domain").agg(F.count(F.lit(1)).alias("_n"))
+    j = features.join_back_salted(req, counts.withColumn("known", F.lit(1)), counts)
+    per_task = j.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("known")).collect()
+    assert sum(r.n for r in per_task) == sum(r.known for r in per_task) == 4000
+    assert max(r.n for r in per_task) <= 400
