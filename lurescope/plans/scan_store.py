@@ -152,7 +152,7 @@ class ScanStore:
     def _write(self, rows: DataFrame, path: str, day: str, at: str, order: list[str]) -> None:
         (rows.withColumn(day, F.to_date(at)).sortWithinPartitions(day, *order)
              .write.mode("overwrite").option("maxRecordsPerFile", scan_job.MAX_RECORDS_PER_FILE)
-             .option("parquet.bloom.filter.enabled#id", "true").partitionBy(day).parquet(f"{self.root}/{path}"))
+             .options(**scan_job.ID_BLOOM).partitionBy(day).parquet(f"{self.root}/{path}"))
 
     # ---- reading -------------------------------------------------------------------------
 
@@ -213,7 +213,7 @@ class ScanStore:
     def _clustered(self, rows: DataFrame, path: str, day: str, order: list[Column], per_file: int, by_day: bool = True) -> None:
         n = rows.count()
         ranged = rows.repartitionByRange(max(1, -(-n // per_file)), *order).sortWithinPartitions(*order)
-        writer = ranged.write.mode("overwrite").option("maxRecordsPerFile", per_file).option("parquet.bloom.filter.enabled#id", "true")
+        writer = ranged.write.mode("overwrite").option("maxRecordsPerFile", per_file).options(**scan_job.ID_BLOOM)
         (writer.partitionBy(day) if by_day else writer).parquet(f"{self.root}/{path}")
 
     def vacuum(self, keep_versions: int = 1) -> list[str]:

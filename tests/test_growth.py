@@ -53,3 +53,18 @@ def test_join_back_bounds_the_rows_of_a_task(spark, monkeypatch):
     per_task = j.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("known")).collect()
     assert sum(r.n for r in per_task) == sum(r.known for r in per_task) == 4000
     assert max(r.n for r in per_task) <= 400
+
+
+def test_small_files_have_small_bloom_filters(spark):
+    root = scratch_path(spark, "small_store")
+    store = ScanStore(spark, root)
+    store.write_run(_scans(spark, 300), "a")
+    store.compact(rows_per_file=20)
+    sp, fp = scratch_path(spark, "small_scans"), scratch_path(spark, "small_feed")
+    scan_job.write_run(spark, _scans(spark, 300), sp, fp, "a")
+    for path in (root, sp, fp):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+        assert size < 40_000 * file_count(spark, path)
+    assert scan_job.read_scan_results(spark, sp).filter("id = '00000042'").count() == 1
+    assert store.scans().count() == 300 and store.feed().count() == 150
