@@ -7,6 +7,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.url import domain_key
 from ..operators import asof, brand, scoring, tld
@@ -21,31 +22,42 @@ from .scan_store import ScanStore
 HEARTBEAT = dt.datetime(2024, 6, 1)
 #: How late a request lands: up to half a day behind its neighbours, by a hash of its id.
 DISORDER_S = 43_200
-FILES = 4
+#: Slices of the time that requests arrive in: four, more from 40 million rows on (a slice is a micro-batch).
+SLICES = 4
+SLICE_ROWS = 10_000_000
 
 
-def _land_in_order(spark: SparkSession, rows: DataFrame, time: str, key: str, heartbeat: DataFrame, name: str) -> str:
-    """Files that arrive in the order of a time with some disorder, then a heartbeat."""
-    path = scratch_path(spark, name)
+def _land_in_order(spark: SparkSession, rows: DataFrame, time: str, key: str, heartbeat: DataFrame, name: str,
+                   drain: Callable[[str], None], slices: int | None = None) -> str:
+    """Rows that arrive in the order of a time with some disorder, then a heartbeat; ``drain(path)`` runs after each arrival.
+
+    An arrival is one micro-batch whatever its files: taken a few files at a time, the first of
+    them would move the watermark past rows of the others, the sooner the more tasks wrote them.
+    """
+    path, by_slice = scratch_path(spark, name), scratch_path(spark, f"{name}_slices")
+    n = slices or max(SLICES, -(-rows.count() // SLICE_ROWS))
     arrives = F.unix_seconds(time) + F.pmod(F.xxhash64(key), F.lit(DISORDER_S))
     start = int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp())
-    part = F.least(F.lit(FILES - 1), F.greatest(F.lit(0), F.floor((arrives - start) / (31 * 86_400 / FILES))))
-    landed = materialize(rows.withColumn("_part", part), f"{name}_parts")
-    for k in range(FILES):
+    part = F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor((arrives - start) / (31 * 86_400 / n))))
+    rows.withColumn("_part", part.cast("int")).write.partitionBy("_part").parquet(by_slice)
+    landed = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_part", T.IntegerType())])).parquet(by_slice)
+    for k in range(n):
         landed.filter(F.col("_part") == k).drop("_part").write.mode("append").parquet(path)
+        drain(path)
     heartbeat.write.mode("append").parquet(path)
+    drain(path)
     return path
 
 
 def q_stream_reuse_window(spark, sf_dir):
     """T-4: which scan answers each request, by a window of 3,600 s after a domain's last scan."""
     reuse.state_store_conf(spark)
-    req = fx.scan_requests(spark, sf_dir)
+    req = materialize(fx.scan_requests(spark, sf_dir), "reuse_requests")
     beat = spark.range(1).select(F.lit(None).cast("long").alias("request_id"), F.lit(HEARTBEAT).cast("timestamp").alias("ts"),
                                  F.lit(None).cast("long").alias("client_id"), F.lit(None).cast("string").alias("url"))
-    src = _land_in_order(spark, req, "ts", "request_id", beat, "reuse_landing")
     out, ck = scratch_path(spark, "reuse"), scratch_path(spark, "reuse_ckpt")
-    st.run_available_now(reuse.reuse_stream(st.request_stream(spark, src, max_files_per_trigger=2), "1 day"), out, ck)
+    _land_in_order(spark, req, "ts", "request_id", beat, "reuse_landing", lambda src: st.run_available_now(
+        reuse.reuse_stream(st.request_stream(spark, src), "1 day"), out, ck))
     rows = spark.read.parquet(out)
     return rows.select("request_id", "domain", F.col("ts").cast("timestamp_ntz").alias("ts"), "scan_id",
                        F.col("scan_ts").cast("timestamp_ntz").alias("scan_ts"), "fresh")
@@ -57,13 +69,16 @@ def q_stream_closed_days(spark, sf_dir):
     scans = materialize(catalog.fixture_scans(spark, sf_dir).select("id", "created_at", "score", "confidence", "is_zero_day"), "closed_scans")
     beat = scans.limit(0).unionByName(spark.range(1).select(F.lit("heartbeat").alias("id"), F.lit(HEARTBEAT).cast("timestamp").alias("created_at")),
                                       allowMissingColumns=True)
-    src = _land_in_order(spark, scans, "created_at", "id", beat, "closed_landing")
+    closed, late, ck = (scratch_path(spark, f"closed_{x}") for x in ("days", "late", "ckpt"))
+
+    def drain(src: str) -> None:
+        windows.write_closed_days(spark.readStream.schema(scans.schema).parquet(src), closed, late, ck, "1 day")
+
+    src = _land_in_order(spark, scans, "created_at", "id", beat, "closed_landing", drain)
     # scans of the first week that turn up again after everything else: late, every one of them
     again = scans.filter(F.col("created_at") < F.lit(dt.datetime(2024, 1, 8)).cast("timestamp")).withColumn("id", F.concat(F.lit("again-"), "id"))
     again.write.mode("append").parquet(src)
-    closed, late, ck = (scratch_path(spark, f"closed_{x}") for x in ("days", "late", "ckpt"))
-    stream = spark.readStream.schema(scans.schema).option("maxFilesPerTrigger", 2).parquet(src)
-    windows.write_closed_days(stream, closed, late, ck, "1 day")
+    drain(src)
     n_late = spark.read.parquet(late).groupBy("day").agg(F.count(F.lit(1)).alias("late"))
     return windows.closed_day_stats(spark, closed).join(n_late, "day", "left").withColumn("late", F.coalesce("late", F.lit(0)))
 

@@ -55,6 +55,38 @@ def test_join_back_bounds_the_rows_of_a_task(spark, monkeypatch):
     assert max(r.n for r in per_task) <= 400
 
 
+def test_no_request_is_dropped_however_many_files_arrive(spark):
+    reuse.state_store_conf(spark)
+    rows = spark.range(800).select(F.col("id").alias("request_id"), (F.lit(BASE).cast("timestamp") + F.make_dt_interval(
+        mins=(F.col("id") * 53 % 44_000).cast("int"))).alias("ts"), F.lit(1).cast("long").alias("client_id"),
+        F.concat(F.lit("https://d"), F.col("id") % 3, F.lit(".example.com/")).alias("url")).repartition(8)
+    beat = spark.range(1).select(F.lit(None).cast("long").alias("request_id"), F.lit(catalog_time.HEARTBEAT).cast("timestamp").alias("ts"),
+                                 F.lit(None).cast("long").alias("client_id"), F.lit(None).cast("string").alias("url"))
+    out, ck, drains = scratch_path(spark, "all_out"), scratch_path(spark, "all_ck"), []
+
+    def drain(src):
+        drains.append(src)
+        st.run_available_now(reuse.reuse_stream(st.request_stream(spark, src), "1 day"), out, ck)
+
+    catalog_time._land_in_order(spark, rows, "ts", "request_id", beat, "all_landing", drain, slices=3)
+    assert len(drains) == 4
+    assert sorted(r.request_id for r in spark.read.parquet(out).select("request_id").collect()) == list(range(800))
+
+
+def test_no_day_closes_early_however_many_files_arrive(spark):
+    reuse.state_store_conf(spark)
+    scans = spark.range(800).select(F.format_string("s%d", "id").alias("id"), (F.lit(BASE).cast("timestamp") + F.make_dt_interval(
+        mins=(F.col("id") * 53 % 44_000).cast("int"))).alias("created_at"), F.lit(85).alias("score"), F.lit(0.85).alias("confidence"),
+        F.lit(False).alias("is_zero_day")).repartition(8)
+    beat = scans.limit(0).unionByName(spark.range(1).select(F.lit("beat").alias("id"), F.lit(catalog_time.HEARTBEAT).cast("timestamp").alias(
+        "created_at")), allowMissingColumns=True)
+    closed, late, ck = (scratch_path(spark, f"early_{x}") for x in ("closed", "late", "ck"))
+    catalog_time._land_in_order(spark, scans, "created_at", "id", beat, "early_landing", lambda src: windows.write_closed_days(
+        spark.readStream.schema(scans.schema).parquet(src), closed, late, ck, "1 day"), slices=3)
+    assert spark.read.parquet(late).count() == 0
+    assert sum(r.scans for r in windows.closed_day_stats(spark, closed).collect()) == 800
+
+
 def test_small_files_have_small_bloom_filters(spark):
     root = scratch_path(spark, "small_store")
     store = ScanStore(spark, root)
