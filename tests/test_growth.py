@@ -100,3 +100,16 @@ def test_small_files_have_small_bloom_filters(spark):
         assert size < 40_000 * file_count(spark, path)
     assert scan_job.read_scan_results(spark, sp).filter("id = '00000042'").count() == 1
     assert store.scans().count() == 300 and store.feed().count() == 150
+
+
+def test_daily_statistics_read_many_files_in_few_batches(spark, monkeypatch):
+    path = scratch_path(spark, "many_files")
+    scan_job.write_scan_results(_scans(spark, 600).repartition(40), path, "a")
+    assert len(spark.read.parquet(path).inputFiles()) > 100
+    batches, plain = [], st.daily_partial
+    monkeypatch.setattr(catalog, "_stream_tables", lambda spark, sf_dir: (path, None))
+    monkeypatch.setattr(st, "daily_partial", lambda batch: batches.append(1) or plain(batch))
+    got = catalog.q_stream_daily_stats(spark, "unused").collect()
+    assert 2 <= len(batches) <= 8
+    assert sum(r.threats for r in got) == 300 and sum(r.zero_day_count for r in got) == 60
+    delete_path(spark, path)
